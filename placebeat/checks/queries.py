@@ -22,7 +22,7 @@ from placebeat.plans.stage import Stage
 from placebeat.sources import testtables as tables
 
 DECIMALS = 6
-CITY, CATEGORY = "NATION_7", "widget"
+CITY, CATEGORY = "NATION_7", "ECONOMY"
 AREA = ("grid", "1859_-6189")
 
 DAILY = Params(

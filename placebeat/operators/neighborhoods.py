@@ -1,7 +1,7 @@
 """Neighborhoods of dense cities: k-means over business coordinates, all cities at once.
 
 Each round of Lloyd's algorithm is a join of points with the centers of their city and an aggregation, whatever the
-number of cities; only one number per staged step, the largest remaining move, reaches the driver. A city is never
+number of cities; the driver learns only whether any city is still moving. A city is never
 gathered in one task: counts, sums and the candidate list are all reduced before they are shuffled, and the lists
 collected per city are bounded by the number of candidates and clusters. Coordinates are added up as whole numbers of
 1e-7 degrees, so the result does not depend on how the rows are distributed.
@@ -10,6 +10,7 @@ collected per city are bounded by the number of candidates and clusters. Coordin
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from placebeat.schemas import NEIGHBORHOOD_SCHEMA
 
 CANDIDATES = 64  # starting centers are chosen among this many points of a city
 UNITS_PER_DEGREE = 10_000_000  # about one centimetre
-STEPS_PER_STAGE = 4
+ROUNDS_PER_STAGE = 4
 # The stopping rule (degrees, rounds).
 TOLERANCE, MAX_ROUNDS = 1e-4, 20
 
@@ -104,42 +105,54 @@ def _nearest(lat: str, lon: str) -> Column:
 
 
 def _round(points: DataFrame, centers: DataFrame, city: list[str]) -> DataFrame:
-    """Move every unfinished city's centers to the means of their points; clusters that lost all points go."""
-    unfinished = F.col("moved") > TOLERANCE
-    assigned = points.join(centers.filter(unfinished).select(*city, "centers"), city).withColumn(
-        "cluster_id", _nearest("lat", "lon")["cluster_id"]
-    )
+    """Move every city's centers to the means of their points; clusters that lost all points go.
+
+    Old centers travel as a grouping key, so the plan of a round refers to the previous one only once. A city whose
+    centers have stopped keeps them.
+    """
+    assigned = points.join(centers, city).withColumn("cluster_id", _nearest("lat", "lon")["cluster_id"])
 
     def mean(axis: str) -> Column:
         units = F.round(F.col(axis) * UNITS_PER_DEGREE).cast("bigint")
         return (F.sum(F.col("n") * units) / F.sum("n") / UNITS_PER_DEGREE).alias(axis)
 
-    means = assigned.groupBy(*city, "cluster_id").agg(mean("lat"), mean("lon"))
-    moved_centers = means.groupBy(*city).agg(
-        F.array_sort(F.collect_list(F.struct("cluster_id", "lat", "lon"))).cast(_CENTERS).alias("new_centers")
+    carried = [*city, "centers", "moved"]
+    means = assigned.groupBy(*carried, "cluster_id").agg(mean("lat"), mean("lon"))
+    found = means.groupBy(*carried).agg(
+        F.array_sort(F.collect_list(F.struct("cluster_id", "lat", "lon"))).cast(_CENTERS).alias("means")
     )
 
     def move(new: Column) -> Column:
         before = F.element_at(F.filter("centers", lambda old: old["cluster_id"] == new["cluster_id"]), 1)
         return F.sqrt(_distance(new, before))
 
-    updated = centers.filter(unfinished).join(moved_centers, city).select(
-        *city, F.col("new_centers").alias("centers"), F.array_max(F.transform("new_centers", move)).alias("moved")
+    going = F.col("moved") > TOLERANCE
+    return found.select(
+        *city,
+        F.when(going, F.col("means")).otherwise(F.col("centers")).alias("centers"),
+        F.when(going, F.array_max(F.transform("means", move))).otherwise(F.col("moved")).alias("moved"),
     )
-    return centers.filter(~unfinished).unionByName(updated)
 
 
 def city_centers(businesses: DataFrame, cities: DataFrame, stage: Stage, city: list[str], seed: int) -> DataFrame:
-    """Converged centers, one row per city. A finished city is left alone while others go on."""
+    """Converged centers, one row per city.
+
+    Rounds are staged in groups; after each group the cities that have stopped, and with them their points, take no
+    part in the next.
+    """
     points = stage.write("points", _points(businesses, cities, city))
     centers = _first_centers(points, cities, city, seed)
-    for done in range(0, MAX_ROUNDS, STEPS_PER_STAGE):
-        for _ in range(STEPS_PER_STAGE):
+    stopped = []
+    for done in range(0, MAX_ROUNDS, ROUNDS_PER_STAGE):
+        for _ in range(ROUNDS_PER_STAGE):
             centers = _round(points, centers, city)
-        centers = stage.write(f"centers-{done}", centers)
-        if not (centers.agg(F.max("moved")).first()[0] or 0.0) > TOLERANCE:
+        staged = stage.write(f"centers-{done}", centers)
+        going = F.col("moved") > TOLERANCE
+        stopped.append(staged.filter(~going))
+        centers = staged.filter(going)
+        if centers.isEmpty():
             break
-    return centers
+    return reduce(DataFrame.unionByName, stopped, centers)
 
 
 def _labelled(assigned: DataFrame) -> DataFrame:
@@ -163,7 +176,7 @@ def fit_neighborhoods(businesses: DataFrame, params: Params, stage: Stage) -> Da
         return None
     city = list(params.cluster_by)
     base = stage.write("businesses", businesses.select("business_id", "city", "state", "latitude", "longitude"))
-    cities = stage.write("cities", dense_cities(base, params.dense_city_threshold, city))
+    cities = dense_cities(base, params.dense_city_threshold, city)
     centers = city_centers(base, cities, stage, city, params.cluster_seed)
     assigned = base.join(centers.select(*city, "centers"), city).withColumn("nearest", _nearest("latitude", "longitude"))
     labelled = _labelled(
@@ -184,8 +197,6 @@ def fit_neighborhoods_mllib(businesses: DataFrame, cities: Sequence[str], seed:
 
     Each fit is a distributed job of its own; for all dense cities at once use :func:`fit_neighborhoods`.
     """
-    from functools import reduce
-
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 

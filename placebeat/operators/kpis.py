@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placebeat.functions import iso_timestamp, preview
 from placebeat.operators.areas import AREA_COLUMNS, grid_totals, neighborhood_totals
+from placebeat.operators.enrich import enrich
 from placebeat.operators.measures import measured, rated, total
 from placebeat.schemas import table_columns
 
@@ -79,13 +80,16 @@ def latest_reviews(enriched: DataFrame, limit: int = 200) -> DataFrame:
     return feed(newest(enriched, limit))
 
 
-def latest_reviews_of(cleaned: DataFrame, located: DataFrame, limit: int = 200) -> DataFrame:
-    """:func:`latest_reviews` from its two inputs, without shuffling all texts when the places are not broadcast.
+def newest_of(cleaned: DataFrame, located: DataFrame, limit: int) -> DataFrame:
+    """:func:`newest` from its two inputs, without shuffling all texts when the places are not broadcast.
 
     A first look at keys and times finds the time of the last row of the feed; only reviews from then on are read
     with their text and joined.
     """
     known = cleaned.select("business_id", "review_date").join(located.select("business_id"), "business_id")
     last = known.select("review_date").orderBy(F.desc("review_date")).limit(limit).agg(F.min("review_date"))
-    recent = cleaned.filter(F.col("review_date") >= last.scalar())
-    return latest_reviews(recent.join(located, "business_id"), limit)
+    return newest(enrich(cleaned.filter(F.col("review_date") >= last.scalar()), located), limit)
+
+
+def latest_reviews_of(cleaned: DataFrame, located: DataFrame, limit: int = 200) -> DataFrame:
+    return feed(newest_of(cleaned, located, limit))

@@ -77,6 +77,20 @@ TABLE_SCHEMAS: dict[str, T.StructType] = {
     ),
 }
 
+# Additive partial results, from which all tables can be finished; kept per micro-batch by the streaming jobs.
+_AREA = "area_type string, area_id string, city string, state string, latitude double, longitude double"
+PARTIAL_SCHEMAS: dict[str, T.StructType] = {
+    "area_panes": _schema(f"{_AREA}, pane_start timestamp, event_count bigint, stars_sum double"),
+    "area_categories": _schema(
+        f"{_AREA}, category string, event_count bigint, stars_sum double, max_event_time timestamp"
+    ),
+    "recent_categories": _schema(f"{_AREA}, category string, event_time timestamp, event_count bigint"),
+    "newest_events": _schema(
+        "review_id string, business_id string, business_name string, city string, state string, "
+        "review_stars double, review_date timestamp, review_text string"
+    ),
+}
+
 
 def table_columns(name: str) -> list[str]:
     return TABLE_SCHEMAS[name].fieldNames()

@@ -1,0 +1,185 @@
+from datetime import datetime, timedelta
+
+import pytest
+
+from placebeat.operators import kpis
+from placebeat.operators.areas import event_frame, grid_event_frame
+from placebeat.operators.category_mix import category_event_frame, category_mix
+from placebeat.operators.hotspots import city_activity_windows, emerging_areas, window_hotspots
+from placebeat.params import Params
+from placebeat.plans.tables import build_tables
+from placebeat.schemas import TABLE_SCHEMAS
+from tests.helpers import DAY, enriched, event, rows
+
+
+def minute(m):
+    return DAY + timedelta(minutes=m)
+
+
+@pytest.fixture(scope="module")
+def two_cities(spark):
+    return enriched(
+        spark,
+        [
+            event("1", "Las Vegas", 4.0, categories=("Mexican", "Tacos")),
+            event("2", "Las Vegas", 2.0, categories=("Mexican",)),
+            event("3", "Phoenix", 5.0, categories=("Pizza",)),
+        ],
+    )
+
+
+def test_city_metrics(two_cities):
+    assert rows(kpis.city_metrics(two_cities)) == [("Las Vegas", "NV", 2, 3.0), ("Phoenix", "NV", 1, 5.0)]
+
+
+def test_category_leaders(two_cities):
+    assert rows(kpis.category_leaders(two_cities)) == [
+        ("Las Vegas", "Mexican", 2, 3.0), ("Las Vegas", "Tacos", 1, 4.0), ("Phoenix", "Pizza", 1, 5.0),
+    ]
+
+
+def test_cell_crossing_cities_has_a_row_per_city(two_cities):
+    assert rows(kpis.grid_hotspots(two_cities), "city", "grid_id", "review_count") == [
+        ("Las Vegas", "2007_-6391", 2), ("Phoenix", "2007_-6391", 1),
+    ]
+
+
+def test_repeated_category_counts_twice(spark):
+    events = enriched(spark, [event("1", categories=("a", "a")), event("2", categories=())])
+    assert rows(kpis.category_leaders(events)) == [("Vegas", "a", 2, 4.0)]
+
+
+def test_event_frames(two_cities):
+    assert event_frame(two_cities).columns == [
+        "business_id", "city", "state", "latitude", "longitude", "review_stars", "event_time",
+    ]
+    assert rows(grid_event_frame(two_cities).limit(1), "grid_id", "latitude", "longitude") == [
+        ("2007_-6391", 36.171171, -115.144144)
+    ]
+    assert category_event_frame(two_cities, 2.0).count() == 4
+
+
+def test_latest_reviews(spark):
+    events = enriched(
+        spark,
+        [event(f"{i:02}", when=minute(i // 2), text="x" * (270 + i)) for i in range(30)]
+        + [event("half", when=minute(60) + timedelta(microseconds=500000))],
+    )
+    found = [tuple(r) for r in kpis.latest_reviews(events, 4).select("review_id", "review_date").collect()]
+    assert sorted(found) == [
+        ("26", "2020-01-01T00:13:00"), ("28", "2020-01-01T00:14:00"), ("29", "2020-01-01T00:14:00"),
+        ("half", "2020-01-01T01:00:00.500000"),
+    ]
+    assert max(len(r.summary) for r in kpis.latest_reviews(events, 30).collect()) == 280
+
+
+TUMBLING = Params(
+    window_duration="20 minutes", slide_duration="20 minutes", emerging_score_threshold=1.4,
+    rating_spike_threshold=0.5, min_events_for_hotspot=1,
+)
+
+
+@pytest.fixture(scope="module")
+def bursts(spark):
+    return enriched(spark, [event(str(m), stars=s, when=minute(m)) for m, s in ((0, 3), (20, 5), (25, 5), (40, 1))])
+
+
+def test_window_hotspots(bursts):
+    found = window_hotspots(bursts, TUMBLING)
+    assert found.columns == TABLE_SCHEMAS["window_hotspots"].fieldNames()
+    assert rows(
+        found, "area_type", "window_start", "window_end", "event_count", "avg_stars", "baseline_count",
+        "baseline_stars", "hotspot_score", "rating_change",
+    ) == [
+        ("grid", minute(0), minute(20), 1, 3.0, 1.333333, 3.0, 0.75, 0.0),
+        ("grid", minute(20), minute(40), 2, 5.0, 1.333333, 3.0, 1.5, 2.0),
+        ("grid", minute(40), minute(60), 1, 1.0, 1.333333, 3.0, 0.75, -2.0),
+    ]
+
+
+def test_minimum_applies_after_the_baseline(bursts):
+    found = window_hotspots(bursts, TUMBLING.with_(min_events_for_hotspot=2))
+    assert rows(found, "event_count", "baseline_count", "hotspot_score") == [(2, 1.333333, 1.5)]
+
+
+def test_emerging_areas(bursts):
+    found = emerging_areas(window_hotspots(bursts, TUMBLING), TUMBLING)
+    assert rows(found, "window_start", "event_count") == [(minute(20), 2)]
+    assert found.columns == TABLE_SCHEMAS["emerging_areas"].fieldNames()
+
+
+def test_emerging_keeps_the_latest_window(spark):
+    times = [(0, 1), (20, 5), (21, 5), (22, 5), (40, 1), (60, 5), (61, 5), (62, 5), (80, 1)]
+    events = enriched(spark, [event(str(m), stars=s, when=minute(m)) for m, s in times])
+    found = emerging_areas(window_hotspots(events, TUMBLING), TUMBLING)
+    assert rows(found, "window_start", "event_count") == [(minute(60), 3)]
+
+
+def test_sliding_city_activity(bursts):
+    params = Params(window_duration="30 minutes", slide_duration="10 minutes")
+    assert rows(city_activity_windows(bursts, params), "window_start", "event_count", "avg_stars") == [
+        (DAY + timedelta(minutes=m), n, s)
+        for m, n, s in ((-20, 1, 3.0), (-10, 1, 3.0), (0, 3, 4.333333), (10, 2, 5.0), (20, 3, 3.666667), (30, 1, 1.0),
+                        (40, 1, 1.0))
+    ]
+
+
+def test_slide_that_does_not_divide_the_window(bursts):
+    params = Params(window_duration="30 minutes", slide_duration="20 minutes")
+    assert rows(city_activity_windows(bursts, params), "window_start", "event_count") == [
+        (DAY + timedelta(minutes=m), n) for m, n in ((-20, 1), (0, 3), (20, 3), (40, 1))
+    ]
+
+
+def test_category_mix(spark):
+    events = enriched(
+        spark,
+        [
+            event("1", when=minute(10), categories=("Pizza", "Italian"), lat=36.17, lon=-115.14),
+            event("2", when=minute(15), categories=("Mexican",), lat=36.18, lon=-115.15),
+        ],
+    )
+    third = round(1 / 3, 6)
+    found = category_mix(events, Params())
+    assert found.columns == TABLE_SCHEMAS["category_mix"].fieldNames()
+    assert rows(
+        found, "area_id", "category", "current_count", "current_share", "baseline_share", "anomaly_score", "window_end"
+    ) == [("2007_-6391", c, 1, third, third, 0.0, minute(15)) for c in ("Italian", "Mexican", "Pizza")]
+
+
+def test_category_mix_of_a_cell_shared_by_cities(spark):
+    events = enriched(
+        spark,
+        [event("1", "A", categories=("Pizza",)), event("2", "A", categories=("Pizza",)),
+         event("3", "B", categories=("Pizza",)), event("4", "B", categories=("Taco",))],
+    )
+    assert rows(category_mix(events, Params()), "city", "category", "current_count", "current_share", "baseline_share") == [
+        ("A", "Pizza", 2, 0.5, 0.5), ("B", "Pizza", 1, 0.25, 0.25), ("B", "Taco", 1, 0.25, 0.25),
+    ]
+
+
+def test_category_mix_now_is_one_period_for_all_areas(spark):
+    events = enriched(
+        spark,
+        [event("1", when=minute(0), categories=("x",)), event("2", when=minute(70), categories=("x",)),
+         event("3", when=minute(100), categories=("y",)), event("4", when=minute(99), categories=("z",), lat=40.0),
+         event("5", when=minute(10), categories=("q",), lat=50.0), event("6", when=minute(500), categories=())],
+    )
+    found = rows(category_mix(events, Params()), "category", "current_count", "current_share", "baseline_share")
+    third, two = round(1 / 3, 6), round(2 / 3, 6)
+    assert found == [("x", 1, 0.5, two), ("y", 1, 0.5, third), ("z", 1, 1.0, 1.0)]
+
+
+def test_empty_input_gives_empty_tables_with_schema(spark):
+    for name, frame in build_tables(enriched(spark, []), Params()).items():
+        assert frame.count() == 0
+        assert [(f.name, f.dataType) for f in frame.schema] == [(f.name, f.dataType) for f in TABLE_SCHEMAS[name]]
+
+
+def test_window_of_time_zoneless_times_keeps_the_kind(spark, bursts):
+    plain = bursts.withColumn("review_date", bursts.review_date.cast("timestamp_ntz"))
+    found = window_hotspots(plain, TUMBLING)
+    assert found.schema["window_start"].dataType.simpleString() == "timestamp_ntz"
+    assert rows(found, "window_start", "event_count") == rows(
+        window_hotspots(bursts, TUMBLING), "window_start", "event_count"
+    )

@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placebeat.functions import cluster_count
+from placebeat.functions.geo import MAX_CLUSTERS
 from placebeat.params import Params
 from placebeat.plans.stage import Stage
 from placebeat.schemas import NEIGHBORHOOD_SCHEMA
 
 CANDIDATES = 64  # starting centers are chosen among this many points of a city
 UNITS_PER_DEGREE = 10_000_000  # about one centimetre
-ROUNDS_PER_STAGE = 4
 # The stopping rule (degrees, rounds).
 TOLERANCE, MAX_ROUNDS = 1e-4, 20
 
@@ -93,7 +93,7 @@ def _first_centers(points: DataFrame, cities: DataFrame, city: list[str], seed:
     numbered = F.transform(
         chosen, lambda s, i: F.struct(i.cast("int").alias("cluster_id"), s["lat"].alias("lat"), s["lon"].alias("lon"))
     )
-    return candidates.select(*city, numbered.cast(_CENTERS).alias("centers"), F.lit(float("inf")).alias("moved"))
+    return candidates.select(*city, numbered.cast(_CENTERS).alias("centers"))
 
 
 def _nearest(lat: str, lon: str) -> Column:
@@ -107,49 +107,62 @@ def _nearest(lat: str, lon: str) -> Column:
 def _round(points: DataFrame, centers: DataFrame, city: list[str]) -> DataFrame:
     """Move every city's centers to the means of their points; clusters that lost all points go.
 
-    Old centers travel as a grouping key, so the plan of a round refers to the previous one only once. A city whose
-    centers have stopped keeps them.
+    The number of clusters is bounded, so one aggregation with a sum per cluster gives a city's whole result in one
+    row: a single small shuffle per round.
     """
-    assigned = points.join(centers, city).withColumn("cluster_id", _nearest("lat", "lon")["cluster_id"])
+    assigned = points.join(centers.select(*city, "centers"), city).select(
+        *city,
+        "n",
+        _nearest("lat", "lon")["cluster_id"].alias("cluster_id"),
+        *((F.col("n") * F.round(F.col(axis) * UNITS_PER_DEGREE).cast("bigint")).alias(axis) for axis in ("lat", "lon")),
+    )
+
+    def summed(cluster: int, column: str) -> Column:
+        return F.sum(F.when(F.col("cluster_id") == cluster, F.col(column))).alias(f"{column}{cluster}")
 
-    def mean(axis: str) -> Column:
-        units = F.round(F.col(axis) * UNITS_PER_DEGREE).cast("bigint")
-        return (F.sum(F.col("n") * units) / F.sum("n") / UNITS_PER_DEGREE).alias(axis)
+    clusters = range(MAX_CLUSTERS)
+    sums = assigned.groupBy(*city).agg(*(summed(c, column) for c in clusters for column in ("n", "lat", "lon")))
 
-    carried = [*city, "centers", "moved"]
-    means = assigned.groupBy(*carried, "cluster_id").agg(mean("lat"), mean("lon"))
-    found = means.groupBy(*carried).agg(
-        F.array_sort(F.collect_list(F.struct("cluster_id", "lat", "lon"))).cast(_CENTERS).alias("means")
+    def mean(cluster: int, axis: str) -> Column:
+        return (F.col(f"{axis}{cluster}") / F.col(f"n{cluster}") / UNITS_PER_DEGREE).alias(axis)
+
+    means = F.array(
+        *(
+            F.when(
+                F.col(f"n{c}").isNotNull(), F.struct(F.lit(c).alias("cluster_id"), mean(c, "lat"), mean(c, "lon"))
+            )
+            for c in clusters
+        )
     )
+    found = sums.select(*city, F.array_compact(means).cast(_CENTERS).alias("means"))
 
     def move(new: Column) -> Column:
         before = F.element_at(F.filter("centers", lambda old: old["cluster_id"] == new["cluster_id"]), 1)
         return F.sqrt(_distance(new, before))
 
-    going = F.col("moved") > TOLERANCE
-    return found.select(
-        *city,
-        F.when(going, F.col("means")).otherwise(F.col("centers")).alias("centers"),
-        F.when(going, F.array_max(F.transform("means", move))).otherwise(F.col("moved")).alias("moved"),
+    # A column named inside a lambda would resolve to an equally named alias of the same select, so the new centers
+    # are renamed last.
+    return (
+        found.join(centers.select(*city, "centers"), city)
+        .select(*city, "means", F.array_max(F.transform("means", move)).alias("moved"))
+        .withColumnRenamed("means", "centers")
     )
 
 
 def city_centers(businesses: DataFrame, cities: DataFrame, stage: Stage, city: list[str], seed: int) -> DataFrame:
     """Converged centers, one row per city.
 
-    Rounds are staged in groups; after each group the cities that have stopped, and with them their points, take no
+    Every round is staged, so its plan stays small; cities that have stopped, and with them their points, take no
     part in the next.
     """
     points = stage.write("points", _points(businesses, cities, city))
-    centers = _first_centers(points, cities, city, seed)
+    centers = stage.write("centers-0", _first_centers(points, cities, city, seed))
     stopped = []
-    for done in range(0, MAX_ROUNDS, ROUNDS_PER_STAGE):
-        for _ in range(ROUNDS_PER_STAGE):
-            centers = _round(points, centers, city)
-        staged = stage.write(f"centers-{done}", centers)
+    for done in range(1, MAX_ROUNDS + 1):
+        moved = stage.write(f"centers-{done}", _round(points, centers, city))
         going = F.col("moved") > TOLERANCE
-        stopped.append(staged.filter(~going))
-        centers = staged.filter(going)
+        stopped.append(moved.filter(~going).select(*city, "centers"))
+        centers = moved.filter(going).select(*city, "centers")
         if centers.isEmpty():
             break
     return reduce(DataFrame.unionByName, stopped, centers)
@@ -169,8 +182,9 @@ def _labelled(assigned: DataFrame) -> DataFrame:
 def fit_neighborhoods(businesses: DataFrame, params: Params, stage: Stage) -> DataFrame | None:
     """Assign every business of a dense city to a neighborhood; None when neighborhoods are switched off.
 
-    ``businesses`` has business_id, city, state, latitude, longitude, one row per business. The result is a staged
-    table (business_id, city, state, neighborhood_id, center_lat, center_lon), to be kept as a dimension.
+    ``businesses`` has business_id, city, state, latitude, longitude, one row per business. The result
+    (business_id, city, state, neighborhood_id, center_lat, center_lon) reads tables of the stage; callers that use it
+    more than once or longer write it down as a dimension.
     """
     if params.dense_city_threshold <= 0:
         return None
@@ -179,7 +193,7 @@ def fit_neighborhoods(businesses: DataFrame, params: Params, stage: Stage) -> Da
     cities = dense_cities(base, params.dense_city_threshold, city)
     centers = city_centers(base, cities, stage, city, params.cluster_seed)
     assigned = base.join(centers.select(*city, "centers"), city).withColumn("nearest", _nearest("latitude", "longitude"))
-    labelled = _labelled(
+    return _labelled(
         assigned.select(
             "business_id",
             "city",
@@ -189,7 +203,6 @@ def fit_neighborhoods(businesses: DataFrame, params: Params, stage: Stage) -> Da
             F.col("nearest.center.lon").alias("center_lon"),
         )
     )
-    return stage.write("neighborhoods", labelled)
 
 
 def fit_neighborhoods_mllib(businesses: DataFrame, cities: Sequence[str], seed: int = 7) -> DataFrame:

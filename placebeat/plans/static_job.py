@@ -24,7 +24,7 @@ def static_tables(cleaned: DataFrame, located: DataFrame, params: Params, stage:
     neighborhoods = None
     if params.dense_city_threshold > 0:
         active = distinct_businesses(place_activity(events, places))
-        neighborhoods = fit_neighborhoods(active, params, stage)
+        neighborhoods = stage.write("neighborhoods", fit_neighborhoods(active, params, stage))
     partials = batch_partials(events, places, params, neighborhoods, texts=cleaned)
     staged = {name: stage.write(name, frame) for name, frame in partials.items()}
     if staged["area_panes"].isEmpty():

@@ -11,7 +11,8 @@ from placebeat.functions import grid_cell
 from placebeat.functions.geo import cell_at, cell_index
 from placebeat.operators.measures import measured, paned, total
 
-AREA_COLUMNS = ["area_type", "area_id", "city", "state", "latitude", "longitude"]
+AREA_KEY = ["area_type", "area_id", "city", "state"]
+AREA_COLUMNS = [*AREA_KEY, "latitude", "longitude"]  # the center follows from the key
 GRID, NEIGHBORHOOD = "grid", "neighborhood"
 
 

@@ -49,10 +49,9 @@ def dense_cities(businesses: DataFrame, threshold: int, cluster_by: Sequence[str
     )
 
 
-def _distance(a: Column, b: Column) -> Column:
-    """Squared distance in degrees."""
-    dlat, dlon = a["lat"] - b["lat"], a["lon"] - b["lon"]
-    return dlat * dlat + dlon * dlon
+def _squared(a: str, b: str) -> str:
+    """SQL text of the squared distance in degrees of two points with fields lat and lon."""
+    return f"(({a}.lat - {b}.lat) * ({a}.lat - {b}.lat) + ({a}.lon - {b}.lon) * ({a}.lon - {b}.lon))"
 
 
 def _points(businesses: DataFrame, cities: DataFrame, city: list[str]) -> DataFrame:
@@ -78,18 +77,12 @@ def _first_centers(points: DataFrame, cities: DataFrame, city: list[str], seed:
         .join(cities.select(*city, "cluster_count"), city)
     )
 
-    def add_farthest(chosen: Column, _: Column) -> Column:
-        gaps = F.transform(
-            F.col("found"),
-            lambda c: F.struct(F.array_min(F.transform(chosen, lambda s: _distance(c, s))).alias("gap"), c.alias("at")),
-        )
-        best = F.array_max(gaps)
-        return F.when(best["gap"] > 0, F.array_append(chosen, best["at"])).otherwise(chosen)
-
-    more = F.when(F.col("cluster_count") > 1, F.sequence(F.lit(2), F.col("cluster_count"))).otherwise(
-        F.array().cast("array<int>")
+    gap = f"array_min(transform(chosen, s -> {_squared('c', 's')}))"
+    chosen = F.expr(
+        "aggregate(if(cluster_count > 1, sequence(2, cluster_count), cast(array() AS array<int>)), slice(found, 1, 1), "
+        f"(chosen, step) -> concat(chosen, transform(filter(array(array_max(transform(found, "
+        f"c -> struct({gap} AS gap, c AS at)))), best -> best.gap > 0), best -> best.at)))"
     )
-    chosen = F.aggregate(more, F.slice("found", 1, 1), add_farthest)
     numbered = F.transform(
         chosen, lambda s, i: F.struct(i.cast("int").alias("cluster_id"), s["lat"].alias("lat"), s["lon"].alias("lon"))
     )
@@ -97,10 +90,10 @@ def _first_centers(points: DataFrame, cities: DataFrame, city: list[str], seed:
 
 
 def _nearest(lat: str, lon: str) -> Column:
-    """The nearest of ``centers``; the lower number wins a tie."""
-    here = F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
-    return F.array_min(
-        F.transform("centers", lambda c: F.struct(_distance(here, c).alias("gap"), c["cluster_id"].alias("cluster_id"), c.alias("center")))
+    """Squared distance, number and position of the nearest of ``centers``; the lower number wins a tie."""
+    return F.expr(
+        f"array_min(transform(centers, c -> struct({_squared(f'struct({lat} AS lat, {lon} AS lon)', 'c')} AS gap, "
+        "c.cluster_id AS cluster_id, c AS center)))"
     )
 
 
@@ -117,34 +110,30 @@ def _round(points: DataFrame, centers: DataFrame, city: list[str]) -> DataFrame:
         *((F.col("n") * F.round(F.col(axis) * UNITS_PER_DEGREE).cast("bigint")).alias(axis) for axis in ("lat", "lon")),
     )
 
-    def summed(cluster: int, column: str) -> Column:
-        return F.sum(F.when(F.col("cluster_id") == cluster, F.col(column))).alias(f"{column}{cluster}")
-
     clusters = range(MAX_CLUSTERS)
-    sums = assigned.groupBy(*city).agg(*(summed(c, column) for c in clusters for column in ("n", "lat", "lon")))
-
-    def mean(cluster: int, axis: str) -> Column:
-        return (F.col(f"{axis}{cluster}") / F.col(f"n{cluster}") / UNITS_PER_DEGREE).alias(axis)
-
-    means = F.array(
+    sums = assigned.groupBy(*city).agg(
         *(
-            F.when(
-                F.col(f"n{c}").isNotNull(), F.struct(F.lit(c).alias("cluster_id"), mean(c, "lat"), mean(c, "lon"))
-            )
+            F.expr(f"sum(CASE WHEN cluster_id = {c} THEN {column} END) AS {column}{c}")
             for c in clusters
+            for column in ("n", "lat", "lon")
         )
     )
-    found = sums.select(*city, F.array_compact(means).cast(_CENTERS).alias("means"))
-
-    def move(new: Column) -> Column:
-        before = F.element_at(F.filter("centers", lambda old: old["cluster_id"] == new["cluster_id"]), 1)
-        return F.sqrt(_distance(new, before))
+    means = ", ".join(
+        f"CASE WHEN n{c} IS NOT NULL THEN struct({c} AS cluster_id, lat{c} / n{c} / {UNITS_PER_DEGREE} AS lat, "
+        f"lon{c} / n{c} / {UNITS_PER_DEGREE} AS lon) END"
+        for c in clusters
+    )
+    found = sums.select(*city, F.expr(f"array_compact(array({means}))").cast(_CENTERS).alias("means"))
 
     # A column named inside a lambda would resolve to an equally named alias of the same select, so the new centers
     # are renamed last.
+    moved = (
+        "array_max(transform(means, new -> sqrt(array_max(transform("
+        f"filter(centers, old -> old.cluster_id = new.cluster_id), old -> {_squared('new', 'old')})))))"
+    )
     return (
         found.join(centers.select(*city, "centers"), city)
-        .select(*city, "means", F.array_max(F.transform("means", move)).alias("moved"))
+        .select(*city, "means", F.expr(moved).alias("moved"))
         .withColumnRenamed("means", "centers")
     )
 

@@ -6,7 +6,7 @@ years. Everything is derived from the tables by expressions; nothing is generate
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placebeat.operators.cleaning import clean_reviews, places
@@ -33,72 +33,63 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _coordinates(nation: str, key: str) -> tuple[Column, Column]:
-    base = F.col(nation) * 0.5
-    latitude = F.lit(30.0) + base + (F.col(key) % 7) * 0.004
-    longitude = F.lit(-115.0) + base + (F.col(key) % 5) * 0.004
-    return latitude.alias("latitude"), longitude.alias("longitude")
+def _coordinates(nation: str, key: str) -> list[str]:
+    return [
+        f"30.0D + {nation} * 0.5D + ({key} % 7) * 0.004D AS latitude",
+        f"-115.0D + {nation} * 0.5D + ({key} % 5) * 0.004D AS longitude",
+    ]
 
 
 def _with_city(spark: SparkSession, folder: str, holders: DataFrame, nation_key: str) -> DataFrame:
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
-    return holders.join(nation, F.col(nation_key) == F.col("n_nationkey")).join(
-        region, F.col("n_regionkey") == F.col("r_regionkey")
-    )
+    return holders.join(nation, F.expr(f"{nation_key} = n_nationkey")).join(region, F.expr("n_regionkey = r_regionkey"))
 
 
 def raw_event_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select(
-        F.col("event_id").cast("string").alias("review_id"),
-        F.col("user_id").cast("string").alias("business_id"),
-        F.col("event_type").alias("user_id"),
-        (1 + (F.col("event_id") * 7 + F.col("user_id") * 3) % 5).cast("double").alias("stars"),
-        F.col("ts").alias("date"),
-        F.concat_ws(" ", "event_type", "props").alias("text"),
+    return table(spark, folder, "events").selectExpr(
+        "string(event_id) AS review_id",
+        "string(user_id) AS business_id",
+        "event_type AS user_id",
+        "double(1 + (event_id * 7 + user_id * 3) % 5) AS stars",
+        "ts AS date",
+        "concat_ws(' ', event_type, props) AS text",
     )
 
 
 def raw_customer_businesses(spark: SparkSession, folder: str) -> DataFrame:
-    part = table(spark, folder, "part")
     customers = _with_city(spark, folder, table(spark, folder, "customer"), "c_nationkey")
-    latitude, longitude = _coordinates("c_nationkey", "c_custkey")
-    return customers.join(part, F.col("c_custkey") == F.col("p_partkey"), "left").select(
-        F.col("c_custkey").cast("string").alias("business_id"),
-        F.col("c_name").alias("name"),
-        F.col("n_name").alias("city"),
-        F.col("r_name").alias("state"),
-        latitude,
-        longitude,
-        F.concat(F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit(", "), "p_type").alias("categories"),
-        (1 + F.col("c_custkey") % 5).cast("double").alias("stars"),
+    return customers.join(table(spark, folder, "part"), F.expr("c_custkey = p_partkey"), "left").selectExpr(
+        "string(c_custkey) AS business_id",
+        "c_name AS name",
+        "n_name AS city",
+        "r_name AS state",
+        *_coordinates("c_nationkey", "c_custkey"),
+        "concat(replace(p_name, ' ', ', '), ', ', p_type) AS categories",
+        "double(1 + c_custkey % 5) AS stars",
     )
 
 
 def raw_lineitem_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("review_id"),
-        F.col("l_suppkey").cast("string").alias("business_id"),
-        F.col("l_returnflag").alias("user_id"),
-        (1 + (F.col("l_orderkey") * 7 + F.col("l_suppkey") * 3 + F.col("l_linenumber")) % 5)
-        .cast("double")
-        .alias("stars"),
-        F.col("l_shipdate").alias("date"),
-        F.col("l_linestatus").alias("text"),
+    return table(spark, folder, "lineitem").selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS review_id",
+        "string(l_suppkey) AS business_id",
+        "l_returnflag AS user_id",
+        "double(1 + (l_orderkey * 7 + l_suppkey * 3 + l_linenumber) % 5) AS stars",
+        "l_shipdate AS date",
+        "l_linestatus AS text",
     )
 
 
 def raw_supplier_businesses(spark: SparkSession, folder: str) -> DataFrame:
     suppliers = _with_city(spark, folder, table(spark, folder, "supplier"), "s_nationkey")
-    latitude, longitude = _coordinates("s_nationkey", "s_suppkey")
-    return suppliers.select(
-        F.col("s_suppkey").cast("string").alias("business_id"),
-        F.col("s_name").alias("name"),
-        F.col("n_name").alias("city"),
-        F.col("r_name").alias("state"),
-        latitude,
-        longitude,
-        F.lit(None).cast("string").alias("categories"),
-        F.lit(None).cast("double").alias("stars"),
+    return suppliers.selectExpr(
+        "string(s_suppkey) AS business_id",
+        "s_name AS name",
+        "n_name AS city",
+        "r_name AS state",
+        *_coordinates("s_nationkey", "s_suppkey"),
+        "string(NULL) AS categories",
+        "double(NULL) AS stars",
     )
 
 

@@ -29,7 +29,7 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def small():
-    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
     if not Path(folder).exists():
         pytest.skip("test tables are not there")
     return folder

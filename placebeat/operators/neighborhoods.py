@@ -1,7 +1,7 @@
 """Neighborhoods of dense cities: k-means over business coordinates, all cities at once.
 
 Each round of Lloyd's algorithm is a join of points with the centers of their city and an aggregation, whatever the
-number of cities; the driver learns only whether any city is still moving. A city is never
+number of cities; the driver learns only how many cities are still moving. A city is never
 gathered in one task: counts, sums and the candidate list are all reduced before they are shuffled, and the lists
 collected per city are bounded by the number of candidates and clusters. Coordinates are added up as whole numbers of
 1e-7 degrees, so the result does not depend on how the rows are distributed.
@@ -23,6 +23,8 @@ from placebeat.schemas import NEIGHBORHOOD_SCHEMA
 
 CANDIDATES = 64  # starting centers are chosen among this many points of a city
 UNITS_PER_DEGREE = 10_000_000  # about one centimetre
+BROADCAST_CITIES = 20_000  # with 12 centers each about 6 MB
+SALTS = 64
 # The stopping rule (degrees, rounds).
 TOLERANCE, MAX_ROUNDS = 1e-4, 20
 
@@ -55,11 +57,29 @@ def _squared(a: str, b: str) -> str:
 
 
 def _points(businesses: DataFrame, cities: DataFrame, city: list[str]) -> DataFrame:
-    """Businesses of dense cities reduced to distinct coordinates with their number."""
-    located = businesses.join(cities.select(*city), city, "left_semi")
-    return located.groupBy(*city, F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).agg(
+    """Businesses of dense cities reduced to distinct coordinates with their number.
+
+    Reduced before they are matched with the cities: the match ends the plan, so adaptive execution may cut a city
+    holding a large share of the points.
+    """
+    located = businesses.groupBy(*city, F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).agg(
         F.count("*").alias("n")
     )
+    return located.join(cities.select(*city), city, "left_semi")
+
+
+def _with_centers(rows: DataFrame, centers: DataFrame, cities: int, city: list[str], spread_by: list[str]) -> DataFrame:
+    """Rows joined to the centers of their city.
+
+    Up to a counted number of cities the centers, a few hundred bytes per city, are broadcast.
+    Beyond it both sides are shuffled, every city spread over several tasks so that a large one fills none.
+    """
+    centers = centers.select(*city, "centers")
+    if cities <= BROADCAST_CITIES:
+        return rows.join(F.broadcast(centers), city)
+    spread = centers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
+    return salted.join(spread.hint("merge"), [*city, "salt"]).drop("salt")
 
 
 def _first_centers(points: DataFrame, cities: DataFrame, city: list[str], seed: int) -> DataFrame:
@@ -97,13 +117,13 @@ def _nearest(lat: str, lon: str) -> Column:
     )
 
 
-def _round(points: DataFrame, centers: DataFrame, city: list[str]) -> DataFrame:
+def _round(points: DataFrame, centers: DataFrame, cities: int, city: list[str]) -> DataFrame:
     """Move every city's centers to the means of their points; clusters that lost all points go.
 
     The number of clusters is bounded, so one aggregation with a sum per cluster gives a city's whole result in one
     row: a single small shuffle per round.
     """
-    assigned = points.join(centers.select(*city, "centers"), city).select(
+    assigned = _with_centers(points, centers, cities, city, ["lat", "lon"]).select(
         *city,
         "n",
         _nearest("lat", "lon")["cluster_id"].alias("cluster_id"),
@@ -146,13 +166,14 @@ def city_centers(businesses: DataFrame, cities: DataFrame, stage: Stage, city: l
     """
     points = stage.write("points", _points(businesses, cities, city))
     centers = stage.write("centers-0", _first_centers(points, cities, city, seed))
-    stopped = []
+    left, stopped = centers.count(), []
     for done in range(1, MAX_ROUNDS + 1):
-        moved = stage.write(f"centers-{done}", _round(points, centers, city))
+        moved = stage.write(f"centers-{done}", _round(points, centers, left, city))
         going = F.col("moved") > TOLERANCE
         stopped.append(moved.filter(~going).select(*city, "centers"))
         centers = moved.filter(going).select(*city, "centers")
-        if centers.isEmpty():
+        left = centers.count()
+        if not left:
             break
     return reduce(DataFrame.unionByName, stopped, centers)
 
@@ -181,7 +202,8 @@ def fit_neighborhoods(businesses: DataFrame, params: Params, stage: Stage) -> Da
     base = stage.write("businesses", businesses.select("business_id", "city", "state", "latitude", "longitude"))
     cities = dense_cities(base, params.dense_city_threshold, city)
     centers = city_centers(base, cities, stage, city, params.cluster_seed)
-    assigned = base.join(centers.select(*city, "centers"), city).withColumn("nearest", _nearest("latitude", "longitude"))
+    joined = _with_centers(base, centers, centers.count(), city, ["business_id"])
+    assigned = joined.withColumn("nearest", _nearest("latitude", "longitude"))
     return _labelled(
         assigned.select(
             "business_id",

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from placebeat.operators import kpis
+from placebeat.operators import kpis, neighborhoods
 from placebeat.operators.category_mix import category_mix
 from placebeat.operators.hotspots import window_hotspots
 from placebeat.operators.neighborhoods import (
@@ -114,6 +114,15 @@ def test_result_depends_neither_on_distribution_nor_on_other_cities(spark, clust
         assert rows(again) == sorted((r for r in map(tuple, fitted) if r[1] == "Mess"), key=repr)
 
 
+def test_many_cities_are_joined_without_broadcast(spark, clustered, fitted, monkeypatch):
+    monkeypatch.setattr(neighborhoods, "BROADCAST_CITIES", 0)
+    with Stage(spark) as stage:
+        again = fit_neighborhoods(businesses(spark, clustered), Params(dense_city_threshold=5), stage)
+        text = again._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [city" in text and "Broadcast" not in text
+        assert rows(again) == sorted(map(tuple, fitted), key=repr)
+
+
 def test_spark_ml_agrees_on_separate_clusters(spark, clustered):
     blobs = [p for p in clustered if p[1] == "Blobs"]
     centers, members = grouped(fit_neighborhoods_mllib(businesses(spark, blobs), ["Blobs"]).collect())

@@ -256,3 +256,8 @@ SELECT * FROM ({_LEADERS}) WHERE city = 'NATION_7' ORDER BY review_count DESC, c
 ORACLES["area_choice"] = _MIX + _scored(_DAY, _DAY // 2) + """
 SELECT DISTINCT area_type, area_id FROM h
 WHERE city = 'NATION_7' AND area_id IN (SELECT area_id FROM mix WHERE category = 'ECONOMY' AND city = 'NATION_7')"""
+
+# A stream that has ended has the tables of a batch over the same events.
+for _name in ("city_metrics", "window_hotspots", "category_mix"):
+    ORACLES[f"streamed_{_name}"] = ORACLES[_name]
+ORACLES["watermarked_window_hotspots"] = ORACLES["window_hotspots"]

@@ -15,11 +15,14 @@ from placebeat.functions import parse_date
 from placebeat.operators import category_mix as mix
 from placebeat.operators import cleaning, hotspots, kpis, serving
 from placebeat.operators.areas import area_panes, grid_event_frame
-from placebeat.operators.enrich import place_activity
+from placebeat.operators.enrich import enrich, place_activity
 from placebeat.operators.neighborhoods import dense_cities, distinct_businesses, fit_neighborhoods
 from placebeat.params import Params
 from placebeat.plans.stage import Stage
 from placebeat.sources import testtables as tables
+from placebeat.streaming.jobs import batch_processor, start_batches
+from placebeat.streaming.store import PartialStore
+from placebeat.streaming.watermark import watermarked_panes, watermarked_windows, write_panes
 
 DECIMALS = 6
 CITY, CATEGORY = "NATION_7", "ECONOMY"
@@ -325,6 +328,65 @@ def recent_feed(spark, folder):
     return serving.recent_feed(latest_reviews(spark, folder))
 
 
+# -- streams --------------------------------------------------------------------------------------------------------
+
+# Streams keep instants, the tables zone-less times; both conversions take the clock time as UTC.
+_TO_INSTANT = "timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', date))"
+
+
+def _event_stream(spark, folder):
+    """The events file as an unbounded source of raw reviews, its rows in as many batches as it has files."""
+    stream = spark.readStream.schema(tables.table(spark, folder, "events").schema).parquet(f"{folder}/events*.parquet")
+    return tables.as_reviews(stream).withColumn("date", F.expr(_TO_INSTANT))
+
+
+def _zoneless(frame: DataFrame, *names: str) -> DataFrame:
+    return frame.withColumns(
+        {n: F.expr(f"timestampadd(MICROSECOND, unix_micros({n}), TIMESTAMP_NTZ '1970-01-01 00:00:00')") for n in names}
+    )
+
+
+def _run_to_end(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def _stream_settings(spark, params):
+    folder = Stage(spark).path
+    return params.with_(output_path=f"{folder}/tables", checkpoint_path=f"{folder}/checkpoint")
+
+
+def _streamed(spark, folder, params):
+    """The nine tables read back from the partials a stream has written."""
+    params = _stream_settings(spark, params)
+    located = _places(spark, folder)
+    process = batch_processor(lambda: located, params)
+    _run_to_end(start_batches(_event_stream(spark, folder), process, params, available_now=True))
+    return PartialStore(spark, params.output_path).tables(params)
+
+
+def streamed_city_metrics(spark, folder):
+    return _rounded(_streamed(spark, folder, DAILY)["city_metrics"], "avg_stars")
+
+
+def streamed_window_hotspots(spark, folder):
+    return _zoneless(
+        _rounded(_streamed(spark, folder, DAILY)["window_hotspots"], *_SCORES), "window_start", "window_end"
+    )
+
+
+def streamed_category_mix(spark, folder):
+    return _zoneless(_rounded(_streamed(spark, folder, RECENT)["category_mix"], *_SHARES), "window_end")
+
+
+def watermarked_window_hotspots(spark, folder):
+    params = _stream_settings(spark, DAILY)
+    joined = enrich(cleaning.clean_reviews(_event_stream(spark, folder)), _places(spark, folder))
+    _run_to_end(write_panes(watermarked_panes(joined, params, "1 day"), params, available_now=True))
+    return _zoneless(_rounded(watermarked_windows(spark, params), *_SCORES), "window_start", "window_end")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -336,6 +398,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         category_mix, city_options, default_city, category_options, area_options, area_type_options, city_hotspots,
         map_midpoint, city_emerging, city_window_hotspots, window_date_bounds, area_series, areas_with_category,
         area_choice, area_top_categories, top_categories_by_area, activity_series_thinned, city_activity_series,
-        city_leaderboard, top_city_categories, recent_feed,
+        city_leaderboard, top_city_categories, recent_feed, streamed_city_metrics, streamed_window_hotspots,
+        streamed_category_mix, watermarked_window_hotspots,
     )
 }

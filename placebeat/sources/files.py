@@ -44,7 +44,8 @@ def read_table(spark: SparkSession, base_path: str, name: str) -> DataFrame:
     """A published table with its declared schema; empty when it has not been written yet."""
     schema = TABLE_SCHEMAS[name]
     try:
-        return spark.read.schema(schema).parquet(f"{base_path.rstrip('/')}/{name}")
+        found = spark.read.schema(schema).parquet(f"{base_path.rstrip('/')}/{name}")
+        return found.select(*schema.fieldNames())  # without the batch_id of appended batches
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

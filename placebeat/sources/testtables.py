@@ -46,7 +46,11 @@ def _with_city(spark: SparkSession, folder: str, holders: DataFrame, nation_key:
 
 
 def raw_event_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").selectExpr(
+    return as_reviews(table(spark, folder, "events"))
+
+
+def as_reviews(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "string(event_id) AS review_id",
         "string(user_id) AS business_id",
         "event_type AS user_id",

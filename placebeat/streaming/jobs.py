@@ -88,9 +88,21 @@ def start_stream(
     else:
         cached = located.persist(StorageLevel.MEMORY_AND_DISK)
         places_of = lambda: cached
+    return start_batches(reviews, batch_processor(places_of, params, neighborhoods, mode), params, available_now)
+
+
+def start_batches(
+    stream: DataFrame,
+    process: Callable[[DataFrame, int], None],
+    params: Params,
+    available_now: bool = False,
+    output_mode: str = "append",
+) -> StreamingQuery:
+    """Run ``process`` on every micro-batch, every ``trigger_seconds`` or until all that is there is worked off."""
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{params.trigger_seconds} seconds"}
     return (
-        reviews.writeStream.foreachBatch(batch_processor(places_of, params, neighborhoods, mode))
+        stream.writeStream.foreachBatch(process)
+        .outputMode(output_mode)
         .option("checkpointLocation", params.checkpoint_path)
         .trigger(**trigger)
         .start()

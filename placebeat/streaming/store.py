@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from placebeat.params import Params
 from placebeat.plans.partials import finish, merge
 from placebeat.schemas import PARTIAL_SCHEMAS
+from placebeat.sources.files import write_tables
 
 _BATCH = T.StructField("batch_id", T.LongType())
 
@@ -84,6 +85,10 @@ class PartialStore:
         """The nine tables over everything the stream has seen."""
         return finish(self.merged(params), params)
 
+    def publish(self, params: Params) -> None:
+        """Replace the nine Parquet tables under the base path by their present state, for readers of plain tables."""
+        write_tables(self.tables(params), self.base_path)
+
     def compact(self, params: Params, through: int | None = None) -> int:
         """Merge all batches up to ``through`` into one directory per partial and return ``through``.
 

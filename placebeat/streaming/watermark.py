@@ -7,6 +7,7 @@ of every pane.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,7 +20,7 @@ from placebeat.operators.hotspots import params_pane, scored_windows
 from placebeat.params import Params
 from placebeat.schemas import PARTIAL_SCHEMAS
 from placebeat.sources.files import load_places
-from placebeat.streaming.jobs import neighborhood_dimension
+from placebeat.streaming.jobs import neighborhood_dimension, start_batches
 from placebeat.streaming.store import read_batches
 
 _KEYS = [*AREA_COLUMNS, "pane_start"]
@@ -32,30 +33,27 @@ def watermarked_panes(
     """Streaming totals per area and pane, for update mode. Events later than ``delay`` may be dropped."""
     events = enriched.withWatermark("review_date", delay)
     cell = grid_cell(F.col("latitude"), F.col("longitude"), params.cell_size_km)
-    placed = events.select(
-        F.lit(GRID).alias("area_type"),
-        cell.grid_id.alias("area_id"),
-        "city",
-        "state",
-        cell.latitude.alias("latitude"),
-        cell.longitude.alias("longitude"),
-        "review_stars",
-        "review_date",
-    )
+    areas = [
+        F.struct(
+            F.lit(GRID).alias("area_type"),
+            cell.grid_id.alias("area_id"),
+            cell.latitude.alias("latitude"),
+            cell.longitude.alias("longitude"),
+        )
+    ]
     if neighborhoods is not None:
-        joined = events.drop("latitude", "longitude").join(neighborhoods, ["business_id", "city", "state"], "inner")
-        placed = placed.unionByName(
-            joined.select(
-                F.lit(NEIGHBORHOOD).alias("area_type"),
-                F.col("neighborhood_id").alias("area_id"),
-                "city",
-                "state",
-                F.col("center_lat").alias("latitude"),
-                F.col("center_lon").alias("longitude"),
-                "review_stars",
-                "review_date",
-            )
+        # One pass for both kinds: a union would read the source twice.
+        events = events.join(neighborhoods, ["business_id", "city", "state"], "left")
+        assigned = F.struct(
+            F.lit(NEIGHBORHOOD).alias("area_type"),
+            F.col("neighborhood_id").alias("area_id"),
+            F.col("center_lat").alias("latitude"),
+            F.col("center_lon").alias("longitude"),
         )
+        areas.append(F.when(F.col("neighborhood_id").isNotNull(), assigned))
+    placed = events.select(
+        "city", "state", "review_stars", "review_date", F.explode(F.array_compact(F.array(*areas))).alias("area")
+    ).select("area.*", "city", "state", "review_stars", "review_date")
     totals = placed.groupBy(*AREA_COLUMNS, F.window("review_date", f"{params_pane(params)} microseconds")).agg(
         F.count("*").alias("event_count"), F.sum("review_stars").alias("stars_sum")
     )
@@ -65,22 +63,20 @@ def watermarked_panes(
 def start_watermarked(
     spark: SparkSession, reviews: DataFrame, params: Params, delay: str, available_now: bool = False
 ) -> StreamingQuery:
-    located = load_places(spark, params.business_path)
+    located = load_places(spark, params.business_path).persist(StorageLevel.MEMORY_AND_DISK)
     neighborhoods = neighborhood_dimension(spark, params, located)
     panes = watermarked_panes(enrich(clean_reviews(reviews), located), params, delay, neighborhoods)
+    return write_panes(panes, params, available_now)
+
+
+def write_panes(panes: DataFrame, params: Params, available_now: bool = False) -> StreamingQuery:
+    """Write the panes each batch changed to a directory of that batch."""
     path = f"{params.output_path.rstrip('/')}/{_FOLDER}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    trigger = {"availableNow": True} if available_now else {"processingTime": f"{params.trigger_seconds} seconds"}
-    return (
-        panes.writeStream.foreachBatch(write)
-        .outputMode("update")
-        .option("checkpointLocation", params.checkpoint_path)
-        .trigger(**trigger)
-        .start()
-    )
+    return start_batches(panes, write, params, available_now, output_mode="update")
 
 
 def newest_panes(spark: SparkSession, base_path: str) -> DataFrame:

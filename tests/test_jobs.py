@@ -164,6 +164,8 @@ def test_stream_equals_static(spark, base, tmp_path, reviews, static):
     assert store.compact(params) == pieces - 2
     assert store.compact(params, pieces - 1) == pieces - 1
     store.drop_compacted()
+    store.publish(params)
+    assert rows(read_table(spark, params.output_path, "category_mix")) == static["category_mix"]
     assert not (tmp_path / "out" / "partials" / "area_panes" / "batch_id=0").exists()
     assert all_tables(store, params) == static
 
@@ -175,7 +177,8 @@ def test_append_mode_adds_each_batch_alone(spark, base, tmp_path, reviews):
     assert stored.agg(F.sum("review_count")).first()[0] == 399
     assert stored.count() == 4
     write_batch({"city_metrics": spark.createDataFrame([("c", "s", 1, 1.0)], TABLE_SCHEMAS["city_metrics"])}, params.output_path, 1)
-    assert read_table(spark, params.output_path, "city_metrics").count() == 3
+    found = read_table(spark, params.output_path, "city_metrics")
+    assert found.count() == 3 and found.columns == TABLE_SCHEMAS["city_metrics"].fieldNames()
 
 
 def test_empty_batch_writes_nothing(spark, base, tmp_path):
@@ -202,13 +205,13 @@ def test_settings_are_checked_first(spark, base, tmp_path):
         run(spark, settings(base, tmp_path, source_type="carrier pigeon"))
 
 
-def watermarked(spark, base, tmp_path, pieces, delay):
+def watermarked(spark, base, tmp_path, pieces, delay, dense=0):
     folder = tmp_path / "incoming"
     folder.mkdir()
     for i, piece in enumerate(pieces):
         write_lines(folder / f"{i:03}.json", piece)
     params = settings(
-        base, tmp_path / "out", checkpoint_path=str(tmp_path / "checkpoint"), dense_city_threshold=0,
+        base, tmp_path / "out", checkpoint_path=str(tmp_path / "checkpoint"), dense_city_threshold=dense,
         stream_path=str(folder),
     )
     query = start_watermarked(spark, review_file_stream(spark, str(folder), 1), params, delay, available_now=True)
@@ -218,8 +221,11 @@ def watermarked(spark, base, tmp_path, pieces, delay):
 
 
 def test_watermark_with_ordered_input_is_exact(spark, base, tmp_path, reviews, static):
-    params, query = watermarked(spark, base, tmp_path, [reviews[:200], reviews[200:]], "1 hour")
-    assert rows(watermarked_windows(spark, params)) == [r for r in static["window_hotspots"] if r[0] == "grid"]
+    params, query = watermarked(spark, base, tmp_path, [reviews[:200], reviews[200:]], "1 hour", dense=4)
+    found = rows(watermarked_windows(spark, params))
+    # These neighborhoods are fitted over all places, those of the static job over places with events.
+    assert {r[0] for r in found} == {"grid", "neighborhood"}
+    assert [r for r in found if r[0] == "grid"] == [r for r in static["window_hotspots"] if r[0] == "grid"]
     assert late_rows(query) == 0
 
 

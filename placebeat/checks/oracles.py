@@ -261,3 +261,12 @@ WHERE city = 'NATION_7' AND area_id IN (SELECT area_id FROM mix WHERE category =
 for _name in ("city_metrics", "window_hotspots", "category_mix"):
     ORACLES[f"streamed_{_name}"] = ORACLES[_name]
 ORACLES["watermarked_window_hotspots"] = ORACLES["window_hotspots"]
+
+_IN_DENSE_CITY = f"city IN (SELECT city FROM ({_BUSINESSES}) GROUP BY city HAVING count(*) >= 6)"
+ORACLES["neighborhood_city_totals"] = _BASE + f"SELECT * FROM ({_CITY_TOTALS}) WHERE {_IN_DENSE_CITY}"
+ORACLES["neighborhood_cities"] = _BASE + f"SELECT DISTINCT city FROM e WHERE {_IN_DENSE_CITY}"
+ORACLES["neighborhood_window_totals"] = _BASE + _windows(_DAY, _DAY // 2) + f"""
+SELECT city, state, window_start, window_end, count(*) AS event_count FROM w WHERE {_IN_DENSE_CITY} GROUP BY ALL"""
+ORACLES["neighborhood_category_totals"] = _MIX + f"""
+SELECT city, state, category, CAST(sum(current_count) AS BIGINT) AS current_count
+FROM mix WHERE {_IN_DENSE_CITY} GROUP BY ALL"""

@@ -180,6 +180,29 @@ def neighborhood_cities(spark, folder):
     return serving.dense_city_options(found)
 
 
+# Sums over the neighborhoods of a city must equal the city's own numbers, which SQL can state.
+
+
+def neighborhood_city_totals(spark, folder):
+    found = kpis.neighborhood_hotspots(_activity(spark, folder), _neighborhoods(spark, folder))
+    stars = F.sum(F.col("review_count") * F.col("avg_stars")) / F.sum("review_count")
+    totals = found.groupBy("city", "state").agg(F.sum("review_count").alias("review_count"), stars.alias("avg_stars"))
+    return _rounded(totals, "avg_stars")
+
+
+def neighborhood_window_totals(spark, folder):
+    every = DAILY.with_(min_events_for_hotspot=1)
+    found = hotspots.window_hotspots(_activity(spark, folder, every), every, _neighborhoods(spark, folder))
+    inside = found.filter(F.col("area_type") == "neighborhood")
+    return inside.groupBy("city", "state", "window_start", "window_end").agg(F.sum("event_count").alias("event_count"))
+
+
+def neighborhood_category_totals(spark, folder):
+    found = mix.category_mix(_recent_activity(spark, folder), RECENT, _neighborhoods(spark, folder))
+    inside = found.filter(F.col("area_type") == "neighborhood")
+    return inside.groupBy("city", "state", "category").agg(F.sum("current_count").alias("current_count"))
+
+
 # -- windows --------------------------------------------------------------------------------------------------------
 
 
@@ -393,7 +416,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         enriched_events, cleaned_reviews, parsed_dates, oldest_reviews, event_categories, event_grid_cells,
         category_events, city_metrics, city_metrics_volume, grid_hotspots, grid_hotspots_volume, category_leaders,
         latest_reviews, business_projection, dense_city_counts, cluster_counts, neighborhood_assignments,
-        neighborhood_hotspots, neighborhood_windows, neighborhood_category_mix, neighborhood_cities, window_hotspots,
+        neighborhood_hotspots, neighborhood_windows, neighborhood_category_mix, neighborhood_cities, neighborhood_city_totals,
+        neighborhood_window_totals, neighborhood_category_totals, window_hotspots,
         window_hotspots_tumbling, window_hotspots_volume, emerging_areas, city_activity_windows, area_pane_totals,
         category_mix, city_options, default_city, category_options, area_options, area_type_options, city_hotspots,
         map_midpoint, city_emerging, city_window_hotspots, window_date_bounds, area_series, areas_with_category,

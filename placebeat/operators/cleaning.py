@@ -101,7 +101,8 @@ def places(businesses: DataFrame) -> DataFrame:
 def oldest_reviews(reviews: DataFrame, limit: int | None) -> DataFrame:
     """Cleaned reviews, or only the ``limit`` oldest in time order (ties by review_id); no limit or 0 means all.
 
-    Without a limit no order is imposed: no indicator needs one, and a global sort would move every review.
+    Without a limit no order is imposed: no indicator needs one, and a global sort would move every review. With one,
+    every task keeps its own oldest and a last task merges them, so the limit is meant for samples of a data set.
     """
     cleaned = clean_reviews(reviews)
     if not limit:

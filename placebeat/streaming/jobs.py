@@ -51,17 +51,18 @@ def batch_processor(
     def process(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        spark = batch.sparkSession
-        cleaned = clean_reviews(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        cleaned = clean_reviews(batch)
+        # The rows every table or partial of the batch starts from: joined in one mode, reduced first in the other.
+        kept = enrich(cleaned, places_of()) if mode == "append" else cleaned
+        kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if mode == "append":
-                tables = build_tables(enrich(cleaned, places_of()), params, neighborhoods)
-                write_batch(tables, params.output_path, batch_id)
+                write_batch(build_tables(kept, params, neighborhoods), params.output_path, batch_id)
             else:
-                partials = batch_partials(cleaned, places_of(), params, neighborhoods)
-                PartialStore(spark, params.output_path).write(partials, batch_id)
+                partials = batch_partials(kept, places_of(), params, neighborhoods)
+                PartialStore(batch.sparkSession, params.output_path).write(partials, batch_id)
         finally:
-            cleaned.unpersist()
+            kept.unpersist()
 
     return process
 

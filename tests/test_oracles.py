@@ -1,7 +1,6 @@
 """Every registered query against SQL over the same tables; those without SQL against what must hold."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from placebeat.operators.kpis import latest_reviews, newest
@@ -12,7 +11,6 @@ from tests.helpers import rows
 QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 WITHOUT_SQL = {
     "neighborhood_assignments", "neighborhood_hotspots", "neighborhood_windows", "neighborhood_category_mix",
-    "neighborhood_cities",
 }
 
 
@@ -42,16 +40,6 @@ def test_the_comparison_notices_differences(spark, small, database):
         assert difference(found, sql.format(ORACLES["city_metrics"]), database) is not None
 
 
-def test_neighborhood_hotspots(spark, small):
-    """Events of dense cities are all counted, each once."""
-    found = QUERIES["neighborhood_hotspots"](spark, small)
-    dense = QUERIES["dense_city_counts"](spark, small).select("city")
-    wanted = QUERIES["city_metrics"](spark, small).join(dense, "city", "left_semi")
-    assert rows(found.groupBy("city", "state").agg(F.sum("review_count"))) == rows(
-        wanted.select("city", "state", "review_count")
-    )
-
-
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from placebeat.llm import mixing, quality_rules, token_counts
+from placebeat.llm import html_extraction, mixing, near_duplicates, quality_rules, token_counts, url_filters
 
 QUERIES = {
+    "op1_html_extraction": html_extraction.op1_html_extraction,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_near_duplicates": near_duplicates.op3_near_duplicates,
     "op5_mixing": mixing.op5_mixing,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op8_url_filters": url_filters.op8_url_filters,
 }
 
 ORACLES = {

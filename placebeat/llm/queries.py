@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from placebeat.llm import html_extraction, mixing, near_duplicates, quality_rules, token_counts, url_filters
+from placebeat.llm import html_extraction, mixing, near_duplicates, quality_rules, secret_scans, token_counts, url_filters
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_near_duplicates": near_duplicates.op3_near_duplicates,
+    "op4_secret_scans": secret_scans.op4_secret_scans,
     "op5_mixing": mixing.op5_mixing,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_url_filters": url_filters.op8_url_filters,

@@ -23,6 +23,9 @@ _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Blanks and ASCII punctuation, for words without the marks around them.
+MARKS = SPACE.copy()
+MARKS[[x for x in range(33, 127) if not chr(x).isalnum()]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -74,12 +77,15 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a chunk: byte spans, the row of each, and where each row's words begin."""
+    """The words of a chunk: byte spans, the row of each, and where each row's words begin.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    blank: the bytes between words; the default gives the words ``[^\\x20\\x09-\\x0D]+``.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = SPACE) -> None:
         self.data, self.offsets = data, offsets
         filled = offsets[1:] > offsets[:-1]
-        inside = ~SPACE[data]
+        inside = ~blank[data]
         before = np.empty_like(inside)
         before[:1] = False
         before[1:] = inside[:-1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placebeat.llm import decontamination, html_extraction, license_scans, mixing, near_duplicates, quality_rules, secret_scans, token_counts, url_filters
+from placebeat.llm import decontamination, html_extraction, license_scans, mixing, near_duplicates, quality_rules, repeated_passages, secret_scans, token_counts, url_filters
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_license_scans": license_scans.op7_license_scans,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_decontamination": decontamination.op9_decontamination,
+    "op10_repeated_passages": repeated_passages.op10_repeated_passages,
 }
 
 ORACLES = {

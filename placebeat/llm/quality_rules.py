@@ -19,11 +19,11 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placebeat.llm import kernel
-from placebeat.llm.support import narrow, ship, table
+from placebeat.llm.support import fresh, narrow, ship, table
 
 CACHE_WORDS = 500_000
 SYMBOLS = np.zeros(256, bool)
@@ -166,8 +166,8 @@ def measures(data: np.ndarray, offsets: np.ndarray, path: str) -> dict[str, np.n
     return base_counts(words, hashes) | fertility(words, hashes, path) | {"script": script_index(data, offsets)}
 
 
-def text_measures(frame: DataFrame, text_column: str = "text", path: str | None = None) -> DataFrame:
-    """The frame's columns and the struct ``measures`` (MEASURES and ``script``), one row for each row."""
+def text_measures(frame: DataFrame, text_column: str = "text", path: str | None = None, name: str = "measures") -> DataFrame:
+    """The frame's columns and the struct ``name`` (MEASURES and ``script``), one row for each row."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     ship(frame.sparkSession)
     at = frame.columns.index(text_column)
@@ -181,10 +181,22 @@ def text_measures(frame: DataFrame, text_column: str = "text", path: str | None
             whole = {k: np.concatenate([x[k] for x in found]) for k in (*MEASURES, "script")}
             fields = [pa.array(whole[k].astype(np.int64)) for k in MEASURES[:-1]]
             fields += [pa.array(whole["token_entropy"], from_pandas=True), pa.array(np.array(SCRIPTS)[whole["script"]], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(fields, [*MEASURES, "script"])], [*batch.schema.names, "measures"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(fields, [*MEASURES, "script"])], [*batch.schema.names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-    return frame.mapInArrow(measure, f"{fields}, measures {kind}")
+    return frame.mapInArrow(measure, f"{fields}, `{name}` {kind}")
+
+
+def verdicts(measured: Column, lang: Column, bands: dict[str, tuple[float, float, float, float]]) -> dict[str, Column]:
+    """chars_per_token, byte_share, base_failed and kept of a struct of measures and a language (null: by script)."""
+    n = measured["n_tokens"]
+    table_of = F.create_map(*(x for k, v in bands.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    band = F.coalesce(table_of[lang], table_of[measured["script"]])
+    chars_per_token, byte_share = F.when(n > 0, measured["word_chars"] / n), F.when(n > 0, measured["n_byte_tokens"] / n)
+    entropy_ = measured["token_entropy"]
+    inside = (chars_per_token >= band[0]) & (byte_share <= band[1]) & (entropy_ >= band[2]) & (entropy_ <= band[3])
+    failed = (measured["n_words"] < 50) | (100 * measured["n_repeat_words"] > 50 * measured["n_words"])
+    return {"chars_per_token": chars_per_token, "byte_share": byte_share, "base_failed": failed, "kept": ~failed & F.coalesce(inside, F.lit(False))}
 
 
 def quality_rules(
@@ -204,23 +216,16 @@ def quality_rules(
     texts = narrow(frame, **named)
     if not lang_column:
         texts = texts.withColumn("lang", F.lit(None).cast("string"))
-    found = text_measures(texts.select("id", "lang", "text"), "text", path).drop("text").select("id", "lang", "measures.*")
-    table_of = F.create_map(*(x for k, v in bands.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    band = F.coalesce(table_of[F.col("lang")], table_of[F.col("script")])
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    n = F.col("n_tokens")
-    found = found.withColumns({
-        "chars_per_token": F.when(n > 0, F.col("word_chars") / n),
-        "byte_share": F.when(n > 0, F.col("n_byte_tokens") / n),
-        "base_failed": base_failed,
-        "band": band,
-    })
-    inside = (
-        (F.col("chars_per_token") >= F.col("band")[0]) & (F.col("byte_share") <= F.col("band")[1])
-        & (F.col("token_entropy") >= F.col("band")[2]) & (F.col("token_entropy") <= F.col("band")[3])
-    )
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
-    return found.withColumn("kept", kept).drop("band", "lang").withColumnRenamed("id", id_column)
+    found = text_measures(texts.select("id", "lang", "text"), "text", path).drop("text")
+    judged = found.select("id", "measures.*", *(c.alias(k) for k, c in verdicts(F.col("measures"), F.col("lang"), bands).items()))
+    return judged.withColumnRenamed("id", id_column)
+
+
+def passing(frame: DataFrame, text_column: str = "text", lang_column: str = "lang", path: str | None = None, bands=BANDS) -> DataFrame:
+    """The rows of the frame whose text is kept, with all their columns."""
+    name = fresh(frame, "measures")
+    found = text_measures(frame, text_column, path, name)
+    return found.filter(verdicts(F.col(f"`{name}`"), F.col(f"`{lang_column}`"), bands)["kept"]).select(*(F.col(f"`{x}`") for x in frame.columns))
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

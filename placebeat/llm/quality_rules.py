@@ -110,7 +110,8 @@ def base_counts(words: kernel.Words, hashes: np.ndarray) -> dict[str, np.ndarray
     begin = np.unique(np.concatenate((offsets[:-1], breaks + 1)))
     begin = begin[begin < len(data)]
     end = np.append(begin[1:], len(data))
-    end = end - ((end > begin) & (data[end - 1] == 0x0A)) if len(end) else end
+    end = end[: len(begin)]
+    end = end - (data[end - 1] == 0x0A)
     holds = np.searchsorted(words.start, end) > np.searchsorted(words.start, begin)
     begin, end = begin[holds], end[holds]
     line_row = np.searchsorted(offsets, begin, "right") - 1

@@ -159,10 +159,18 @@ FROM e""",
     "cleaned_reviews": _BASE + """
 SELECT review_id, business_id, user_id, review_stars, event_time AS review_date, review_text FROM rev""",
     "parsed_dates": """
-SELECT o_orderkey, CASE o_orderkey % 5
-         WHEN 1 THEN date_trunc('day', o_orderdate) + to_microseconds(36672000000)
-         WHEN 4 THEN NULL ELSE date_trunc('day', o_orderdate) END::TIMESTAMP AS parsed
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1) THEN date_trunc('second', o_orderdate)
+         WHEN o_orderkey % 5 = 4 THEN NULL ELSE date_trunc('day', o_orderdate) END::TIMESTAMP AS parsed
 FROM orders""",
+    "order_dates_kept": """
+SELECT CAST(o_orderkey AS VARCHAR) AS review_id, CAST(o_custkey AS VARCHAR) AS business_id,
+       CASE WHEN o_orderkey % 5 IN (0, 1) THEN date_trunc('second', o_orderdate)
+         ELSE date_trunc('day', o_orderdate) END::TIMESTAMP AS review_date
+FROM orders WHERE o_orderkey % 5 <> 4""",
+    "order_dates_rejected": """
+SELECT CAST(o_orderkey AS VARCHAR) AS review_id, CAST(o_custkey AS VARCHAR) AS business_id,
+       'on ' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS date
+FROM orders WHERE o_orderkey % 5 = 4""",
     "oldest_reviews": _BASE + """
 SELECT review_id, business_id, review_stars, event_time AS review_date
 FROM rev ORDER BY event_time, review_id, business_id LIMIT 1000""",
@@ -231,6 +239,10 @@ FROM h WHERE city = 'NATION_7' AND area_type = 'grid' AND area_id = '1859_-6189'
     "area_top_categories": _MIX + f"""
 SELECT category, current_count, {_ROUNDED_SHARES}
 FROM mix WHERE city = 'NATION_7' AND area_id = '1859_-6189'
+ORDER BY mix.current_share DESC, category, state LIMIT 10""",
+    "area_chosen_category": _MIX + f"""
+SELECT category, current_count, {_ROUNDED_SHARES}
+FROM mix WHERE city = 'NATION_7' AND area_id = '1859_-6189' AND category = 'ECONOMY'
 ORDER BY mix.current_share DESC, category, state LIMIT 10""",
     "top_categories_by_area": _MIX + f""", r AS (
   SELECT *, row_number() OVER (PARTITION BY city, area_id ORDER BY current_share DESC, category, state) AS rank
@@ -263,6 +275,10 @@ for _name in ("city_metrics", "window_hotspots", "category_mix"):
 ORACLES["watermarked_window_hotspots"] = ORACLES["window_hotspots"]
 
 _IN_DENSE_CITY = f"city IN (SELECT city FROM ({_BUSINESSES}) GROUP BY city HAVING count(*) >= 6)"
+ORACLES["neighborhood_fit_checks"] = _BASE + f"""
+SELECT city, count(*) AS business_count, count(*) AS assigned, CAST(0 AS BIGINT) AS with_a_nearer_center,
+       CAST(0 AS BIGINT) AS centers_off_their_mean, CAST(0 AS BIGINT) AS clusters_beyond_the_bound
+FROM ({_BUSINESSES}) GROUP BY city HAVING count(*) >= 6"""
 ORACLES["neighborhood_city_totals"] = _BASE + f"SELECT * FROM ({_CITY_TOTALS}) WHERE {_IN_DENSE_CITY}"
 ORACLES["neighborhood_cities"] = _BASE + f"SELECT DISTINCT city FROM e WHERE {_IN_DENSE_CITY}"
 ORACLES["neighborhood_window_totals"] = _BASE + _windows(_DAY, _DAY // 2) + f"""

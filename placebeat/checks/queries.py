@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placebeat.functions import parse_date
@@ -16,7 +16,7 @@ from placebeat.operators import category_mix as mix
 from placebeat.operators import cleaning, hotspots, kpis, serving
 from placebeat.operators.areas import area_panes, grid_event_frame
 from placebeat.operators.enrich import enrich, place_activity
-from placebeat.operators.neighborhoods import dense_cities, distinct_businesses, fit_neighborhoods
+from placebeat.operators.neighborhoods import dense_cities, distinct_businesses, fit_checks, fit_neighborhoods
 from placebeat.params import Params
 from placebeat.plans.stage import Stage
 from placebeat.sources import testtables as tables
@@ -63,9 +63,17 @@ def _volume_activity(spark: SparkSession, folder: str, params: Params | None = N
     return place_activity(tables.lineitem_reviews(spark, folder), tables.supplier_places(spark, folder), pane)
 
 
+_fitted: dict[tuple[str, str], DataFrame] = {}
+
+
 def _neighborhoods(spark: SparkSession, folder: str) -> DataFrame:
-    active = distinct_businesses(_activity(spark, folder))
-    return fit_neighborhoods(active, DAILY, Stage(spark))
+    """Fitted once for a session and folder, and kept as one written table; the rounds' tables are removed."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _fitted:
+        active = distinct_businesses(_activity(spark, folder))
+        with Stage(spark) as stage:
+            _fitted[key] = Stage(spark).write("neighborhoods", fit_neighborhoods(active, DAILY, stage))
+    return _fitted[key]
 
 
 # -- cleaning, join, projection -------------------------------------------------------------------------------------
@@ -82,17 +90,36 @@ def cleaned_reviews(spark, folder):
 
 
 def parsed_dates(spark, folder):
-    day = F.substring(F.col("o_orderdate").cast("string"), 1, 10)
-    kind = F.col("o_orderkey") % 5
-    text = (
-        F.when(kind == 0, day)
-        .when(kind == 1, F.concat(day, F.lit("T10:11:12")))
-        .when(kind == 2, F.concat(day, F.lit(" about noon")))
-        .when(kind == 3, F.replace(day, F.lit("-"), F.lit("")))
-        .otherwise(F.concat(F.lit("on "), day))
+    orders = tables.table(spark, folder, "orders")
+    return orders.select("o_orderkey", parse_date(_written_date()).cast("timestamp_ntz").alias("parsed"))
+
+
+def _written_date() -> Column:
+    """Order times as text in several forms, by key: the last of five can't be read."""
+    time, kind = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.col("o_orderkey") % 5
+    return (
+        F.when(kind == 0, time)
+        .when(kind == 1, F.replace(time, F.lit(" "), F.lit("T")))
+        .when(kind == 2, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" about noon")))
+        .when(kind == 3, F.date_format("o_orderdate", "yyyyMMdd"))
+        .otherwise(F.concat(F.lit("on "), time))
     )
+
+
+def _order_reviews(spark, folder) -> DataFrame:
     orders = tables.table(spark, folder, "orders")
-    return orders.select("o_orderkey", parse_date(text).cast("timestamp_ntz").alias("parsed"))
+    text = {"review_id": "o_orderkey", "business_id": "o_custkey", "user_id": "o_custkey", "text": "o_orderpriority"}
+    named = [F.col(column).cast("string").alias(name) for name, column in text.items()]
+    return orders.select(*named, F.lit(3.0).alias("stars"), _written_date().alias("date"))
+
+
+def order_dates_kept(spark, folder):
+    kept = cleaning.clean_reviews(_order_reviews(spark, folder))
+    return kept.select("review_id", "business_id", F.col("review_date").cast("timestamp_ntz").alias("review_date"))
+
+
+def order_dates_rejected(spark, folder):
+    return cleaning.rejected_reviews(_order_reviews(spark, folder)).select("review_id", "business_id", "date")
 
 
 def oldest_reviews(spark, folder):
@@ -159,6 +186,10 @@ def neighborhood_assignments(spark, folder):
     return _neighborhoods(spark, folder)
 
 
+def neighborhood_fit_checks(spark, folder):
+    return fit_checks(distinct_businesses(_activity(spark, folder)), _neighborhoods(spark, folder), DAILY)
+
+
 def neighborhood_hotspots(spark, folder):
     found = kpis.neighborhood_hotspots(_activity(spark, folder), _neighborhoods(spark, folder))
     return _rounded(found, "latitude", "longitude", "avg_stars")
@@ -324,6 +355,10 @@ def area_top_categories(spark, folder):
     return _rounded(serving.area_top_categories(_mix(spark, folder), CITY, *AREA), *_SHARES)
 
 
+def area_chosen_category(spark, folder):
+    return _rounded(serving.area_top_categories(_mix(spark, folder), CITY, *AREA, category=CATEGORY), *_SHARES)
+
+
 def top_categories_by_area(spark, folder):
     return _rounded(serving.top_categories_by_area(_mix(spark, folder)), *_SHARES)
 
@@ -413,15 +448,15 @@ def watermarked_window_hotspots(spark, folder):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
-        enriched_events, cleaned_reviews, parsed_dates, oldest_reviews, event_categories, event_grid_cells,
+        enriched_events, cleaned_reviews, parsed_dates, order_dates_kept, order_dates_rejected, oldest_reviews, event_categories, event_grid_cells,
         category_events, city_metrics, city_metrics_volume, grid_hotspots, grid_hotspots_volume, category_leaders,
-        latest_reviews, business_projection, dense_city_counts, cluster_counts, neighborhood_assignments,
+        latest_reviews, business_projection, dense_city_counts, cluster_counts, neighborhood_assignments, neighborhood_fit_checks,
         neighborhood_hotspots, neighborhood_windows, neighborhood_category_mix, neighborhood_cities, neighborhood_city_totals,
         neighborhood_window_totals, neighborhood_category_totals, window_hotspots,
         window_hotspots_tumbling, window_hotspots_volume, emerging_areas, city_activity_windows, area_pane_totals,
         category_mix, city_options, default_city, category_options, area_options, area_type_options, city_hotspots,
         map_midpoint, city_emerging, city_window_hotspots, window_date_bounds, area_series, areas_with_category,
-        area_choice, area_top_categories, top_categories_by_area, activity_series_thinned, city_activity_series,
+        area_choice, area_top_categories, area_chosen_category, top_categories_by_area, activity_series_thinned, city_activity_series,
         city_leaderboard, top_city_categories, recent_feed, streamed_city_metrics, streamed_window_hotspots,
         streamed_category_mix, watermarked_window_hotspots,
     )

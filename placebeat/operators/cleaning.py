@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,13 +98,30 @@ def places(businesses: DataFrame) -> DataFrame:
     )
 
 
+def _before_limit(rows: DataFrame, bucket: Column, limit: Column) -> tuple[Column, Column]:
+    """As scalar subqueries: the bucket of time in which the oldest ``limit`` rows end, and the rows before it."""
+    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    reached = counts.select("bucket", F.coalesce(earlier, F.lit(0)).alias("earlier")).filter(F.col("earlier") < limit)
+    return reached.agg(F.max("bucket")).scalar(), reached.agg(F.max("earlier")).scalar()
+
+
 def oldest_reviews(reviews: DataFrame, limit: int | None) -> DataFrame:
     """Cleaned reviews, or only the ``limit`` oldest in time order (ties by review_id); no limit or 0 means all.
 
-    Without a limit no order is imposed: no indicator needs one, and a global sort would move every review. With one,
-    every task keeps its own oldest and a last task merges them, so the limit is meant for samples of a data set.
+    Without a limit no order is imposed: no indicator needs one, and a global sort would move every review. With one, rows
+    are counted per day, then per second of the day in which the limit is reached (a row per bucket is all that meets in a
+    task); whole days and seconds before are kept as they are, and only the rows of one second are ranked.
     """
     cleaned = clean_reviews(reviews)
     if not limit:
         return cleaned
-    return cleaned.orderBy("review_date", "review_id", "business_id").limit(limit)
+    day, second = F.to_date("review_date"), F.date_trunc("second", "review_date")
+    last_day, before_day = _before_limit(cleaned, day, F.lit(limit))
+    in_day = cleaned.filter(day == last_day)
+    last_second, before_second = _before_limit(in_day, second, F.lit(limit) - before_day)
+    whole = cleaned.filter((day < last_day) | (day == last_day) & (second < last_second))
+    turn = F.row_number().over(Window.orderBy("review_date", "review_id", "business_id"))
+    ranked = in_day.filter(second == last_second).withColumn("turn", turn)
+    rest = ranked.filter(F.col("turn") <= F.lit(limit) - before_day - before_second).drop("turn")
+    return whole.unionByName(rest)

@@ -80,13 +80,13 @@ def latest_reviews(enriched: DataFrame, limit: int = 200) -> DataFrame:
     return feed(newest(enriched, limit))
 
 
-def newest_of(cleaned: DataFrame, located: DataFrame, limit: int) -> DataFrame:
+def newest_of(cleaned: DataFrame, located: DataFrame, limit: int, narrow: DataFrame | None = None) -> DataFrame:
     """:func:`newest` from its two inputs, without shuffling all texts when the places are not broadcast.
 
     A first look at keys and times finds the time of the last row of the feed; only reviews from then on are read
-    with their text and joined.
+    with their text and joined. ``narrow`` is a copy of the reviews without text to take the first look at.
     """
-    known = cleaned.select("business_id", "review_date").join(located.select("business_id"), "business_id")
+    known = (cleaned if narrow is None else narrow).select("business_id", "review_date").join(located.select("business_id"), "business_id")
     last = known.select("review_date").orderBy(F.desc("review_date")).limit(limit).agg(F.min("review_date"))
     return newest(enrich(cleaned.filter(F.col("review_date") >= last.scalar()), located), limit)
 

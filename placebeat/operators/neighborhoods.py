@@ -1,9 +1,9 @@
 """Neighborhoods of dense cities: k-means over business coordinates, all cities at once.
 
 Each round of Lloyd's algorithm is a join of points with the centers of their city and an aggregation, whatever the
-number of cities; the driver learns only how many cities are still moving. A city is never
-gathered in one task: counts, sums and the candidate list are all reduced before they are shuffled, and the lists
-collected per city are bounded by the number of candidates and clusters. Coordinates are added up as whole numbers of
+number of cities; the driver learns only how many cities are still moving. Starting centers are chosen over all points, one
+such round for each further center. A city is never gathered in one task: counts, sums and farthest points are all reduced
+before they are shuffled, and the lists kept per city are bounded by the number of clusters. Coordinates are added up as whole numbers of
 1e-7 degrees, so the result does not depend on how the rows are distributed.
 """
 
@@ -21,11 +21,9 @@ from placebeat.params import Params
 from placebeat.plans.stage import Stage
 from placebeat.schemas import NEIGHBORHOOD_SCHEMA
 
-CANDIDATES = 64  # starting centers are chosen among this many points of a city
 UNITS_PER_DEGREE = 10_000_000  # about one centimetre
-BROADCAST_CITIES = 20_000  # with 12 centers each about 6 MB
-SALTS = 64
-# The stopping rule (degrees, rounds).
+SALTS = 16  # tasks that a city's points are spread over where the centers are too many to broadcast
+# The default stopping rule (degrees, rounds).
 TOLERANCE, MAX_ROUNDS = 1e-4, 20
 
 _CENTERS = "array<struct<cluster_id:int,lat:double,lon:double>>"
@@ -68,45 +66,37 @@ def _points(businesses: DataFrame, cities: DataFrame, city: list[str]) -> DataFr
     return located.join(cities.select(*city), city, "left_semi")
 
 
-def _with_centers(rows: DataFrame, centers: DataFrame, cities: int, city: list[str], spread_by: list[str]) -> DataFrame:
+def _with_centers(rows: DataFrame, centers: DataFrame, city: list[str], spread_by: list[str]) -> DataFrame:
     """Rows joined to the centers of their city.
 
-    Up to a counted number of cities the centers, a few hundred bytes per city, are broadcast.
-    Beyond it both sides are shuffled, every city spread over several tasks so that a large one fills none.
+    Without a hint: Spark broadcasts the centers while their table is small and else shuffles both sides, every city
+    spread over several tasks so that a large one fills none.
     """
-    centers = centers.select(*city, "centers")
-    if cities <= BROADCAST_CITIES:
-        return rows.join(F.broadcast(centers), city)
-    spread = centers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = centers.select(*city, "centers").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
-    return salted.join(spread.hint("merge"), [*city, "salt"]).drop("salt")
+    return salted.join(spread, [*city, "salt"]).drop("salt")
 
 
-def _first_centers(points: DataFrame, cities: DataFrame, city: list[str], seed: int) -> DataFrame:
-    """Starting centers: candidates drawn by hash, then each time the candidate farthest from those chosen.
+def _first_centers(points: DataFrame, cities: DataFrame, stage: Stage, city: list[str], seed: int) -> DataFrame:
+    """Starting centers: a point drawn by hash, then each time the point of the city farthest from those chosen.
 
-    The per-city limit on the rank is applied inside each task before the shuffle, so a task sees few rows per city.
+    Every further center is one aggregation over all points of all cities that still need one, at most eleven times.
     """
-    drawn = Window.partitionBy(*city).orderBy(F.xxhash64(F.lit(seed), "lat", "lon"), "lat", "lon")
-    candidates = (
-        points.withColumn("rank", F.row_number().over(drawn))
-        .filter(F.col("rank") <= CANDIDATES)
-        .groupBy(*city)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "lat", "lon"))).alias("found"))
-        .withColumn("found", F.transform("found", lambda c: F.struct(c["lat"].alias("lat"), c["lon"].alias("lon"))))
-        .join(cities.select(*city, "cluster_count"), city)
-    )
-
-    gap = f"array_min(transform(chosen, s -> {_squared('c', 's')}))"
-    chosen = F.expr(
-        "aggregate(if(cluster_count > 1, sequence(2, cluster_count), cast(array() AS array<int>)), slice(found, 1, 1), "
-        f"(chosen, step) -> concat(chosen, transform(filter(array(array_max(transform(found, "
-        f"c -> struct({gap} AS gap, c AS at)))), best -> best.gap > 0), best -> best.at)))"
-    )
-    numbered = F.transform(
-        chosen, lambda s, i: F.struct(i.cast("int").alias("cluster_id"), s["lat"].alias("lat"), s["lon"].alias("lon"))
-    )
-    return candidates.select(*city, numbered.cast(_CENTERS).alias("centers"))
+    turn = F.struct(F.xxhash64(F.lit(seed), "lat", "lon").alias("turn"), "lat", "lon")
+    drawn = points.groupBy(*city).agg(F.min(turn).alias("at")).join(cities.select(*city, "cluster_count"), city)
+    first = F.array(F.struct(F.lit(0).alias("cluster_id"), F.col("at.lat").alias("lat"), F.col("at.lon").alias("lon")))
+    chosen = stage.write("seeds-1", drawn.select(*city, "cluster_count", first.cast(_CENTERS).alias("centers")))
+    for step in range(1, MAX_CLUSTERS):
+        growing = chosen.filter((F.col("cluster_count") > step) & (F.size("centers") == step))
+        if growing.isEmpty():
+            break
+        gaps = _with_centers(points, growing, city, ["lat", "lon"])
+        farthest = gaps.groupBy(*city).agg(F.max(F.struct(_nearest("lat", "lon")["gap"].alias("gap"), "lat", "lon")).alias("at"))
+        added = F.array(F.struct(F.lit(step).alias("cluster_id"), F.col("at.lat").alias("lat"), F.col("at.lon").alias("lon"))).cast(_CENTERS)
+        grown = F.when(F.col("at.gap") > 0, F.concat("centers", added)).otherwise(F.col("centers"))
+        joined = chosen.join(farthest, city, "left")
+        chosen = stage.write(f"seeds-{step + 1}", joined.select(*city, "cluster_count", grown.alias("grown")).withColumnRenamed("grown", "centers"))
+    return chosen.select(*city, "centers")
 
 
 def _nearest(lat: str, lon: str) -> Column:
@@ -117,13 +107,13 @@ def _nearest(lat: str, lon: str) -> Column:
     )
 
 
-def _round(points: DataFrame, centers: DataFrame, cities: int, city: list[str]) -> DataFrame:
+def _round(points: DataFrame, centers: DataFrame, city: list[str]) -> DataFrame:
     """Move every city's centers to the means of their points; clusters that lost all points go.
 
     The number of clusters is bounded, so one aggregation with a sum per cluster gives a city's whole result in one
     row: a single small shuffle per round.
     """
-    assigned = _with_centers(points, centers, cities, city, ["lat", "lon"]).select(
+    assigned = _with_centers(points, centers, city, ["lat", "lon"]).select(
         *city,
         "n",
         _nearest("lat", "lon")["cluster_id"].alias("cluster_id"),
@@ -158,32 +148,40 @@ def _round(points: DataFrame, centers: DataFrame, cities: int, city: list[str])
     )
 
 
-def city_centers(businesses: DataFrame, cities: DataFrame, stage: Stage, city: list[str], seed: int) -> DataFrame:
+def city_centers(
+    businesses: DataFrame,
+    cities: DataFrame,
+    stage: Stage,
+    city: list[str],
+    seed: int,
+    tolerance: float = TOLERANCE,
+    max_rounds: int = MAX_ROUNDS,
+) -> DataFrame:
     """Converged centers, one row per city.
 
-    Every round is staged, so its plan stays small; cities that have stopped, and with them their points, take no
-    part in the next.
+    A city stops when none of its centers moves by more than ``tolerance`` degrees, or after ``max_rounds``. Every round is
+    staged, so its plan stays small; cities that have stopped, and with them their points, take no part in the next.
     """
     points = stage.write("points", _points(businesses, cities, city))
-    centers = stage.write("centers-0", _first_centers(points, cities, city, seed))
-    left, stopped = centers.count(), []
-    for done in range(1, MAX_ROUNDS + 1):
-        moved = stage.write(f"centers-{done}", _round(points, centers, left, city))
-        going = F.col("moved") > TOLERANCE
+    centers = stage.write("centers-0", _first_centers(points, cities, stage, city, seed))
+    stopped = []
+    for done in range(1, max_rounds + 1):
+        moved = stage.write(f"centers-{done}", _round(points, centers, city))
+        going = F.col("moved") > tolerance
         stopped.append(moved.filter(~going).select(*city, "centers"))
         centers = moved.filter(going).select(*city, "centers")
-        left = centers.count()
-        if not left:
+        if centers.isEmpty():
             break
     return reduce(DataFrame.unionByName, stopped, centers)
 
 
-def _labelled(assigned: DataFrame) -> DataFrame:
+def _labelled(assigned: DataFrame, city: list[str]) -> DataFrame:
+    """Neighborhoods are named by all columns that tell cities apart, so equal names in two states stay apart."""
     return assigned.select(
         "business_id",
         "city",
         "state",
-        F.concat_ws("-", "city", F.col("cluster_id").cast("string")).alias("neighborhood_id"),
+        F.concat_ws("-", *city, F.col("cluster_id").cast("string")).alias("neighborhood_id"),
         "center_lat",
         "center_lon",
     ).select(*NEIGHBORHOOD_SCHEMA.fieldNames())
@@ -202,7 +200,7 @@ def fit_neighborhoods(businesses: DataFrame, params: Params, stage: Stage) -> Da
     base = stage.write("businesses", businesses.select("business_id", "city", "state", "latitude", "longitude"))
     cities = dense_cities(base, params.dense_city_threshold, city)
     centers = city_centers(base, cities, stage, city, params.cluster_seed)
-    joined = _with_centers(base, centers, centers.count(), city, ["business_id"])
+    joined = _with_centers(base, centers, city, ["business_id"])
     assigned = joined.withColumn("nearest", _nearest("latitude", "longitude"))
     return _labelled(
         assigned.select(
@@ -212,27 +210,32 @@ def fit_neighborhoods(businesses: DataFrame, params: Params, stage: Stage) -> Da
             F.col("nearest.cluster_id").alias("cluster_id"),
             F.col("nearest.center.lat").alias("center_lat"),
             F.col("nearest.center.lon").alias("center_lon"),
-        )
+        ),
+        city,
     )
 
 
-def fit_neighborhoods_mllib(businesses: DataFrame, cities: Sequence[str], seed: int = 7) -> DataFrame:
-    """The same assignment with Spark ML's k-means, one model per city, for a short list of cities given by name.
+def fit_checks(businesses: DataFrame, assigned: DataFrame, params: Params) -> DataFrame:
+    """What must hold of the neighborhoods of every dense city, as numbers.
 
-    Each fit is a distributed job of its own; for all dense cities at once use :func:`fit_neighborhoods`.
+    businesses of the city and those assigned; members that have a nearer center in their city; clusters whose center is
+    not the mean of its members, by more than the stopping rule allows; clusters beyond the city's bound.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    assembler = VectorAssembler(inputCols=["latitude", "longitude"], outputCol="features")
-    fitted = []
-    for name in cities:
-        features = assembler.transform(businesses.filter(F.col("city") == name))
-        k = features.agg(cluster_count(F.count("*"))).first()[0]
-        model = KMeans(k=k, seed=seed, predictionCol="cluster_id").fit(features)
-        centers = F.array(*(F.array(*map(F.lit, map(float, center))) for center in model.clusterCenters()))
-        center = F.get(centers, F.col("cluster_id"))
-        fitted.append(
-            model.transform(features).withColumns({"center_lat": F.get(center, 0), "center_lon": F.get(center, 1)})
-        )
-    return _labelled(reduce(DataFrame.unionByName, fitted))
+    city = list(params.cluster_by)
+    dense = dense_cities(businesses, params.dense_city_threshold, city)
+    located = assigned.join(businesses.select("business_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon")), "business_id")
+    center = F.struct(F.col("neighborhood_id").alias("id"), F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon"))
+    centers = located.groupBy(*city).agg(F.collect_set(center).alias("centers"))  # at most twelve
+    own, point = "struct(center_lat AS lat, center_lon AS lon)", "struct(lat AS lat, lon AS lon)"
+    nearer = F.expr(f"exists(centers, c -> {_squared(point, 'c')} < {_squared(point, own)} - 1e-12)")
+    members = located.join(centers, city).groupBy(*city, "neighborhood_id", "center_lat", "center_lon").agg(
+        F.count("*").alias("n"), F.count_if(nearer).alias("nearer"), F.avg("lat").alias("mean_lat"), F.avg("lon").alias("mean_lon")
+    )
+    off = F.greatest(F.abs(F.col("mean_lat") - F.col("center_lat")), F.abs(F.col("mean_lon") - F.col("center_lon"))) > TOLERANCE
+    found = members.groupBy(*city).agg(
+        F.sum("n").alias("assigned"), F.sum("nearer").alias("with_a_nearer_center"), F.count_if(off).alias("centers_off_their_mean"), F.count("*").alias("clusters")
+    )
+    joined = dense.join(found, city, "left")
+    beyond = F.greatest(F.lit(0), F.coalesce("clusters", F.lit(0)) - F.col("cluster_count")).cast("bigint")
+    counts = [F.coalesce(x, F.lit(0)).alias(x) for x in ("assigned", "with_a_nearer_center", "centers_off_their_mean")]
+    return joined.select(*city, "business_count", *counts, beyond.alias("clusters_beyond_the_bound"))

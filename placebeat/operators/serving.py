@@ -19,6 +19,7 @@ LEADERBOARD_LENGTH = 20
 FEED_LENGTH = 50
 MAX_POINTS = 300
 
+# Columns of the views.
 _EMERGING_COLUMNS = (
     "area_type", "area_id", "event_count", "hotspot_score", "avg_stars", "rating_change", "window_start",
 )
@@ -131,10 +132,17 @@ def area_series(windows: DataFrame, city: str, area_type: str, area_id: str, new
 
 
 def area_top_categories(
-    category_mix: DataFrame, city: str, area_type: str, area_id: str, limit: int = TOP_CATEGORIES_OF_AREA
+    category_mix: DataFrame,
+    city: str,
+    area_type: str,
+    area_id: str,
+    limit: int = TOP_CATEGORIES_OF_AREA,
+    category: str | None = None,
 ) -> DataFrame:
-    """Categories of one area by current share."""
+    """Categories of one area by current share, or the chosen category alone."""
     chosen = _of_city(category_mix, city).filter((F.col("area_type") == area_type) & (F.col("area_id") == area_id))
+    if category is not None:
+        chosen = chosen.filter(F.col("category") == category)
     return chosen.orderBy(F.desc("current_share"), "category", "state").limit(limit).select(*_MIX_COLUMNS)
 
 

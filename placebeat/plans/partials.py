@@ -77,7 +77,7 @@ def batch_partials(
         "area_panes": panes,
         "area_categories": categories,
         "recent_categories": recent_categories,
-        "newest_events": kpis.newest_of(cleaned if texts is None else texts, located, params.latest_limit),
+        "newest_events": kpis.newest_of(cleaned if texts is None else texts, located, params.latest_limit, narrow=cleaned),
     }
     return {name: frame.select(*PARTIAL_SCHEMAS[name].fieldNames()) for name, frame in partials.items()}
 

@@ -6,19 +6,30 @@ written table outlives lost executors, and its size on disk tells Spark whether
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only for a local master."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only where it is unset and driver and executors are one process, a temporary folder, which goes when that process ends.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="placebeat-")
+    if spark.sparkContext.master.split("[")[0] == "local":
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="placebeat-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        return _own[0]
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
 

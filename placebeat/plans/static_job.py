@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placebeat.operators.cleaning import rejected_reviews
 from placebeat.operators.enrich import place_activity
 from placebeat.operators.neighborhoods import distinct_businesses, fit_neighborhoods
 from placebeat.params import Params
 from placebeat.plans.partials import batch_partials, finish
 from placebeat.plans.stage import Stage
 from placebeat.schemas import TABLE_SCHEMAS
-from placebeat.sources.files import load_places, load_reviews, read_table, write_tables
+from placebeat.sources.files import load_places, load_reviews, read_reviews, read_table, write_rejects, write_tables
 
 
 def static_tables(cleaned: DataFrame, located: DataFrame, params: Params, stage: Stage) -> dict[str, DataFrame]:
@@ -33,11 +34,15 @@ def static_tables(cleaned: DataFrame, located: DataFrame, params: Params, stage:
 
 
 def run_static(spark: SparkSession, params: Params) -> dict[str, DataFrame]:
-    """Read, compute and replace all tables under ``params.output_path``; returns frames reading them."""
+    """Read, compute and replace all tables under ``params.output_path``; returns frames reading them.
+
+    Reviews whose date can't be read are written to ``rejected_reviews`` beside the tables.
+    """
     params.check_source()
     cleaned = load_reviews(spark, params.review_path, params.limit)
     located = load_places(spark, params.business_path)
     with Stage(spark) as stage:
+        write_rejects(rejected_reviews(read_reviews(spark, params.review_path)), params.output_path)
         if params.limit:
             cleaned = stage.write("oldest", cleaned)
         write_tables(static_tables(cleaned, located, params, stage), params.output_path)

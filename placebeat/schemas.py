@@ -20,6 +20,7 @@ def _schema(columns: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
+# Names and types of the inputs, of the joined events and of the published tables.
 # Streams and batch share this schema, so malformed JSON becomes nulls instead of a failed job.
 REVIEW_SCHEMA = _schema("review_id string, business_id string, user_id string, stars double, date string, text string")
 

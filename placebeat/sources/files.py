@@ -35,6 +35,22 @@ def load_reviews(spark: SparkSession, path: str, limit: int | None = None) -> Da
     return oldest_reviews(read_reviews(spark, path), limit)
 
 
+def write_rejects(rejected: DataFrame, base_path: str, batch_id: int | None = None) -> None:
+    """Reviews whose date can't be read, as table ``rejected_reviews`` or as a batch of it."""
+    part = "" if batch_id is None else f"/batch_id={batch_id}"
+    rejected.write.mode("overwrite").parquet(f"{base_path.rstrip('/')}/rejected_reviews{part}")
+
+
+def read_rejects(spark: SparkSession, base_path: str) -> DataFrame:
+    """All rejected reviews; empty when no job has written any."""
+    try:
+        return spark.read.schema(REVIEW_SCHEMA).parquet(f"{base_path.rstrip('/')}/rejected_reviews").select(*REVIEW_SCHEMA.fieldNames())
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], REVIEW_SCHEMA)
+
+
 def load_enriched(spark: SparkSession, review_path: str, business_path: str, limit: int | None = None) -> DataFrame:
     """The static source: joined events from two JSON files."""
     return enrich(load_reviews(spark, review_path, limit), load_places(spark, business_path))

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from placebeat.operators.cleaning import clean_reviews
+from placebeat.operators.cleaning import clean_reviews, rejected_reviews
 from placebeat.operators.enrich import enrich
 from placebeat.operators.neighborhoods import distinct_businesses, fit_neighborhoods
 from placebeat.params import Params
@@ -18,7 +18,7 @@ from placebeat.plans.stage import Stage
 from placebeat.plans.static_job import run_static
 from placebeat.plans.tables import build_tables
 from placebeat.schemas import NEIGHBORHOOD_SCHEMA
-from placebeat.sources.files import load_places, write_batch
+from placebeat.sources.files import load_places, write_batch, write_rejects
 from placebeat.sources.streams import review_file_stream, review_kafka_stream
 from placebeat.streaming.store import PartialStore
 
@@ -51,6 +51,7 @@ def batch_processor(
     def process(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
+        write_rejects(rejected_reviews(batch), params.output_path, batch_id)
         cleaned = clean_reviews(batch)
         # The rows every table or partial of the batch starts from: joined in one mode, reduced first in the other.
         kept = enrich(cleaned, places_of()) if mode == "append" else cleaned

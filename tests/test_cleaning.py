@@ -89,3 +89,12 @@ def test_missing_stars_count_as_zero(spark):
         reviews(spark, ("1", "b", "u", 4.0, "2020-01-01", ""), ("2", "b", "u", None, "2020-01-01", ""))
     )
     assert rows(city_metrics(place_activity(cleaned, located))) == [("C", "S", 2, 2.0)]
+
+
+def test_oldest_reviews_within_a_day_and_a_second(spark):
+    times = ["2020-01-02 00:00:05", "2020-01-01 10:00:00", "2020-01-02 00:00:05", "2020-01-02 00:00:04", "2020-01-03 00:00:00", "2020-01-02 00:00:05"]
+    found = reviews(spark, *((f"r{i}", "b", "u", 1.0, when, "") for i, when in enumerate(times)))
+    order = sorted(range(len(times)), key=lambda i: (times[i], i))
+    for n in range(1, 8):
+        assert [r[0] for r in rows(oldest_reviews(found, n), "review_id")] == sorted(f"r{i}" for i in order[:n])
+    assert oldest_reviews(found, None).count() == oldest_reviews(found, 0).count() == len(times)

@@ -16,7 +16,7 @@ from placebeat.plans.stage import Stage, shared_folder
 from placebeat.plans.tables import build_tables
 from placebeat.schemas import PARTIAL_SCHEMAS, REVIEW_SCHEMA, TABLE_SCHEMAS
 from placebeat.sources.files import (
-    load_businesses, load_enriched, load_places, load_reviews, read_reviews, read_table, write_batch,
+    load_businesses, load_enriched, load_places, load_reviews, read_rejects, read_reviews, read_table, write_batch,
 )
 from placebeat.sources.streams import parse_review_messages, review_file_stream
 from placebeat.streaming.jobs import batch_processor, run, start_file_stream, start_kafka_stream
@@ -95,6 +95,17 @@ def test_static_equals_tables_from_single_events(spark, base, static):
             assert rows(frame) == wanted, name
 
 
+def test_every_readable_row_is_counted_or_rejected(spark, base, static, tmp_path):
+    params = settings(base, tmp_path, dense_city_threshold=0)
+    run_static(spark, params)
+    assert rows(read_rejects(spark, str(tmp_path)), "review_id", "date") == [("y", "junk")]
+    stream = params.with_(stream_path=str(base), output_path=str(tmp_path / "s"), checkpoint_path=str(tmp_path / "c"))
+    process = batch_processor(lambda: load_places(spark, params.business_path), stream)
+    process(read_reviews(spark, params.review_path), 0)
+    process(read_reviews(spark, params.review_path), 0)
+    assert rows(read_rejects(spark, stream.output_path), "review_id", "date") == [("y", "junk")]
+
+
 def test_static_limit_takes_the_oldest(spark, base, reviews, tmp_path):
     tables = run_static(spark, settings(base, tmp_path, limit=50, dense_city_threshold=0))
     known = [r for r in reviews[:50] if r["business_id"] != "nowhere"]

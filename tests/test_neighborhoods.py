@@ -4,15 +4,16 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from placebeat.operators import kpis, neighborhoods
+from placebeat.operators import kpis
 from placebeat.operators.category_mix import category_mix
 from placebeat.operators.hotspots import window_hotspots
 from placebeat.operators.neighborhoods import (
-    dense_cities, distinct_businesses, fit_neighborhoods, fit_neighborhoods_mllib,
+    dense_cities, distinct_businesses, fit_checks, fit_neighborhoods,
 )
 from placebeat.params import Params
 from placebeat.plans.stage import Stage
 from placebeat.plans.tables import build_tables
+from placebeat.schemas import NEIGHBORHOOD_SCHEMA
 from tests.helpers import enriched, event, rows
 
 
@@ -114,19 +115,47 @@ def test_result_depends_neither_on_distribution_nor_on_other_cities(spark, clust
         assert rows(again) == sorted((r for r in map(tuple, fitted) if r[1] == "Mess"), key=repr)
 
 
-def test_many_cities_are_joined_without_broadcast(spark, clustered, fitted, monkeypatch):
-    monkeypatch.setattr(neighborhoods, "BROADCAST_CITIES", 0)
+def test_many_cities_are_joined_without_broadcast(spark, clustered, fitted):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with Stage(spark) as stage:
+            again = fit_neighborhoods(businesses(spark, clustered), Params(dense_city_threshold=5), stage)
+            text = again._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin [city" in text and "salt" in text and "Broadcast" not in text
+            assert rows(again) == sorted(map(tuple, fitted), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_small_groups_far_from_a_large_one_are_found(spark, parts):
+    points = [(f"big-{i}", "City", "S", 10 + (i * 37 % 5000) * 1e-6, 10 + (i * 53 % 5000) * 1e-6) for i in range(5000)]
+    points += [(f"far{g}-{i}", "City", "S", 20.0 + g + i * 1e-5, 30.0 - g) for g in range(11) for i in range(20)]
     with Stage(spark) as stage:
-        again = fit_neighborhoods(businesses(spark, clustered), Params(dense_city_threshold=5), stage)
-        text = again._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin [city" in text and "Broadcast" not in text
-        assert rows(again) == sorted(map(tuple, fitted), key=repr)
+        found = fit_neighborhoods(businesses(spark, points).repartition(parts), Params(dense_city_threshold=5), stage).collect()
+    _, members = grouped(found)
+    groups = {frozenset(x.split("-")[0] for x in ids) for ids in members.values()}
+    assert groups == {frozenset(["big"]), *(frozenset([f"far{g}"]) for g in range(11))}
 
 
-def test_spark_ml_agrees_on_separate_clusters(spark, clustered):
-    blobs = [p for p in clustered if p[1] == "Blobs"]
-    centers, members = grouped(fit_neighborhoods_mllib(businesses(spark, blobs), ["Blobs"]).collect())
-    assert sorted(map(sorted, members.values())) == [[f"blob{c}-{i}" for i in range(4)] for c in range(3)]
+def test_equal_city_names_of_two_states_stay_apart(spark):
+    events = [event(f"{s}{i}", "Springfield", state=s, lat=36.0, lon=-115.0 - (s == "B"), categories=(c,)) for s, c in (("A", "Pizza"), ("B", "Taco")) for i in range(4)]
+    params = Params(dense_city_threshold=3, cluster_by=("city", "state"))
+    with Stage(spark) as stage:
+        joined = enriched(spark, events)
+        assigned = stage.write("assigned", fit_neighborhoods(distinct_businesses(joined), params, stage))
+        mix = category_mix(joined, params, assigned).filter("area_type = 'neighborhood'").collect()
+        assert len({r.area_id for r in mix}) == 2 and {r.current_share for r in mix} == {1.0}
+        checks = fit_checks(distinct_businesses(joined), assigned, params).collect()
+        assert [(r.business_count, r.assigned, r.with_a_nearer_center, r.centers_off_their_mean, r.clusters_beyond_the_bound) for r in checks] == [(4, 4, 0, 0, 0)] * 2
+
+
+def test_checks_notice_wrong_neighborhoods(spark):
+    points = [(f"p{i}", "City", "S", 1.0 + i // 5, 1.0) for i in range(10)]
+    wrong = [(f"p{i}", "City", "S", f"City-{i % 2}", 1.0 + i % 2, 1.0) for i in range(10)]
+    found = fit_checks(businesses(spark, points), spark.createDataFrame(wrong, NEIGHBORHOOD_SCHEMA), Params(dense_city_threshold=5)).first()
+    assert found.with_a_nearer_center == 4 and found.centers_off_their_mean == 2
 
 
 def test_windows_and_mix_of_both_area_kinds(spark):

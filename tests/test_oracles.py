@@ -3,12 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from placebeat.checks.oracles import ORACLES
+from placebeat.checks.queries import QUERIES
 from placebeat.operators.kpis import latest_reviews, newest
 from placebeat.sources import testtables
 from tests.comparing import difference, oracle
 from tests.helpers import rows
 
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 WITHOUT_SQL = {
     "neighborhood_assignments", "neighborhood_hotspots", "neighborhood_windows", "neighborhood_category_mix",
 }
@@ -20,6 +21,7 @@ def database(small):
 
 
 def test_only_iterative_queries_lack_sql():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
     assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL and set(ORACLES) <= set(QUERIES)
 
 

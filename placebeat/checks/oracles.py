@@ -286,3 +286,6 @@ SELECT city, state, window_start, window_end, count(*) AS event_count FROM w WHE
 ORACLES["neighborhood_category_totals"] = _MIX + f"""
 SELECT city, state, category, CAST(sum(current_count) AS BIGINT) AS current_count
 FROM mix WHERE {_IN_DENSE_CITY} GROUP BY ALL"""
+for _name in ("city_metrics", "grid_hotspots", "category_leaders", "latest_reviews", "window_hotspots"):
+    ORACLES[f"static_job_{_name}"] = ORACLES[_name]
+ORACLES["file_stream_window_hotspots"] = ORACLES["window_hotspots"]

@@ -7,6 +7,7 @@ Derived doubles are rounded to six places, as their last bits depend on the orde
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,10 @@ from placebeat.operators.enrich import enrich, place_activity
 from placebeat.operators.neighborhoods import dense_cities, distinct_businesses, fit_checks, fit_neighborhoods
 from placebeat.params import Params
 from placebeat.plans.stage import Stage
+from placebeat.plans.static_job import run_static
 from placebeat.sources import testtables as tables
-from placebeat.streaming.jobs import batch_processor, start_batches
+from placebeat.sources.files import read_table
+from placebeat.streaming.jobs import batch_processor, start_batches, start_file_stream
 from placebeat.streaming.store import PartialStore
 from placebeat.streaming.watermark import watermarked_panes, watermarked_windows, write_panes
 
@@ -415,12 +418,28 @@ def _stream_settings(spark, params):
     return params.with_(output_path=f"{folder}/tables", checkpoint_path=f"{folder}/checkpoint")
 
 
+_pieces: dict[tuple[str, str], str] = {}
+
+
+def _events_in_pieces(spark, folder) -> str:
+    """The events written once as several files with rows of all times in each, so a stream takes several batches."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _pieces:
+        stage = Stage(spark)
+        stage.write("events", tables.table(spark, folder, "events").repartition(3, "event_id"))
+        _pieces[key] = f"{stage.path}/events"
+    return _pieces[key]
+
+
 def _streamed(spark, folder, params):
-    """The nine tables read back from the partials a stream has written."""
+    """The nine tables read back from the partials a stream has written in several batches, compacted on the way."""
     params = _stream_settings(spark, params)
     located = _places(spark, folder)
-    process = batch_processor(lambda: located, params)
-    _run_to_end(start_batches(_event_stream(spark, folder), process, params, available_now=True))
+    process = batch_processor(lambda: located, params, compact_every=2)
+    schema = tables.table(spark, folder, "events").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(_events_in_pieces(spark, folder))
+    reviews = tables.as_reviews(stream).withColumn("date", F.expr(_TO_INSTANT))
+    _run_to_end(start_batches(reviews, process, params, available_now=True))
     return PartialStore(spark, params.output_path).tables(params)
 
 
@@ -445,6 +464,83 @@ def watermarked_window_hotspots(spark, folder):
     return _zoneless(_rounded(watermarked_windows(spark, params), *_SCORES), "window_start", "window_end")
 
 
+# -- jobs over JSON files -------------------------------------------------------------------------------------------
+
+
+@contextmanager
+def _in_utc(spark):
+    """JSON texts hold clock times, which the jobs are meant to read as UTC."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+_json: dict[tuple[str, str], Params] = {}
+
+
+def _json_settings(spark, folder) -> Params:
+    """The test tables as JSON files, written once: businesses, and reviews in several files with a broken line."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _json:
+        path = Stage(spark).path
+        tables.raw_customer_businesses(spark, folder).write.json(f"{path}/businesses")
+        dates = F.date_format("date", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        reviews = tables.raw_event_reviews(spark, folder).withColumn("date", dates)
+        reviews.repartition(3, "review_id").write.json(f"{path}/reviews")
+        spark.createDataFrame([("{broken",)], "line string").coalesce(1).write.mode("append").text(f"{path}/reviews")
+        _json[key] = DAILY.with_(
+            business_path=f"{path}/businesses", review_path=f"{path}/reviews", stream_path=f"{path}/reviews", dense_city_threshold=0
+        )
+    return _json[key]
+
+
+_static: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def _static_tables(spark, folder) -> dict[str, DataFrame]:
+    """The tables the batch job publishes from the JSON files; it runs once for all its queries."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _static:
+        params = _json_settings(spark, folder).with_(output_path=f"{Stage(spark).path}/static")
+        with _in_utc(spark):
+            _static[key] = run_static(spark, params)
+    return _static[key]
+
+
+def static_job_city_metrics(spark, folder):
+    return _rounded(_static_tables(spark, folder)["city_metrics"], "avg_stars")
+
+
+def static_job_grid_hotspots(spark, folder):
+    return _rounded(_static_tables(spark, folder)["grid_hotspots"], "avg_stars")
+
+
+def static_job_category_leaders(spark, folder):
+    return _rounded(_static_tables(spark, folder)["category_leaders"], "avg_stars")
+
+
+def static_job_latest_reviews(spark, folder):
+    return _static_tables(spark, folder)["latest_reviews"]
+
+
+def static_job_window_hotspots(spark, folder):
+    return _zoneless(_rounded(_static_tables(spark, folder)["window_hotspots"], *_SCORES), "window_start", "window_end")
+
+
+def file_stream_window_hotspots(spark, folder):
+    """The file-stream job over the JSON files, a file at a time, its tables published and read back."""
+    stage = Stage(spark).path
+    params = _json_settings(spark, folder).with_(output_path=f"{stage}/tables", checkpoint_path=f"{stage}/checkpoint")
+    with _in_utc(spark):
+        _run_to_end(start_file_stream(spark, params, available_now=True, max_files_per_trigger=1))
+        PartialStore(spark, params.output_path).publish(params)
+    found = read_table(spark, params.output_path, "window_hotspots")
+    return _zoneless(_rounded(found, *_SCORES), "window_start", "window_end")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -458,6 +554,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         map_midpoint, city_emerging, city_window_hotspots, window_date_bounds, area_series, areas_with_category,
         area_choice, area_top_categories, area_chosen_category, top_categories_by_area, activity_series_thinned, city_activity_series,
         city_leaderboard, top_city_categories, recent_feed, streamed_city_metrics, streamed_window_hotspots,
-        streamed_category_mix, watermarked_window_hotspots,
+        streamed_category_mix, watermarked_window_hotspots, static_job_city_metrics, static_job_grid_hotspots,
+        static_job_category_leaders, static_job_latest_reviews, static_job_window_hotspots, file_stream_window_hotspots,
     )
 }

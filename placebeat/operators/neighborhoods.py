@@ -215,6 +215,18 @@ def fit_neighborhoods(businesses: DataFrame, params: Params, stage: Stage) -> Da
     )
 
 
+def with_new_places(assigned: DataFrame, businesses: DataFrame, params: Params) -> DataFrame:
+    """The assignments and, for businesses that have none, the nearest neighborhood of their city, if it has any."""
+    city = list(params.cluster_by)
+    center = F.struct(F.col("neighborhood_id").alias("cluster_id"), F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon"))
+    centers = assigned.groupBy(*city).agg(F.collect_set(center).alias("centers"))  # at most twelve
+    new = businesses.join(assigned.select("business_id"), "business_id", "left_anti")
+    placed = _with_centers(new, centers, city, ["business_id"]).withColumn("nearest", _nearest("latitude", "longitude"))
+    columns = {"neighborhood_id": "nearest.cluster_id", "center_lat": "nearest.center.lat", "center_lon": "nearest.center.lon"}
+    found = placed.select("business_id", "city", "state", *(F.col(at).alias(name) for name, at in columns.items()))
+    return assigned.unionByName(found.select(*NEIGHBORHOOD_SCHEMA.fieldNames()))
+
+
 def fit_checks(businesses: DataFrame, assigned: DataFrame, params: Params) -> DataFrame:
     """What must hold of the neighborhoods of every dense city, as numbers.
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from placebeat.operators.cleaning import clean_reviews, rejected_reviews
 from placebeat.operators.enrich import enrich
-from placebeat.operators.neighborhoods import distinct_businesses, fit_neighborhoods
+from placebeat.operators.neighborhoods import distinct_businesses, fit_neighborhoods, with_new_places
 from placebeat.params import Params
 from placebeat.plans.partials import batch_partials
 from placebeat.plans.stage import Stage
@@ -23,29 +23,37 @@ from placebeat.sources.streams import review_file_stream, review_kafka_stream
 from placebeat.streaming.store import PartialStore
 
 Mode = Literal["merged", "append"]
+COMPACT_EVERY = 100  # batches
 
 
 def neighborhood_dimension(spark: SparkSession, params: Params, located: DataFrame) -> DataFrame | None:
-    """Fit the neighborhoods over the place dimension, keep them under the output path and read them from there."""
+    """The neighborhoods under the output path, fitted over the place dimension if they aren't there yet.
+
+    A restart goes on with those that older partials were made with; a new fit needs a new output path.
+    """
     if params.dense_city_threshold <= 0:
         return None
     path = f"{params.output_path.rstrip('/')}/neighborhoods"
-    with Stage(spark) as stage:
-        fit_neighborhoods(distinct_businesses(located), params, stage).write.mode("overwrite").parquet(path)
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        with Stage(spark) as stage:
+            fit_neighborhoods(distinct_businesses(located), params, stage).write.mode("overwrite").parquet(path)
     return spark.read.schema(NEIGHBORHOOD_SCHEMA).parquet(path)
 
 
 def batch_processor(
     places_of: Callable[[], DataFrame],
     params: Params,
-    neighborhoods: DataFrame | None = None,
+    neighborhoods: DataFrame | Callable[[], DataFrame | None] | None = None,
     mode: Mode = "merged",
+    compact_every: int = 0,
 ) -> Callable[[DataFrame, int], None]:
     """The function run on every micro-batch.
 
     ``merged`` writes additive partials, from which :class:`PartialStore` gives tables over the whole stream;
     ``append`` computes the nine tables of the batch alone and adds them as a batch directory.
-    ``places_of`` is called once per batch, so it decides whether places are read anew.
+    ``places_of``, and ``neighborhoods`` if it is a function, are called once per batch, so they decide whether places are
+    read anew. Every ``compact_every`` batches (0: never) the finished partials are compacted.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
@@ -53,15 +61,20 @@ def batch_processor(
             return
         write_rejects(rejected_reviews(batch), params.output_path, batch_id)
         cleaned = clean_reviews(batch)
+        assigned = neighborhoods() if callable(neighborhoods) else neighborhoods
         # The rows every table or partial of the batch starts from: joined in one mode, reduced first in the other.
         kept = enrich(cleaned, places_of()) if mode == "append" else cleaned
         kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if mode == "append":
-                write_batch(build_tables(kept, params, neighborhoods), params.output_path, batch_id)
+                write_batch(build_tables(kept, params, assigned), params.output_path, batch_id)
             else:
-                partials = batch_partials(kept, places_of(), params, neighborhoods)
-                PartialStore(batch.sparkSession, params.output_path).write(partials, batch_id)
+                partials = batch_partials(kept, places_of(), params, assigned)
+                store = PartialStore(batch.sparkSession, params.output_path)
+                store.write(partials, batch_id, params)
+                if compact_every and (batch_id + 1) % compact_every == 0:
+                    store.compact(params)
+                    store.drop_compacted()
         finally:
             kept.unpersist()
 
@@ -75,11 +88,13 @@ def start_stream(
     mode: Mode = "merged",
     refresh_places: bool = False,
     available_now: bool = False,
+    compact_every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
     """Start processing a review stream.
 
-    Places are read and cached once, or read for every batch with ``refresh_places``. ``available_now`` works off
-    what is there and stops, instead of polling every ``trigger_seconds``.
+    Places are read once and written to a table of the output path, or read for every batch with ``refresh_places``; new
+    ones then join the nearest neighborhood of their city. ``available_now`` works off what is there and stops, instead
+    of polling every ``trigger_seconds``. Partials are compacted every ``compact_every`` batches.
     """
     if mode not in ("merged", "append"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -88,9 +103,15 @@ def start_stream(
     if refresh_places:
         places_of = lambda: load_places(spark, params.business_path)
     else:
-        cached = located.persist(StorageLevel.MEMORY_AND_DISK)
-        places_of = lambda: cached
-    return start_batches(reviews, batch_processor(places_of, params, neighborhoods, mode), params, available_now)
+        path = f"{params.output_path.rstrip('/')}/places"
+        located.write.mode("overwrite").parquet(path)
+        kept = spark.read.schema(located.schema).parquet(path)
+        places_of = lambda: kept
+    assigned = neighborhoods
+    if refresh_places and neighborhoods is not None:
+        assigned = lambda: with_new_places(neighborhoods, distinct_businesses(places_of()), params)
+    process = batch_processor(places_of, params, assigned, mode, compact_every)
+    return start_batches(reviews, process, params, available_now)
 
 
 def start_batches(

@@ -7,10 +7,9 @@ of every pane.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from placebeat.functions import grid_cell
 from placebeat.operators.areas import AREA_COLUMNS, GRID, NEIGHBORHOOD
@@ -18,7 +17,7 @@ from placebeat.operators.cleaning import clean_reviews
 from placebeat.operators.enrich import enrich
 from placebeat.operators.hotspots import params_pane, scored_windows
 from placebeat.params import Params
-from placebeat.schemas import PARTIAL_SCHEMAS
+from placebeat.schemas import PARTIAL_SCHEMAS, PLACE_SCHEMA
 from placebeat.sources.files import load_places
 from placebeat.streaming.jobs import neighborhood_dimension, start_batches
 from placebeat.streaming.store import read_batches
@@ -63,7 +62,9 @@ def watermarked_panes(
 def start_watermarked(
     spark: SparkSession, reviews: DataFrame, params: Params, delay: str, available_now: bool = False
 ) -> StreamingQuery:
-    located = load_places(spark, params.business_path).persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{params.output_path.rstrip('/')}/places"
+    load_places(spark, params.business_path).write.mode("overwrite").parquet(path)
+    located = spark.read.schema(PLACE_SCHEMA).parquet(path)
     neighborhoods = neighborhood_dimension(spark, params, located)
     panes = watermarked_panes(enrich(clean_reviews(reviews), located), params, delay, neighborhoods)
     return write_panes(panes, params, available_now)
@@ -92,8 +93,27 @@ def watermarked_windows(spark: SparkSession, params: Params) -> DataFrame:
     return scored_windows(newest_panes(spark, params.output_path), params)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows (pane totals within a task, not single events) dropped as too late in the recorded progress."""
-    return sum(
-        state["numRowsDroppedByWatermark"] for progress in query.recentProgress for state in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts rows (pane totals within a task, not single events) dropped as too late, over a query's whole life.
+
+    Add it with ``spark.streams.addListener`` before the query starts; a query's own progress keeps only its last batches.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(state.numRowsDroppedByWatermark for state in event.progress.stateOperators)
+        self.dropped[str(event.progress.id)] = self.dropped.get(str(event.progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def of(self, query: StreamingQuery) -> int:
+        return self.dropped.get(str(query.id), 0)

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -19,9 +20,10 @@ from placebeat.sources.files import (
     load_businesses, load_enriched, load_places, load_reviews, read_rejects, read_reviews, read_table, write_batch,
 )
 from placebeat.sources.streams import parse_review_messages, review_file_stream
-from placebeat.streaming.jobs import batch_processor, run, start_file_stream, start_kafka_stream
+from placebeat.operators.neighborhoods import distinct_businesses, with_new_places
+from placebeat.streaming.jobs import batch_processor, neighborhood_dimension, run, start_file_stream, start_kafka_stream
 from placebeat.streaming.store import PartialStore
-from placebeat.streaming.watermark import late_rows, start_watermarked, watermarked_windows
+from placebeat.streaming.watermark import LateRows, start_watermarked, watermarked_windows
 from tests.helpers import rows
 
 
@@ -181,6 +183,47 @@ def test_stream_equals_static(spark, base, tmp_path, reviews, static):
     assert all_tables(store, params) == static
 
 
+def test_other_settings_are_refused(spark, base, tmp_path, reviews):
+    params = file_stream(spark, base, tmp_path, reviews, 1, dense=0)
+    store = PartialStore(spark, params.output_path)
+    for change in ({"slide_duration": "15 minutes"}, {"window_duration": "80 minutes"}, {"cell_size_km": 1.0}, {"dense_city_threshold": 3}, {"latest_limit": 31}):
+        with pytest.raises(ValueError, match="other settings"):
+            store.tables(params.with_(**change))
+    assert store.tables(params.with_(latest_limit=10))["latest_reviews"].count() == 10
+
+
+def test_half_a_batch_is_not_seen(spark, base, tmp_path, reviews):
+    params = file_stream(spark, base, tmp_path, reviews, 2, dense=0)
+    store = PartialStore(spark, params.output_path)
+    before = all_tables(store, params)
+    batch_processor(lambda: load_places(spark, params.business_path), params)(read_reviews(spark, f"{params.stream_path}/000.json"), 2)
+    assert all_tables(store, params) != before
+    for path in (tmp_path / "out" / "commits" / "batch_id=2").iterdir():
+        path.unlink()
+    assert all_tables(store, params) == before
+
+
+def test_a_restart_keeps_the_neighborhoods(spark, base, tmp_path):
+    params = settings(base, tmp_path / "out", dense_city_threshold=5)
+    located = load_places(spark, params.business_path)
+    first = rows(neighborhood_dimension(spark, params, located))
+    moved = located.withColumn("latitude", F.col("latitude") + 0.0005)
+    again = neighborhood_dimension(spark, params, moved)
+    assert rows(again) == first
+    new = distinct_businesses(moved.limit(1).withColumn("business_id", F.lit("new")).unionByName(moved))
+    found = with_new_places(again, new, params)
+    assert found.count() == len(first) + 1
+    assert rows(found.filter("business_id = 'new'"), "neighborhood_id", "center_lat")[0] in set(rows(again, "neighborhood_id", "center_lat"))
+    assert again.select("neighborhood_id", "center_lat").distinct().count() == again.select("neighborhood_id").distinct().count()
+
+
+def test_streams_compact_on_the_way(spark, base, tmp_path, reviews, static):
+    params = file_stream(spark, base, tmp_path, reviews, 4, dense=0, compact_every=2)
+    assert [x.name for x in sorted((tmp_path / "out" / "compacted" / "area_panes").iterdir())] == ["through=2"]
+    found = all_tables(PartialStore(spark, params.output_path), params)
+    assert found["city_metrics"] == static["city_metrics"] and found["latest_reviews"] == static["latest_reviews"]
+
+
 def test_append_mode_adds_each_batch_alone(spark, base, tmp_path, reviews):
     params = file_stream(spark, base, tmp_path, reviews, 2, dense=0, mode="append")
     stored = spark.read.parquet(f"{params.output_path}/city_metrics")
@@ -225,24 +268,32 @@ def watermarked(spark, base, tmp_path, pieces, delay, dense=0):
         base, tmp_path / "out", checkpoint_path=str(tmp_path / "checkpoint"), dense_city_threshold=dense,
         stream_path=str(folder),
     )
+    late = LateRows()
+    spark.streams.addListener(late)
     query = start_watermarked(spark, review_file_stream(spark, str(folder), 1), params, delay, available_now=True)
     query.awaitTermination(240)
     assert query.exception() is None
-    return params, query
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    for _ in range(50):  # the listener is told in a thread of its own
+        if str(query.id) in late.dropped and late.of(query) == sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"]):
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(late)
+    return params, late.of(query)
 
 
 def test_watermark_with_ordered_input_is_exact(spark, base, tmp_path, reviews, static):
-    params, query = watermarked(spark, base, tmp_path, [reviews[:200], reviews[200:]], "1 hour", dense=4)
+    params, late = watermarked(spark, base, tmp_path, [reviews[:200], reviews[200:]], "1 hour", dense=4)
     found = rows(watermarked_windows(spark, params))
     # These neighborhoods are fitted over all places, those of the static job over places with events.
     assert {r[0] for r in found} == {"grid", "neighborhood"}
     assert [r for r in found if r[0] == "grid"] == [r for r in static["window_hotspots"] if r[0] == "grid"]
-    assert late_rows(query) == 0
+    assert late == 0
 
 
 def test_watermark_drops_and_reports_late_events(spark, base, tmp_path, reviews):
-    params, query = watermarked(spark, base, tmp_path, [reviews[200:], reviews[:200], reviews[:10]], "1 minute")
-    assert late_rows(query) > 0
+    params, late = watermarked(spark, base, tmp_path, [reviews[200:], reviews[:200], reviews[:10]], "1 minute")
+    assert late > 0
 
 
 def test_stage_uses_the_named_folder(spark):

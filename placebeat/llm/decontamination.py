@@ -10,7 +10,8 @@ windows of the length next to its own. Three passes over the documents, each a m
    A'(A W) for a random W with as many columns as the space has dimensions, tasks sum the parts by blocks of terms, and
    the factors follow from the sum, whose size is that of the block's terms and not of the documents,
 3. windows and pieces are projected into the space; pairs with a cosine of at least ``least_cosine`` are candidates, all of
-   them, and are verified beside the text: the longest common subsequence of the piece and the words around the window
+   them. Those whose window holds less than ``least_shared`` of the piece's weight (a coincidence of the projection) go;
+   the others are verified beside the text: the longest common subsequence of the piece and the words around the window
    must hold ``verbatim`` of the piece, or ``paraphrase`` of it and as much of the words of its last sentence, the answer.
 
 The benchmark is worked on in blocks of a bounded number of bytes, as what tasks get of it (terms, factors, pieces) is
@@ -35,6 +36,7 @@ from placebeat.llm.support import narrow, ship, stage, table
 
 PIECE = 64
 LENGTHS = (16, 32, 64)
+BLOCK = 8  # words; half of the shortest window
 BLOCK_BYTES = 400_000
 TERM_BLOCK = 256
 U = np.uint64
@@ -149,29 +151,58 @@ def weights(pieces: Pieces, counts: np.ndarray, windows: int, common: float, few
     return np.where(chosen, inverse, 0.0)
 
 
-def rows_times(window: np.ndarray, term: np.ndarray, value: np.ndarray, count: int, matrix: np.ndarray) -> np.ndarray:
-    """The product of a sparse matrix, ordered by window, with a dense one."""
-    out = np.zeros((count, matrix.shape[1]), np.float32)
-    step = 200_000
-    for k in range(0, len(window), step):
-        w = window[k : k + step]
-        edge = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-        out[w[edge]] += np.add.reduceat(matrix[term[k : k + step]] * value[k : k + step, None], edge, axis=0)
+class Blocks:
+    """A chunk's words in blocks of ``BLOCK``; each row is followed by empty ones, so that windows don't reach the next."""
+
+    def __init__(self, words: kernel.Words, term: np.ndarray) -> None:
+        """term: the number of each word's term, -1 for none."""
+        self.words = words
+        self.spare = LENGTHS[-1] // BLOCK - 1
+        each = -(-words.count // BLOCK) + self.spare
+        self.first = np.cumsum(each) - each
+        self.total = int(each.sum()) + self.spare
+        self.hits = np.flatnonzero(term >= 0)
+        row = words.row[self.hits]
+        self.term = term[self.hits]
+        self.block = self.first[row] + (self.hits - words.first[row]) // BLOCK
+
+    def sums(self, matrix: np.ndarray) -> np.ndarray:
+        """Sums, by block, of the rows of a matrix that belong to the block's terms."""
+        out = np.zeros((self.total, *matrix.shape[1:]), matrix.dtype)
+        turn = np.arange(len(self.block)) - np.searchsorted(self.block, self.block)
+        for k in range(BLOCK):
+            at = np.flatnonzero(turn == k)
+            if not len(at):
+                break
+            out[self.block[at]] += matrix[self.term[at]]
+        return out
+
+    def starts(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words and first blocks of windows of so many words: every half window of each row."""
+        words = window_starts(self.words, size)
+        row = self.words.row[words] if len(words) else words
+        return words, self.first[row] + (words - self.words.first[row]) // BLOCK
+
+
+def doubled(sums: np.ndarray, blocks: int) -> np.ndarray:
+    """Sums of twice as many blocks from each block on, from those of so many."""
+    out = sums.copy()
+    out[:-blocks] += sums[blocks:]
     return out
 
 
-def tf_idf(words: kernel.Words, hashes: np.ndarray, terms: np.ndarray, weight: np.ndarray, size: int):
-    """(window, term, value) with rows of length 1, the number of windows and their starts."""
+def rare_terms(hashes: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of the words' terms that have a weight, else -1."""
     term = positions(hashes, terms)
     term[(term >= 0) & (weight[term] == 0)] = -1
-    window, term, times, starts = window_terms(words, term, size)
-    value = (times * weight[term]).astype(np.float32)
-    norm = np.sqrt(np.bincount(window, weights=value * value, minlength=len(starts)))
-    return window, term, (value / np.maximum(norm, 1e-12)[window]).astype(np.float32), len(starts), starts
+    return term
 
 
 def projection(texts: DataFrame, pieces: Pieces, weight: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
-    """Right singular vectors (terms x dimensions) of the TF-IDF matrix of all windows and pieces, from one pass."""
+    """Right singular vectors (terms x dimensions) of the TF-IDF matrix of all windows and pieces, from one pass.
+
+    A window's row is divided by its length, taken over the words (a repeated term counts as two).
+    """
     n = len(pieces.terms)
     columns = min(dimensions, n)
     omega = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, columns)))[0].astype(np.float32)
@@ -179,21 +210,32 @@ def projection(texts: DataFrame, pieces: Pieces, weight: np.ndarray, dimensions:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, weight, omega = shared.value
+        weighted, squared = (omega * weight[:, None]).astype(np.float32), weight**2
         sums = np.zeros(omega.shape, np.float64)
+        half = LENGTHS[1] // 2 // BLOCK
         for batch in batches:
             for _, _, data, offsets in kernel.chunks(batch.column(1)):
                 words = kernel.Words(data, offsets, kernel.MARKS)
-                window, term, value, count, _ = tf_idf(words, words.hashes(fold=True), terms, weight, LENGTHS[1])
-                if not len(window):
+                blocks = Blocks(words, rare_terms(words.hashes(fold=True), terms, weight))
+                if not len(blocks.hits):
                     continue
-                product = rows_times(window, term, value, count, omega)
-                order = np.argsort(term, kind="stable")
-                step = 200_000
-                for k in range(0, len(order), step):
-                    o = order[k : k + step]
-                    t = term[o]
+                product, norm = blocks.sums(weighted), blocks.sums(squared)
+                for k in range((2 * half).bit_length() - 1):
+                    product, norm = doubled(product, 1 << k), doubled(norm, 1 << k)
+                _, at = blocks.starts(LENGTHS[1])
+                rows = product[at] / np.maximum(norm[at], 1e-12)[:, None]
+                # what the windows over a half window add up to, at its first block
+                over = np.zeros_like(product)
+                over[at] += rows
+                over[at + half] += rows
+                own = blocks.block - (blocks.block - blocks.first[words.row[blocks.hits]]) % half
+                order = np.argsort(blocks.term, kind="stable")
+                for k in range(0, len(order), 100_000):
+                    o = order[k : k + 100_000]
+                    t = blocks.term[o]
                     edge = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-                    sums[t[edge]] += np.add.reduceat(product[window[o]] * value[o, None], edge, axis=0)
+                    sums[t[edge]] += np.add.reduceat(over[own[o]], edge, axis=0)
+        sums *= weight[:, None]
         for block in range(0, len(terms), TERM_BLOCK):
             part = sums[block : block + TERM_BLOCK].astype(np.float32)
             if part.any():
@@ -250,58 +292,77 @@ def common_subsequence(masks: dict[int, int], length: int, words: list[int]) ->
     return length - row.bit_count()
 
 
-def leaks_of_block(texts: DataFrame, pieces: Pieces, weight, space, least_cosine, verbatim, paraphrase) -> DataFrame:
+def held_share(term, low, high, piece, held, share_of, terms: int) -> np.ndarray:
+    """For windows given by their hits (from low to high) and pieces: what share of a piece's weight the window's terms hold.
+
+    held: ascending piece * terms + term of all pieces, share_of: their shares. A repeated term counts again.
+    """
+    n = high - low
+    of = np.repeat(np.arange(len(n)), n)
+    key = piece[of] * terms + term[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    at = np.minimum(np.searchsorted(held, key), len(held) - 1)
+    return np.bincount(of, weights=np.where(held[at] == key, share_of[at], 0.0), minlength=len(n))
+
+
+def verify(pieces: Pieces, piece: int, masks, hashes, start: int, size: int, first: int, behind: int, paraphrase: float) -> tuple[float, float]:
+    """Shares of a piece and of its answer that the words around a window hold."""
+    words = pieces.words[piece]
+    length = len(words)
+    if piece not in masks:
+        bits: dict[int, int] = {}
+        for k, x in enumerate(words.tolist()):
+            bits[x] = bits.get(x, 0) | 1 << k
+        masks[piece] = bits
+    region = hashes[max(first, start - length // 2) : min(behind, start + size + length // 2)]
+    share = common_subsequence(masks[piece], length, region.tolist()) / length
+    return share, float(np.isin(pieces.answers[piece], region).mean()) if share >= paraphrase else 0.0
+
+
+def leaks_of_block(texts: DataFrame, pieces: Pieces, weight, space, least_cosine, least_shared, verbatim, paraphrase) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share) of verified candidates, possibly several for a pair."""
-    latent = unit(piece_rows(pieces, weight) @ space)
-    shared = texts.sparkSession.sparkContext.broadcast((pieces, weight, (space * weight[:, None]).astype(np.float32), latent))
+    rows = piece_rows(pieces, weight)
+    latent = unit(rows @ space)
+    piece, term = np.nonzero(rows)
+    shares = rows[piece, term] ** 2
+    sent = (pieces, weight, (space * weight[:, None]).astype(np.float32), latent, piece * len(pieces.terms) + term, shares)
+    shared = texts.sparkSession.sparkContext.broadcast(sent)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, weight, weighted, latent = shared.value
+        pieces, weight, weighted, latent, held, share_of = shared.value
         of_scale = [np.flatnonzero(pieces.scale == k) for k in range(len(LENGTHS))]
-        masks: list[dict[int, int] | None] = [None] * len(pieces.words)
+        masks: dict[int, dict[int, int]] = {}
         for batch in batches:
             out: list[tuple[int, int, float, float, float]] = []
             for begin, _, data, offsets in kernel.chunks(batch.column(1)):
                 words = kernel.Words(data, offsets, kernel.MARKS)
                 hashes = words.hashes(fold=True)
-                term = positions(hashes, pieces.terms)
-                term[(term >= 0) & (weight[term] == 0)] = -1
-                seen: set[tuple[int, int, int]] = set()
+                blocks = Blocks(words, rare_terms(hashes, pieces.terms, weight))
+                if not len(blocks.hits):
+                    continue
+                sums, reach = blocks.sums(weighted), 1
+                seen: set[tuple[int, int, float]] = set()
                 for size, own in zip(LENGTHS, of_scale, strict=True):
-                    if not len(own):
-                        continue
-                    window, found, times, starts = window_terms(words, term, size)
-                    if not len(window):
-                        continue
-                    there = np.unique(window[1:][window[1:] == window[:-1]])  # two different terms at least
-                    keep = np.isin(window, there, assume_unique=False)
-                    window, found, times = np.searchsorted(there, window[keep]), found[keep], times[keep]
-                    vectors = unit(rows_times(window, found, times.astype(np.float32), len(there), weighted))
-                    for low in range(0, len(there), 8192):
-                        cosines = vectors[low : low + 8192] @ latent[own].T
-                        for w, p in zip(*np.nonzero(cosines >= least_cosine), strict=True):
-                            piece = int(own[p])
-                            row = int(words.row[starts[there[low + w]]])
-                            cosine = float(cosines[w, p])
-                            piece_words = pieces.words[piece]
-                            reach = len(piece_words)
-                            start = int(starts[there[low + w]])
-                            a = max(int(words.first[row]), start - reach // 2)
-                            b = min(int(words.first[row + 1]), start + size + reach // 2)
-                            if masks[piece] is None:
-                                bits: dict[int, int] = {}
-                                for k, x in enumerate(piece_words.tolist()):
-                                    bits[x] = bits.get(x, 0) | 1 << k
-                                masks[piece] = bits
-                            region = hashes[a:b]
-                            share = common_subsequence(masks[piece], reach, region.tolist()) / reach
-                            if share < paraphrase:
-                                continue
-                            answer = float(np.isin(pieces.answers[piece], region).mean())
-                            if share >= verbatim or answer >= paraphrase:
-                                if (row, piece, round(share, 3)) not in seen:
-                                    seen.add((row, piece, round(share, 3)))
-                                    out.append((begin + row, piece, cosine, share, answer))
+                    while reach * BLOCK < size:
+                        sums, reach = doubled(sums, reach), 2 * reach
+                    starts, at = blocks.starts(size)
+                    low = np.searchsorted(blocks.hits, starts)
+                    high = np.searchsorted(blocks.hits, window_ends(words, starts, size))
+                    some = np.flatnonzero(high > low)
+                    for k in range(0, len(some) if len(own) else 0, 8192):
+                        part = some[k : k + 8192]
+                        cosines = unit(sums[at[part]]) @ latent[own].T
+                        w, p = np.nonzero(cosines >= least_cosine)
+                        window, piece = part[w], own[p]
+                        shared_ = held_share(blocks.term, low[window], high[window], piece, held, share_of, len(pieces.terms))
+                        for c in np.flatnonzero(shared_ >= least_shared).tolist():
+                            start, own_piece = int(starts[window[c]]), int(piece[c])
+                            row = int(words.row[start])
+                            share, answer = verify(pieces, own_piece, masks, hashes, start, size, int(words.first[row]), int(words.first[row + 1]), paraphrase)
+                            if share >= verbatim or share >= paraphrase and answer >= paraphrase:
+                                found = (row, own_piece, round(share, 3))
+                                if found not in seen:
+                                    seen.add(found)
+                                    out.append((begin + row, own_piece, float(cosines[w[c], p[c]]), share, answer))
             rows = [x[0] for x in out]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([pieces.items[x[1]] for x in out], pa.int64()), *(pa.array([x[k] for x in out], pa.float64()) for k in (2, 3, 4))],
@@ -321,7 +382,8 @@ def decontamination(
     dimensions: int = 128,
     common: float = 0.005,
     few: int = 8,
-    least_cosine: float = 0.35,
+    least_cosine: float = 0.3,
+    least_shared: float = 0.2,
     verbatim: float = 0.8,
     paraphrase: float = 0.6,
     seed: int = 11,
@@ -342,7 +404,7 @@ def decontamination(
         counts, windows = frequencies(texts, pieces.terms)
         weight = weights(pieces, counts, windows, common, few)
         space = projection(texts, pieces, weight, dimensions, seed)
-        part = store.write(f"leaks-{block}", leaks_of_block(texts, pieces, weight, space, least_cosine, verbatim, paraphrase))
+        part = store.write(f"leaks-{block}", leaks_of_block(texts, pieces, weight, space, least_cosine, least_shared, verbatim, paraphrase))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return frame.sparkSession.createDataFrame([], f"{id_column} long, {item_column} long, cosine double, lcs_share double, answer_share double")

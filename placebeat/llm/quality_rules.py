@@ -30,9 +30,9 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(x) for x in "#*$%&|<>"]] = True
 #: (least characters per token, most byte-fallback share, least and most entropy in bits) by language, then by script.
 BANDS = {
-    "en": (1.96, 0.02, 5.3, 12.5),
-    "de": (2.02, 0.03, 5.3, 12.5),
-    "fr": (1.72, 0.03, 5.3, 12.5),
+    "en": (2.0, 0.02, 5.3, 12.5),
+    "de": (2.04, 0.03, 5.3, 12.5),
+    "fr": (1.74, 0.03, 5.3, 12.5),
     "es": (1.80, 0.03, 5.3, 12.5),
     "latin": (1.65, 0.05, 4.0, 12.5),
     "cyrillic": (1.3, 0.05, 4.0, 12.5),

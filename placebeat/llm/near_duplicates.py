@@ -8,14 +8,16 @@ equal ones concentrates like that of t independent draws.
 
 Texts with equal sets are one class from here on. Classes that share a band of r coordinates are candidates:
 
-1. Each member of a band's bucket is paired with the bucket's first class in a random order of all classes, the same in
-   every bucket, so a group of n near copies gives about n pairs and not n * n. Pairs are verified on full sets.
+1. Each member of a band's bucket is paired with the bucket's first class in one order of all classes, so a group of n near copies gives about n pairs and not n * n. Pairs are verified on full sets.
 2. Where a bucket still holds different components, all its pairs across components are verified too. Pairs inside a
    component aren't needed: they can't change it. So no pair of different components that shares a band is left out.
 
-Before texts are fetched, pairs are dropped whose set sizes rule the similarity out, and those whose sketches agree in
-less than ``least_agreement`` of the coordinates (8 bits of each; more than six standard deviations below the threshold).
-With 48 bands of 5, a pair at similarity 0.75 shares no band with probability 2e-6.
+The joins that make pairs drop those whose set sizes rule the similarity out, and those whose sketches differ in more
+coordinates (four bits of each) than a pair at the threshold does within four standard deviations; a pair comes from the
+first bucket it shares. A bucket's first class is the one that meets most others in its buckets, which of a text and its
+copies is the text. With 72
+bands of 7, a pair at similarity 0.75 shares no band with probability 3e-5, at 0.8 with 3e-8; texts that share a passage
+and are 0.3 alike are candidates in one of 60 cases.
 
 Null texts and texts without words have an empty set and are linked with nothing; equal texts are linked; rows with a
 null id can't be named and are left out; repeated rows each get their row; an empty table gives no rows; columns other
@@ -24,10 +26,12 @@ than those named are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +42,10 @@ from placebeat.plans.stage import Stage
 
 U = np.uint64
 SHINGLE_WORDS = 5
-BANDS, ROWS = 48, 5
-LEAST_AGREEMENT = 0.55
+BANDS, ROWS = 72, 7
+LONGS, PLANES = 8, 4  # of 64 coordinates each; coordinates beyond them have no bit
+DEVIATIONS = 4
+BITS = tuple(f"bits{k}" for k in range(LONGS * PLANES))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +85,7 @@ def sketches(row: np.ndarray, hashes: np.ndarray, rows: int, bins: int) -> np.nd
 
 
 def sketched(texts: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
-    """id, n_shingles, the set's two-part signature, a key for each band and 8 bits of each coordinate."""
+    """id, n_shingles, the set's two-part signature, a key for each band and four bits of each coordinate, in planes."""
     ship(texts.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,8 +102,13 @@ def sketched(texts: DataFrame, size: int, bands: int, per_band: int) -> DataFram
                 edges = np.searchsorted(row, np.arange(rows + 1))
                 sums = [np.append(U(0), np.cumsum(kernel.mix(hashes + U(salt)), dtype=U)) for salt in (1, 2)]
                 marks = [(s[edges[1:]] - s[edges[:-1]]).view(np.int64) for s in sums]
-                bits = np.ascontiguousarray((kernel.mix(coordinates) >> U(56)).astype(np.uint8))
-                width = bits.shape[1]
+                mixed = kernel.mix(coordinates)[:, : 64 * LONGS]
+                bits = []
+                for plane in range(PLANES):
+                    flags = np.zeros((rows, 64 * LONGS), np.uint8)
+                    flags[:, : mixed.shape[1]] = mixed >> U(63 - plane) & U(1)
+                    bits.append(np.packbits(flags, axis=1).view(np.int64))
+                bits = np.concatenate(bits, axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(begin, rows),
@@ -105,27 +116,51 @@ def sketched(texts: DataFrame, size: int, bands: int, per_band: int) -> DataFram
                         pa.array(marks[0]),
                         pa.array(marks[1]),
                         pa.ListArray.from_arrays(np.arange(0, rows * bands + 1, bands, dtype=np.int32), pa.array(keys.reshape(-1))),
-                        pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(0, rows * width + 1, width, dtype=np.int32)), pa.py_buffer(bits)]),
+                        *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(LONGS * PLANES)),
                     ],
-                    ["id", "n_shingles", "mark1", "mark2", "band_keys", "bits"],
+                    ["id", "n_shingles", "mark1", "mark2", "band_keys", *BITS],
                 )
 
-    return texts.mapInArrow(sketch, "id long, n_shingles long, mark1 long, mark2 long, band_keys array<bigint>, bits binary")
+    return texts.mapInArrow(sketch, "id long, n_shingles long, mark1 long, mark2 long, band_keys array<bigint>, " + ", ".join(f"{x} long" for x in BITS))
 
 
-def possible(pairs: DataFrame, members: DataFrame, percent: int, least_agreement: float) -> DataFrame:
-    """Pairs (a, b) whose set sizes and sketches allow the similarity."""
-    sizes = members.select("id", "n_shingles", "bits")
-    joined = pairs.join(sizes.toDF("a", "size_a", "bits_a"), "a").join(sizes.toDF("b", "size_b", "bits_b"), "b")
-    fits = joined.filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")).select("a", "b", "bits_a", "bits_b")
+def most_different(percent: int, coordinates: int) -> int:
+    """Different coordinates that a pair at the threshold has within DEVIATIONS standard deviations."""
+    n, share = min(coordinates, 64 * LONGS), (1 - percent / 100) * (1 - 0.5**PLANES)
+    return math.ceil(n * share + DEVIATIONS * math.sqrt(n * share * (1 - share)))
 
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-            keep = pa.array((x == y).mean(axis=1) >= least_agreement)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return fits.mapInArrow(agree, "a long, b long")
+def alike(a: str, b: str, percent: int, most: int) -> Column:
+    """Whether the sizes and sketches under two aliases allow the similarity."""
+    x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    different = F.lit(0)
+    for k in range(LONGS):
+        planes = [F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}")) for name in BITS[k::LONGS]]
+        either = planes[0]
+        for plane in planes[1:]:
+            either = either.bitwiseOR(plane)
+        different = different + F.bit_count(either)
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (different <= most)
+
+
+def of_members(texts: DataFrame, members: DataFrame, store: Stage) -> DataFrame:
+    """The texts whose ids are among the members.
+
+    While a bitmap of the members' hashed ids (16 bits for each) is as small as what Spark broadcasts, it sorts most other
+    texts out before the join that decides, so they aren't shuffled. Without it the join does the same alone.
+    """
+    spark = texts.sparkSession
+    bits = 1 << max(15, (16 * members.count()).bit_length())
+    broadcast = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    if bits // 8 <= 2 * broadcast:  # it compresses to less than half
+        place = F.pmod(F.xxhash64("id"), F.lit(bits))
+        marks = members.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("marks"))
+        marks = store.write("marks", marks)
+        hashed = texts.withColumn("place", place).join(marks, F.bitmap_bucket_number("place") == F.col("bucket"))
+        at = F.bitmap_bit_position("place")
+        byte = F.conv(F.hex(F.substring(F.col("marks"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        texts = hashed.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(place) % 8 as int))")) != 0).select("id", "text")
+    return texts.join(members.select("id"), "id", "left_semi")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -135,7 +170,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             begin = 0
-            bytes_of = np.cumsum([len(x) for x in batch.column(2).cast(pa.large_binary()).to_pylist()]) if batch.num_rows else []
+            bytes_of = np.cumsum(np.add(*(np.asarray(pc.binary_length(batch.column(k)).fill_null(0)).astype(np.int64) for k in (2, 3))))
             while begin < batch.num_rows:  # slices of bounded size
                 before = bytes_of[begin - 1] if begin else 0
                 behind = max(begin + 1, int(np.searchsorted(bytes_of, before + kernel.CHUNK_BYTES, "right")))
@@ -157,40 +192,41 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return joined.mapInArrow(check, "a long, b long")
 
 
-def first_of(order: str) -> Column:
-    return F.min(F.struct(F.xxhash64(order).alias("turn"), F.col(order).alias("id")))["id"]
-
-
 def near_duplicate_links(
-    texts: DataFrame, store: Stage, size: int, percent: int, bands: int, per_band: int, least_agreement: float
+    texts: DataFrame, store: Stage, size: int, percent: int, bands: int, per_band: int
 ) -> tuple[DataFrame, DataFrame]:
     """All documents as (id, n_shingles, class), and (node, root) of the classes that have links.
 
     A class is the smallest id of the texts with the same set; empty sets are classes of their own.
     """
+    most = most_different(percent, bands * per_band)
     every = store.write("sketches", sketched(texts, size, bands, per_band))
     sets = every.filter("n_shingles > 0").groupBy("n_shingles", "mark1", "mark2").agg(F.min("id").alias("class"))
+    sets = store.write("sets", sets)  # a table, so that Spark can split a large group of equal sets in the join
     classes = store.write("classes", every.select("id", "n_shingles", "mark1", "mark2").join(sets, ["n_shingles", "mark1", "mark2"], "left").select("id", "n_shingles", F.coalesce("class", "id").alias("class")))
     heads = classes.filter("id = class and n_shingles > 0").select("id")
-    banded = every.select("id", F.explode("band_keys").alias("key")).join(heads, "id", "left_semi")
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first_of("id").alias("center")).filter("n > 1").select("key", "center")
-    buckets = store.write("buckets", banded.join(shared, "key").select("key", "id", "center"))
-    members = store.write("members", every.select("id", "n_shingles", "bits").join(buckets.select("id").distinct(), "id", "left_semi"))
-    used = store.write("texts", texts.join(members.select("id"), "id", "left_semi"))
-    stars = buckets.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    stars = store.write("stars", possible(stars, members, percent, least_agreement))
+    banded = every.select("id", "band_keys").join(heads, "id", "left_semi").select("id", F.explode("band_keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = store.write("buckets", banded.join(shared, "key"))
+    met = buckets.groupBy("id").agg(F.sum(F.col("n") - 1).alias("met"), F.array_sort(F.collect_list("key")).alias("keys"))  # at most a key for each band
+    members = store.write("members", every.select("id", "n_shingles", *BITS).join(met, "id"))
+    used = store.write("texts", of_members(texts, members, store))
+    ordered = buckets.select("key", "id").join(members.select("id", "met"), "id")
+    centers = ordered.groupBy("key").agg(F.max(F.struct("met", F.xxhash64("id").alias("turn"), "id"))["id"].alias("center"))
+    stars = buckets.select("key", "id").join(centers, "key").filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stars.join(members.alias("x"), F.col("a") == F.col("x.id")).join(members.alias("y"), (F.col("b") == F.col("y.id")) & alike("x", "y", percent, most))
+    stars = store.write("stars", stars.select("a", "b"))
     links = store.write("links", verified(stars, used, size, percent))
     roots = components(links, store, "first")
     # pairs across components
     placed = buckets.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    rest = store.write("mixed", placed.join(mixed, "key", "left_semi").join(members.select("id", "n_shingles"), "id"))
-    left, right = rest.toDF("id", "key", "root", "n").alias("l"), rest.toDF("id", "key", "root", "n").alias("r")
-    across = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.root") < F.col("r.root")) & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")))
-    across = across.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    rest = store.write("mixed", placed.join(mixed, "key", "left_semi").join(members.drop("met"), "id"))
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    across = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & alike("x", "y", percent, most) & once)
+    across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     tried = stars.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
-    across = across.join(tried, (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti")
-    across = store.write("across", possible(across, members, percent, least_agreement))
+    across = store.write("across", across.join(tried, (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti"))
     more = store.write("more", verified(across, used, size, percent))
     return classes, components(links.union(more), store, "all")
 
@@ -203,12 +239,11 @@ def near_duplicates(
     percent: int = 75,
     bands: int = BANDS,
     per_band: int = ROWS,
-    least_agreement: float = LEAST_AGREEMENT,
 ) -> DataFrame:
     """id, n_shingles, component_id (smallest id of its component) and kept (whether it is that one) of each document."""
     store = stage(frame.sparkSession)
     texts = narrow(frame, id=id_column, text=text_column).filter("id is not null").select(F.col("id").cast("long").alias("id"), "text")
-    classes, roots = near_duplicate_links(texts, store, size, percent, bands, per_band, least_agreement)
+    classes, roots = near_duplicate_links(texts, store, size, percent, bands, per_band)
     placed = classes.join(roots.withColumnRenamed("node", "class"), "class", "left")
     component = F.coalesce("root", "class")
     return placed.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))

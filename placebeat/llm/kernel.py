@@ -1,6 +1,6 @@
 """Words, shingles and their hashes of a batch of texts, as numpy arrays.
 
-The functions here run inside Arrow tasks. A batch is cut into chunks of a few megabytes (a longer text is a chunk of
+The functions here run inside Arrow tasks. A batch is cut into chunks of a megabyte (a longer text is a chunk of
 its own), so memory follows the longest text and not the batch. Texts stay UTF-8 bytes; every position is a byte
 position in the chunk. Hashes are polynomial prefix hashes modulo 2**64 over a random byte table, finished with a mixer,
 so the hash of any span of words costs two look-ups.
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_000_000
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -15,8 +15,16 @@ ROOT = str(Path(__file__).resolve().parents[2])
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python tasks import this package also where it is used from its source folder."""
+    """Let Python tasks import this package also where it is used from its source folder, and get batches of a few megabytes.
+
+    A size of batches that the session sets itself stays.
+    """
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, "4m")
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from placebeat.llm import kernel
 from placebeat.llm.support import fresh, narrow, ship, table
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(x) for x in "#*$%&|<>"]] = True
 #: (least characters per token, most byte-fallback share, least and most entropy in bits) by language, then by script.

@@ -169,7 +169,7 @@ def joined(rows: Column) -> Column:
 
 
 def secret_scans(
-    frame: DataFrame, id_column: str = "doc_id", text_column: str = "text", alpha: float = 0.003, false_share: float = 0.01
+    frame: DataFrame, id_column: str = "doc_id", text_column: str = "text", alpha: float = 0.03, false_share: float = 0.01
 ) -> DataFrame:
     """id, n_assign, n_access, n_hex, n_random, base_sha256 and spans (code points, end exclusive) of every text."""
     store = stage(frame.sparkSession)
@@ -186,7 +186,7 @@ def secret_scans(
     return whole.select(F.col("id").alias(id_column), *counts, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
-def redact_secrets(frame: DataFrame, text_column: str = "text", mark: str = "[SECRET]", alpha: float = 0.003, false_share: float = 0.01) -> DataFrame:
+def redact_secrets(frame: DataFrame, text_column: str = "text", mark: str = "[SECRET]", alpha: float = 0.03, false_share: float = 0.01) -> DataFrame:
     """The frame with every secret replaced by the mark; overlapping ones become one mark."""
     store = stage(frame.sparkSession)
     row, columns = fresh(frame, "row_number_"), frame.columns

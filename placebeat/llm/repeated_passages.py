@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placebeat.llm import kernel
-from placebeat.llm.support import narrow, ship, stage, table, word_count
+from placebeat.llm.support import narrow, ship, stage, table
 
 U = np.uint64
 LENGTH = 50
 SEED = 32
+SUFFIX = ["seed", "around", "id", "at", "left", "right"]
 
 
 def sliding(values: np.ndarray, size: int, pick, forward: bool) -> np.ndarray:
@@ -78,7 +79,10 @@ def surroundings(words: kernel.Words, at: np.ndarray, length: int, seed: int) ->
 
 
 def suffixes(texts: DataFrame, length: int, seed: int) -> DataFrame:
-    """(seed, around, id, at, left, right) of the retained suffixes; left and right: words around in reach."""
+    """(seed, around, id, at, left, right) of the retained suffixes; left and right: words around in reach.
+
+    Every row of texts has one more row without a seed, with its number of words in place of ``at``.
+    """
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,6 +93,10 @@ def suffixes(texts: DataFrame, length: int, seed: int) -> DataFrame:
                 low, high = surroundings(words, at, length, seed)
                 around = kernel.mix(prefix.spans(low, high) + (at - low).astype(U))
                 row = words.row[at]
+                none = pa.nulls(len(words.count), pa.int64())
+                zeros = np.zeros(len(words.count), np.int32)
+                counts = [none, none, batch.column(0).slice(begin, len(words.count)), pa.array(words.count.astype(np.int32)), pa.array(zeros), pa.array(zeros)]
+                yield pa.RecordBatch.from_arrays(counts, SUFFIX)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys.view(np.int64)),
@@ -98,7 +106,7 @@ def suffixes(texts: DataFrame, length: int, seed: int) -> DataFrame:
                         pa.array((at - low).astype(np.int32)),
                         pa.array((high - at).astype(np.int32)),
                     ],
-                    ["seed", "around", "id", "at", "left", "right"],
+                    SUFFIX,
                 )
 
     return texts.mapInArrow(retain, "seed long, around long, id long, at int, left int, right int")
@@ -171,11 +179,14 @@ def repeated_passages(
     ship(frame.sparkSession)
     store = stage(frame.sparkSession)
     texts = narrow(frame, id=id_column, text=text_column).filter("id is not null").select(F.col("id").cast("long").alias("id"), "text")
-    every = store.write("suffixes", suffixes(texts, length, seed))
+    whole = store.write("suffixes", suffixes(texts, length, seed))
+    every = whole.filter("seed is not null")
     runs = every.groupBy("seed").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
+    runs = store.write("runs", runs)  # a table, so that Spark can split a hot seed in the join
     matched = store.write("matched", every.join(runs.select("seed", F.col("low").alias("run_low")), "seed"))
     surrounded = matched.groupBy("seed", "around").agg(F.min(F.struct("id", "at")).alias("head"), F.max("id").alias("high"))
     several = matched.groupBy("seed").agg(F.min("around").alias("x"), F.max("around").alias("y")).filter("x <> y").select("seed")
+    several = store.write("several", several)
     classes = surrounded.join(several, "seed", "left_semi")
     classes = store.write("classes", classes.select("seed", "around", F.xxhash64("seed", "around").alias("class"), F.col("head.id").alias("low"), F.col("head.at").alias("at"), "high"))
     heads = classes.groupBy(F.col("low").alias("id")).agg(F.collect_list(F.struct("class", "at")).alias("heads"))
@@ -191,9 +202,9 @@ def repeated_passages(
     at = F.col("at")
     some = of_class.select("id", F.transform("backs", lambda x: F.struct((at - x["back"]).alias("start"), (at - x["back"] + length).alias("end"), (x["first"] < F.col("id")).alias("later"))).alias("spans"))
     alone = matched.join(several, "seed", "left_anti").filter(F.col("left") + F.col("right") >= length)
-    whole = alone.select("id", F.array(F.struct((at - F.col("left")).alias("start"), (at + F.col("right")).alias("end"), (F.col("run_low") < F.col("id")).alias("later"))).alias("spans"))
-    spans = some.unionByName(whole).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    counted = texts.select(F.col("id").alias("of"), word_count(F.col("text")).alias("n_words"))
+    unbroken = alone.select("id", F.array(F.struct((at - F.col("left")).alias("start"), (at + F.col("right")).alias("end"), (F.col("run_low") < F.col("id")).alias("later"))).alias("spans"))
+    spans = some.unionByName(unbroken).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    counted = whole.filter("seed is null").select(F.col("id").alias("of"), F.col("at").cast("long").alias("n_words"))
     result = counted.join(merged(spans), F.col("of") == F.col("id"), "left")
     zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
     return result.select(F.col("of").alias(id_column), "n_words", zero("n_repeated_words"), zero("n_later_words"), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("later_spans", F.lit("")).alias("later_spans"))

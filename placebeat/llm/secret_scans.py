@@ -35,7 +35,7 @@ PATTERNS = {
     "assign": rf"""({_KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]{16,}",
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}",
-    "random": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}",
+    "random": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}",
 }
 BASE = ("assign", "access", "hex")
 KINDS = tuple(PATTERNS)

@@ -47,3 +47,62 @@ def test_tokens_behind_an_equals_sign(spark):
         assert brute.base_secrets(text) == "" and set(spans) <= set(free_tokens(text))
         hit[AROUND[k % len(AROUND)]].append(any(a <= start and start + len(token) <= b for a, b in spans))
     assert all(np.mean(x) >= 0.75 for x in hit.values()), hit
+
+
+WORDS = "river stone bridge market garden window paper travel music letter winter summer handler request client version buffer config session account invoice section chapter".split()
+HEX_WORDS = "dead beef face cafe feed deed decade facade added fade bead bad ace cab".split()
+LENGTHS = (20, 24, 32)
+#: Least share of random tokens found, of 120 each beside as many names: by encoding, at 20, 24 and 32 characters.
+LEAST = {
+    "hex": (0.6, None, None), "HEX": (0.6, 0.7, 0.8), "base32": (0.8, 0.85, 0.9), "lower36": (0.85, 0.85, 0.9), "upper36": (0.85, 0.85, 0.9),
+    "base64url": (0.85, 0.85, 0.9), "base64": (0.85, 0.85, 0.9),
+}
+
+
+def name(encoding, length, rng):
+    """A name of words and numbers in the encoding's alphabet."""
+    words = HEX_WORDS if encoding.lower() == "hex" else WORDS
+    digits = "234567" if encoding == "base32" else "0123456789"
+    between = {"base64url": "_", "base64": "/"}.get(encoding, "")
+    text = ""
+    while len(text) < length:
+        word = rng.choice(words)
+        text += rng.choice([word, word.title() if between else word, "".join(rng.choices(digits, k=rng.randint(3, 8)))]) + between
+    text = text[: length - 2] + rng.choice(digits) * 2
+    if between:
+        return "A" + text[1:-3] + "b" + text[-2:]
+    text = rng.choice(words)[:3] + text[3:]
+    return text.upper() if encoding in ("HEX", "base32", "upper36") else text
+
+
+def shares_found(spark):
+    """(encoding, length) -> share of random tokens found; and the share of names among all that is found."""
+    rng, rows = random.Random(21), []
+    for encoding, (_, letters) in secret_scans.ENCODINGS.items():
+        for length, least in zip(LENGTHS, LEAST[encoding], strict=True):
+            if least is not None:  # longer hexadecimal tokens have a pattern of their own
+                rows += [(encoding, length, True, "".join(rng.choices(letters, k=length))) for _ in range(120)]
+                rows += [(encoding, length, False, name(encoding, length, rng)) for _ in range(120)]
+    frame = spark.createDataFrame([(k, f"see {r[-1]} there") for k, r in enumerate(rows)], "doc_id long, text string")
+    hits, names = {}, []
+    for r in secret_scans.secret_scans(frame).collect():
+        encoding, length, secret, _ = rows[r["doc_id"]]
+        if secret:
+            hits.setdefault((encoding, length), []).append(r["n_random"] == 1)
+        elif r["n_random"]:
+            names.append(rows[r["doc_id"]])
+    shares = {k: round(float(np.mean(v)), 2) for k, v in sorted(hits.items())}
+    return shares, len(names) / max(1, len(names) + sum(map(sum, hits.values()))), names
+
+
+def test_random_tokens_by_encoding_and_length(spark):
+    shares, wrong, names = shares_found(spark)
+    assert all(shares[encoding, length] >= least for encoding, row in LEAST.items() for length, least in zip(LENGTHS, row, strict=True) if least), shares
+    assert wrong <= 0.03, names
+
+
+@pytest.mark.parametrize("encoding", secret_scans.ENCODINGS)
+def test_chances_of_words_add_up(encoding):
+    letters = secret_scans.ENCODINGS[encoding][1]
+    chances = 2 ** np.array(secret_scans.word_bits(letters)).reshape(len(letters), -1) / len(letters)
+    assert chances.sum(axis=1) == pytest.approx(1)

@@ -3,7 +3,9 @@
 Hosts with pages that rules allow are trusted seeds, those with pages that rules block are blocked seeds, both weighted by
 how many of the pages of all seeds they have. Trust is the personalised PageRank from the trusted seeds along links
 between hosts, distrust that from the blocked seeds along reversed links. A host is blocked when its distrust is at least
-``floor`` and more than ``margin`` times its trust; that judges the pages no rule fits.
+``floor`` times that of a single blocked page's seed and more than ``margin`` times its trust; that judges the pages no
+rule fits. The rounds go on until no host's score moves by ``tolerance`` times the share of a single seed page. Both are
+shares of a page, so neither depends on how many pages or hosts a table has.
 
 Rules are joined to hosts by the hosts' suffixes, links are reduced to weighted host edges before anything is iterated,
 and each round is one join and one aggregation over the hosts, written to a table. Pages meet the verdicts of their hosts
@@ -16,6 +18,8 @@ empty tables give no rows; columns other than those named are not read. DataFram
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,16 +52,20 @@ def rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return fitting.groupBy("host").agg(F.sort_array(F.collect_set(rule), asc=False).alias("rules"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float, rounds: int, store) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float, rounds: int | None, store) -> DataFrame:
     """(kind, host, score): personalised PageRank of each kind of edges (kind, a, b) from its seeds (kind, host, seed).
 
-    What hosts without edges hold goes back to the seeds. Scores of a kind add up to 1.
+    What hosts without edges hold goes back to the seeds. Scores of a kind add up to 1. The rounds end when no score, times
+    the total of its kind's seeds, moves by ``tolerance``, or after ``rounds``. Without a number of rounds there are as many
+    as that can take: all moves of a kind together are 2 at most and shrink by ``damping`` a round.
     """
     shares = edges.groupBy("kind", "a").agg(F.count(F.lit(1)).alias("n"))
     edges = store.write("edges", edges.join(shares, ["kind", "a"]).select("kind", "a", "b", (1 / F.col("n")).alias("share")))
-    totals = seeds.groupBy("kind").agg(F.sum("seed").alias("total"))
+    totals = store.write("totals", seeds.groupBy("kind").agg(F.sum("seed").alias("total")))
     seeds = store.write("seeds", seeds.join(totals, "kind").select("kind", "host", (F.col("seed") / F.col("total")).alias("seed")))
     scores = seeds.withColumnRenamed("seed", "score")
+    if rounds is None:
+        rounds = math.ceil(math.log(tolerance / (2 * (totals.agg(F.max("total")).first()[0] or 1.0))) / math.log(damping))
     for turn in range(rounds):
         moved = scores.join(edges, (scores.kind == edges.kind) & (scores.host == edges.a)).select(edges.kind, F.col("b").alias("host"), (damping * F.col("score") * F.col("share")).alias("part"))
         given = moved.groupBy("kind").agg(F.sum("part").alias("given"))
@@ -65,7 +73,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: flo
         step = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("part").alias("score"))
         new = store.write(f"scores-{turn}", step)
         old = scores.toDF("kind", "host", "old")
-        gap = new.join(old, ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("gap")).first()["gap"]
+        moves = new.join(old, ["kind", "host"], "full").select("kind", F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))).alias("move"))
+        moves = moves.groupBy("kind").agg(F.max("move").alias("move"))
+        gap = moves.join(totals, "kind").agg(F.max(F.col("move") * F.col("total")).alias("gap")).first()["gap"]
         scores = new
         if not gap or gap < tolerance:
             break
@@ -80,7 +90,7 @@ def url_filters(
     rules: tuple[tuple[str, str], ...] = RULES,
     damping: float = 0.85,
     tolerance: float = 1e-6,
-    rounds: int = 40,
+    rounds: int | None = None,
     margin: float = 2.0,
     floor: float = 1e-6,
 ) -> DataFrame:
@@ -106,12 +116,13 @@ def url_filters(
     pairs = pages.filter("host <> ''").select(F.col("host").alias("a"), F.explode("links").alias("b")).filter("b <> '' and a <> b").distinct()
     pairs = store.write("pairs", pairs)
     edges = pairs.select(F.lit("trust").alias("kind"), "a", "b").union(pairs.select(F.lit("distrust"), "b", "a"))
+    page = seeds.filter("kind = 'distrust'").agg(F.sum("seed")).first()[0] or 1.0
     scores = propagate(edges, seeds, damping, tolerance, rounds, store)
     hosts = scores.groupBy("host").agg(*(F.coalesce(F.max(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
     hosts = store.write("hosts", hosts)
     found = judged.join(hosts, "host", "left")
     trust, distrust = (F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust"))
-    blocked = (distrust >= floor) & (distrust > margin * trust)
+    blocked = (distrust * page >= floor) & (distrust > margin * trust)
     verdict = F.coalesce("action", F.when(blocked, "block").otherwise("allow"))
     return found.select(F.col("id").alias(id_column), "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 

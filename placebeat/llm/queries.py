@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from placebeat.llm import decontamination, html_extraction, license_scans, mixing, near_duplicates, quality_rules, repeated_passages, secret_scans, token_counts, url_filters
+from placebeat.llm import (
+    centroid_clustering, decontamination, document_fingerprints, html_extraction, license_scans, merkle_manifest, mixing, near_duplicates, quality_rules, repeated_passages,
+    secret_scans, token_counts, url_filters,
+)
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
@@ -15,9 +18,14 @@ QUERIES = {
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_repeated_passages": repeated_passages.op10_repeated_passages,
+    "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
+    "op12_document_fingerprints": document_fingerprints.op12_document_fingerprints,
+    "op13_centroid_clustering": centroid_clustering.op13_centroid_clustering,
 }
 
 ORACLES = {
     "op5_mixing": mixing.mixing_sql(),
     "op7_license_scans": license_scans.license_sql(),
+    "op11_merkle_manifest": merkle_manifest.manifest_sql(),
+    "op13_centroid_clustering": centroid_clustering.clustering_sql(),
 }

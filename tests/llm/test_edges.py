@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from placebeat.llm import decontamination, html_extraction, license_scans, mixing, near_duplicates, quality_rules, repeated_passages, secret_scans, token_counts, url_filters
+from placebeat.llm import decontamination, document_fingerprints, html_extraction, license_scans, merkle_manifest, mixing, near_duplicates, quality_rules, repeated_passages, secret_scans, token_counts, url_filters
 
 CLASHING = ("id", "row", "size", "target", "class", "key", "seed", "node", "root", "measures", "host", "kind", "bucket", "row_number_", "of", "part", "spans", "plain")
 LONG = " ".join(f"word{k % 977} token=abcdef{k:08d}" for k in range(40_000))
@@ -36,6 +36,7 @@ def items(spark):
 
 EACH_ROW = {
     "quality": quality_rules.quality_rules, "tokens": token_counts.token_counts, "secrets": secret_scans.secret_scans, "licenses": license_scans.license_scans, "mix": mixing.mix_sources,
+    "fingerprints": document_fingerprints.document_fingerprints,
 }
 NAMED_ROWS = {"near": near_duplicates.near_duplicates, "repeats": repeated_passages.repeated_passages}
 
@@ -75,6 +76,15 @@ def test_defined_results(spark):
     assert licenses[2]["license"] is None and licenses[4]["n_licenses"] == 0
 
 
+def test_manifest_of_any_rows(documents):
+    """Equal rows have a coordinate each; every path leads to the root."""
+    columns = ("doc_id", "source", "lang", "n_chars", "text", "size", "row_number_")
+    found = merkle_manifest.merkle_manifest(documents, columns)
+    rows = found.select("*", merkle_manifest.folded(found["leaf"], found["path"]).alias("to")).collect()
+    assert len(rows) == documents.count() and all(r["to"] == r["root"] for r in rows)
+    assert len({(r["lang"], r["pos"]) for r in rows}) == len(rows)
+
+
 def test_pages(pages):
     n = pages.count()
     texts, urls = html_extraction.html_extraction(pages).collect(), url_filters.url_filters(pages).collect()

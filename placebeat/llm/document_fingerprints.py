@@ -101,8 +101,18 @@ def likeness(a: Column, b: Column) -> Column:
     return let(b, lambda b: F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(common(b)))
 
 
+def packed(mark: Column) -> Column:
+    """A fingerprint in half as many bytes."""
+    return F.unhex(mark)
+
+
+def unpacked(data: Column) -> Column:
+    """The fingerprint again: without the zero that packing puts before an odd number of digits."""
+    return let(F.lower(F.hex(data)), lambda text: F.when(F.octet_length(text) % RECORD == 2, F.substring(text, 2, 1 << 30)).otherwise(text))
+
+
 def salt(mark: Column) -> Column:
-    return F.pmod(mark, F.lit(SALTS)).cast("int")
+    return mark.bitwiseAND(SALTS - 1).cast("int")
 
 
 def order(texts: DataFrame, store: Stage) -> DataFrame:
@@ -124,16 +134,17 @@ def document_fingerprints(frame: DataFrame, id_column: str = "doc_id", text_colu
     store = stage(frame.sparkSession)
     texts = narrow(frame, id=id_column, text=text_column).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     follows = order(texts, store)
-    printed = texts.withColumns({"salt": salt(F.xxhash64("text")), "mark": fingerprint(F.col("text"))})
-    named = printed.filter("id is not null")
-    # each document's text is shuffled once, by id; its beginning once more, to the document before it
+    named = texts.filter("id is not null").withColumn("salt", salt(F.xxhash64("text")))
+    # Each text is shuffled once, by id; its beginning and packed fingerprint once more, to the document before it. Both branches
+    # select the same columns under the same filter up to the shuffle, so Spark reads one shuffle twice.
     sent = named.join(follows.withColumn("salt", salt(F.col("mark"))).withColumnRenamed("mark", "of"), ["id", "salt"])
     sent = sent.filter(F.xxhash64("text").bitwiseXOR(F.col("of")) == 0)
     part = F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.expr("parts").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0))
-    sent = sent.select(F.col("serves").alias("id"), part.alias("salt"), F.expr("left(text, cast(need as int))").alias("beginning"), F.col("mark").alias("next_mark"))
+    sent = sent.select(F.col("serves").alias("id"), part.alias("salt"), F.expr("left(text, cast(need as int))").alias("beginning"), packed(fingerprint(F.col("text"))).alias("next_mark"))
     sent = sent.groupBy("id", "salt").agg(F.first("beginning").alias("beginning"), F.first("next_mark").alias("next_mark"))  # equal rows of one id
-    met = named.join(sent, ["id", "salt"], "left")
-    met = met.unionByName(printed.filter("id is null").withColumns({"beginning": F.lit(""), "next_mark": F.lit("")}))
+    met = named.join(sent, ["id", "salt"], "left").drop("salt")
+    met = met.unionByName(texts.filter("id is null").withColumns({"beginning": F.lit(""), "next_mark": F.unhex(F.lit(""))}))
+    met = met.select("id", "text", "beginning", fingerprint(F.col("text")).alias("mark"), unpacked(F.col("next_mark")).alias("next_mark"))
     half = F.expr("cast(floor(length(text) / 2) as int)")
     met = met.withColumns({"n_chars": F.length("text").cast("long"), "edited": F.concat(F.call_function("left", F.col("text"), F.length("text") - half), F.call_function("left", F.col("beginning"), half))})
     met = met.select("id", "n_chars", "mark", "edited", fingerprint(F.col("edited")).alias("edited_mark"), "next_mark")

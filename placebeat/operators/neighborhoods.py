@@ -1,9 +1,10 @@
 """Neighborhoods of dense cities: k-means over business coordinates, all cities at once.
 
 Each round of Lloyd's algorithm is a join of points with the centers of their city and an aggregation, whatever the
-number of cities; the driver learns only how many cities are still moving. Starting centers are chosen over all points, one
-such round for each further center. A city is never gathered in one task: counts, sums and farthest points are all reduced
-before they are shuffled, and the lists kept per city are bounded by the number of clusters. Coordinates are added up as whole numbers of
+number of cities; the driver learns only how many cities are still moving. Starting centers are drawn over all points in a few
+such rounds (distance-squared sampling) and chosen by weight among the drawn. A city is never gathered in one task: counts,
+sums and drawn points are all reduced before they are shuffled, and the lists kept per city are bounded by the number of
+clusters. Coordinates are added up as whole numbers of
 1e-7 degrees, so the result does not depend on how the rows are distributed.
 """
 
@@ -25,6 +26,7 @@ UNITS_PER_DEGREE = 10_000_000  # about one centimetre
 SALTS = 16  # tasks that a city's points are spread over where the centers are too many to broadcast
 # The default stopping rule (degrees, rounds).
 TOLERANCE, MAX_ROUNDS = 1e-4, 20
+DRAWS, DRAW_ROUNDS = 2 * MAX_CLUSTERS, 5  # candidates for starting centers per round, and rounds
 
 _CENTERS = "array<struct<cluster_id:int,lat:double,lon:double>>"
 
@@ -77,26 +79,61 @@ def _with_centers(rows: DataFrame, centers: DataFrame, city: list[str], spread_b
     return salted.join(spread, [*city, "salt"]).drop("salt")
 
 
+def _raced(name: str, *columns: str) -> Column:
+    """A key that is smallest for a row with a probability in proportion to its weight: an exponential waiting time.
+
+    The random number is a hash of seed, name and columns, so it doesn't depend on where the row is.
+    """
+    uniform = f"(shiftrightunsigned(xxhash64({', '.join((name, *columns))}), 11) + 0.5D) / {2**53}D"
+    return F.expr(f"-ln({uniform}) / weight")
+
+
+def _candidates(points: DataFrame, cities: DataFrame, stage: Stage, city: list[str], seed: int) -> DataFrame:
+    """Candidates for starting centers, one row per city with an array of them.
+
+    The first is a point drawn by its weight. In each round, every one of a city's DRAWS parts (by hash) draws one more point with
+    a probability in proportion to its number times its squared distance to the nearest candidate so far: one aggregation for all
+    cities, reduced before it is shuffled. Points that many times are drawn where many points are far from all candidates.
+    """
+    named = "CAST(NULL AS int) AS cluster_id, at.lat AS lat, at.lon AS lon"
+    first = points.withColumn("weight", F.col("n").cast("double")).groupBy(*city).agg(
+        F.min(F.struct(_raced(f"{seed}, 'first'", "lat", "lon").alias("turn"), "lat", "lon")).alias("at")
+    )
+    drawn = first.join(cities.select(*city), city, "left_semi").select(*city, F.expr(f"array(struct({named}))").cast(_CENTERS).alias("centers"))
+    drawn = stage.write("drawn-0", drawn)
+    for turn in range(1, DRAW_ROUNDS + 1):
+        gaps = _with_centers(points, drawn, city, ["lat", "lon"]).withColumn("weight", F.col("n") * _nearest("lat", "lon")["gap"])
+        part = F.expr(f"pmod(xxhash64({seed}, {turn}, lat, lon), {DRAWS})").alias("part")
+        race = F.min(F.struct(_raced(f"{seed}, {turn}, 'turn'", "lat", "lon").alias("turn"), "lat", "lon"))
+        more = gaps.filter("weight > 0").groupBy(*city, part).agg(race.alias("at"))
+        more = more.groupBy(*city).agg(F.array_sort(F.collect_list(F.expr(f"struct({named})"))).cast(_CENTERS).alias("more"))  # DRAWS at most
+        grown = drawn.join(more, city, "left").select(*city, F.concat("centers", F.coalesce("more", F.array().cast(_CENTERS))).alias("grown"))
+        drawn = stage.write(f"drawn-{turn}", grown.withColumnRenamed("grown", "centers"))
+    numbered = "transform(centers, (c, i) -> struct(i AS cluster_id, c.lat AS lat, c.lon AS lon))"
+    return drawn.select(*city, F.expr(numbered).cast(_CENTERS).alias("numbered")).withColumnRenamed("numbered", "centers")
+
+
 def _first_centers(points: DataFrame, cities: DataFrame, stage: Stage, city: list[str], seed: int) -> DataFrame:
-    """Starting centers: a point drawn by hash, then each time the point of the city farthest from those chosen.
+    """Starting centers: distance-squared sampling in rounds, then a weighted choice among the candidates.
 
-    Every further center is one aggregation over all points of all cities that still need one, at most eleven times.
+    A candidate weighs as many points as are nearest to it. Centers are taken from the candidates one after another, each time
+    the one that leaves the smallest weighted sum of squared distances: a stray point is a likely candidate, but has
+    a weight of one. All of it is one row of bounded size per city.
     """
-    turn = F.struct(F.xxhash64(F.lit(seed), "lat", "lon").alias("turn"), "lat", "lon")
-    drawn = points.groupBy(*city).agg(F.min(turn).alias("at")).join(cities.select(*city, "cluster_count"), city)
-    first = F.array(F.struct(F.lit(0).alias("cluster_id"), F.col("at.lat").alias("lat"), F.col("at.lon").alias("lon")))
-    chosen = stage.write("seeds-1", drawn.select(*city, "cluster_count", first.cast(_CENTERS).alias("centers")))
-    for step in range(1, MAX_CLUSTERS):
-        growing = chosen.filter((F.col("cluster_count") > step) & (F.size("centers") == step))
-        if growing.isEmpty():
-            break
-        gaps = _with_centers(points, growing, city, ["lat", "lon"])
-        farthest = gaps.groupBy(*city).agg(F.max(F.struct(_nearest("lat", "lon")["gap"].alias("gap"), "lat", "lon")).alias("at"))
-        added = F.array(F.struct(F.lit(step).alias("cluster_id"), F.col("at.lat").alias("lat"), F.col("at.lon").alias("lon"))).cast(_CENTERS)
-        grown = F.when(F.col("at.gap") > 0, F.concat("centers", added)).otherwise(F.col("centers"))
-        joined = chosen.join(farthest, city, "left")
-        chosen = stage.write(f"seeds-{step + 1}", joined.select(*city, "cluster_count", grown.alias("grown")).withColumnRenamed("grown", "centers"))
-    return chosen.select(*city, "centers")
+    drawn = _candidates(points, cities, stage, city, seed)
+    near = _with_centers(points, drawn, city, ["lat", "lon"]).select(*city, "n", _nearest("lat", "lon")["center"].alias("c"))
+    weighed = near.groupBy(*city, "c").agg(F.sum("n").alias("w"))
+    rows = weighed.groupBy(*city).agg(F.array_sort(F.collect_list(F.expr("struct(c.lat AS lat, c.lon AS lon, w, 1e9D AS gap)"))).alias("rest"))  # gap: above any distance
+    chosen = F.expr(
+        f"""aggregate(sequence(0, cluster_count - 1), struct(rest, CAST(array() AS {_CENTERS}) AS centers, double('infinity') AS cost),
+          (s, i) -> transform(
+            array(array_min(transform(s.rest, c -> struct(aggregate(s.rest, 0D, (t, x) -> t + x.w * least(x.gap, {_squared('x', 'c')})) AS cost, c.lat AS lat, c.lon AS lon)))),
+            p -> CASE WHEN p.cost < s.cost THEN struct(
+              transform(s.rest, x -> struct(x.lat AS lat, x.lon AS lon, x.w AS w, least(x.gap, {_squared('x', 'p')}) AS gap)) AS rest,
+              concat(s.centers, array(struct(i AS cluster_id, p.lat AS lat, p.lon AS lon))) AS centers, p.cost AS cost) ELSE s END)[0],
+          s -> s.centers)"""
+    )
+    return rows.join(cities.select(*city, "cluster_count"), city).select(*city, chosen.cast(_CENTERS).alias("centers"))
 
 
 def _nearest(lat: str, lon: str) -> Column:

@@ -1,6 +1,8 @@
 import math
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from placebeat.operators import kpis
 from placebeat.operators.category_mix import category_mix
 from placebeat.operators.hotspots import window_hotspots
 from placebeat.operators.neighborhoods import (
-    dense_cities, distinct_businesses, fit_checks, fit_neighborhoods,
+    _raced, dense_cities, distinct_businesses, fit_checks, fit_neighborhoods,
 )
 from placebeat.params import Params
 from placebeat.plans.stage import Stage
@@ -176,3 +178,60 @@ def test_windows_and_mix_of_both_area_kinds(spark):
         assert totals == {"grid": 8, "neighborhood": 6}
         per_area = mix.groupBy("area_type", "area_id").agg(F.sum("current_share").alias("s")).collect()
         assert all(abs(r.s - 1) < 1e-9 for r in per_area)
+
+
+def blobs_and_strays():
+    """Eight blobs of 2,500 points and eight strays far from them and from each other."""
+    rng = random.Random(8)
+    middles = [(10 + 0.2 * (k % 4), 10 + 0.2 * (k // 4)) for k in range(8)]
+    points = [(f"b{k}-{i}", "City", "S", rng.gauss(lat, 0.01), rng.gauss(lon, 0.01)) for k, (lat, lon) in enumerate(middles) for i in range(2500)]
+    return points + [(f"s{k}", "City", "S", 10 + 1.3 * math.cos(k), 10 + 1.3 * math.sin(k)) for k in range(8)]
+
+
+def sum_of_squares(points, centers):
+    lat, lon = (np.array([p[axis] for p in points]) for axis in (3, 4))
+    return np.min([(lat - a) ** 2 + (lon - b) ** 2 for a, b in centers], axis=0).sum()
+
+
+def lloyd_from_sampled_starts(points, k, rounds, seed):
+    """k-means++ starts and Lloyd's rounds in numpy, with nothing of the library."""
+    rng = np.random.default_rng(seed)
+    at = np.array([p[3:] for p in points])
+    centers = [at[rng.integers(len(at))]]
+    while len(centers) < k:
+        gap = np.min([((at - c) ** 2).sum(1) for c in centers], axis=0)
+        centers.append(at[rng.choice(len(at), p=gap / gap.sum())])
+    centers = np.array(centers)
+    for _ in range(rounds):
+        own = np.argmin([((at - c) ** 2).sum(1) for c in centers], axis=0)
+        centers = np.array([at[own == c].mean(0) if (own == c).any() else centers[c] for c in range(k)])
+    return [tuple(c) for c in centers]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_strays_take_no_blob_its_center(spark, parts):
+    points = blobs_and_strays()
+    best = min(sum_of_squares(points, lloyd_from_sampled_starts(points, 12, 20, seed)) for seed in range(10))
+    with Stage(spark) as stage:
+        found = fit_neighborhoods(businesses(spark, points).repartition(parts), Params(dense_city_threshold=5), stage).collect()
+    centers, members = grouped(found)
+    assert sum_of_squares(points, centers.values()) <= 1.5 * best
+    serving_blobs = {label for label, ids in members.items() if any(x[0] == "b" for x in ids)}
+    assert len(serving_blobs) >= 8 and len({(r.neighborhood_id, r.center_lat) for r in found}) == len(centers) <= 12
+
+
+def test_draws_follow_the_weight(spark):
+    """Over many seeds, a point is drawn first in proportion to its number."""
+    points = spark.range(2000).selectExpr("id", "stack(2, 1.0D, 1.0D, 30, 2.0D, 2.0D, 10) AS (lat, lon, n)")
+    raced = points.withColumn("weight", F.col("n").cast("double")).withColumn("turn", _raced("7", "id", "lat", "lon"))
+    first = raced.groupBy("id").agg(F.min_by("n", "turn").alias("n")).filter("n = 30").count()
+    assert 1400 < first < 1600
+
+
+def test_other_seeds_reach_as_good_a_result(spark):
+    points = blobs_and_strays()[::5]
+    best = min(sum_of_squares(points, lloyd_from_sampled_starts(points, 12, 20, seed)) for seed in range(10))
+    for seed in (1, 2, 3):
+        with Stage(spark) as stage:
+            found = fit_neighborhoods(businesses(spark, points), Params(dense_city_threshold=5, cluster_seed=seed), stage).collect()
+        assert sum_of_squares(points, grouped(found)[0].values()) <= 1.5 * best

@@ -174,6 +174,10 @@ FROM orders WHERE o_orderkey % 5 = 4""",
     "oldest_reviews": _BASE + """
 SELECT review_id, business_id, review_stars, event_time AS review_date
 FROM rev ORDER BY event_time, review_id, business_id LIMIT 1000""",
+    "oldest_reviews_by_day": """
+SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS review_id, CAST(l_suppkey AS VARCHAR) AS business_id,
+       CAST(1 + (l_orderkey * 7 + l_suppkey * 3 + l_linenumber) % 5 AS DOUBLE) AS review_stars, l_shipdate AS review_date
+FROM lineitem ORDER BY review_date, review_id, business_id LIMIT 3333""",
     "event_categories": _BASE + "SELECT review_id, city, review_stars, category FROM x",
     "event_grid_cells": _BASE + """
 SELECT business_id, city, state, area_id AS grid_id, lat AS latitude, lon AS longitude, review_stars, event_time

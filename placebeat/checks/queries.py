@@ -130,6 +130,12 @@ def oldest_reviews(spark, folder):
     return oldest.select("review_id", "business_id", "review_stars", "review_date")
 
 
+def oldest_reviews_by_day(spark, folder):
+    """All rows of a day share one second, so the limit ends among many rows of equal time."""
+    oldest = cleaning.oldest_reviews(tables.raw_lineitem_reviews(spark, folder), 3333)
+    return oldest.select("review_id", "business_id", "review_stars", "review_date")
+
+
 def event_categories(spark, folder):
     return kpis.event_categories(tables.enriched_events(spark, folder))
 
@@ -544,7 +550,7 @@ def file_stream_window_hotspots(spark, folder):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
-        enriched_events, cleaned_reviews, parsed_dates, order_dates_kept, order_dates_rejected, oldest_reviews, event_categories, event_grid_cells,
+        enriched_events, cleaned_reviews, parsed_dates, order_dates_kept, order_dates_rejected, oldest_reviews, oldest_reviews_by_day, event_categories, event_grid_cells,
         category_events, city_metrics, city_metrics_volume, grid_hotspots, grid_hotspots_volume, category_leaders,
         latest_reviews, business_projection, dense_city_counts, cluster_counts, neighborhood_assignments, neighborhood_fit_checks,
         neighborhood_hotspots, neighborhood_windows, neighborhood_category_mix, neighborhood_cities, neighborhood_city_totals,

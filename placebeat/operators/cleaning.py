@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placebeat.functions import parse_categories, parse_date
+from placebeat.operators.ranking import first_rows
+from placebeat.plans.stage import Stage
 
 REVIEW_KEYS = ("review_id", "business_id", "date")
 BUSINESS_KEYS = ("business_id", "city", "state")
@@ -98,30 +100,34 @@ def places(businesses: DataFrame) -> DataFrame:
     )
 
 
-def _before_limit(rows: DataFrame, bucket: Column, limit: Column) -> tuple[Column, Column]:
-    """As scalar subqueries: the bucket of time in which the oldest ``limit`` rows end, and the rows before it."""
-    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    earlier = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    reached = counts.select("bucket", F.coalesce(earlier, F.lit(0)).alias("earlier")).filter(F.col("earlier") < limit)
-    return reached.agg(F.max("bucket")).scalar(), reached.agg(F.max("earlier")).scalar()
+def _reached(rows: DataFrame, bucket: Column, limit: int, stage: Stage, name: str) -> tuple[Column, int] | None:
+    """The bucket of time in which the oldest ``limit`` rows end, as a scalar subquery, and the number of rows before it."""
+    counts = stage.write(name, rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = counts.select("bucket", earlier.alias("earlier")).filter(F.col("earlier") < limit)
+    before = reached.agg(F.max("earlier").alias("earlier")).first()["earlier"]
+    return None if before is None else (reached.agg(F.max("bucket")).scalar(), before)
 
 
-def oldest_reviews(reviews: DataFrame, limit: int | None) -> DataFrame:
-    """Cleaned reviews, or only the ``limit`` oldest in time order (ties by review_id); no limit or 0 means all.
+def oldest_reviews(reviews: DataFrame, limit: int | None, stage: Stage | None = None) -> DataFrame:
+    """Cleaned reviews, or only the ``limit`` oldest in time order (ties by review_id, then business_id); no limit or 0 means all.
 
     Without a limit no order is imposed: no indicator needs one, and a global sort would move every review. With one, rows
     are counted per day, then per second of the day in which the limit is reached (a row per bucket is all that meets in a
-    task); whole days and seconds before are kept as they are, and only the rows of one second are ranked.
+    task); whole days and seconds before are kept as they are, and only the keys of one second are ranked, in ranges of about
+    equal size, as all rows may share that second. The counts and that ranking are jobs of their own; ``stage`` keeps the keys.
     """
     cleaned = clean_reviews(reviews)
     if not limit:
         return cleaned
     day, second = F.to_date("review_date"), F.date_trunc("second", "review_date")
-    last_day, before_day = _before_limit(cleaned, day, F.lit(limit))
+    store = stage or Stage(reviews.sparkSession)
+    found = _reached(cleaned, day, limit, store, "days")
+    if found is None:
+        return cleaned
+    last_day, before_day = found
     in_day = cleaned.filter(day == last_day)
-    last_second, before_second = _before_limit(in_day, second, F.lit(limit) - before_day)
+    last_second, before_second = _reached(in_day, second, limit - before_day, store, "seconds")
     whole = cleaned.filter((day < last_day) | (day == last_day) & (second < last_second))
-    turn = F.row_number().over(Window.orderBy("review_date", "review_id", "business_id"))
-    ranked = in_day.filter(second == last_second).withColumn("turn", turn)
-    rest = ranked.filter(F.col("turn") <= F.lit(limit) - before_day - before_second).drop("turn")
-    return whole.unionByName(rest)
+    order = ("review_date", "review_id", "business_id")
+    return whole.unionByName(first_rows(in_day.filter(second == last_second), order, limit - before_day - before_second, store))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from placebeat.operators.cleaning import clean_businesses, oldest_reviews, places
 from placebeat.operators.enrich import enrich
+from placebeat.plans.stage import Stage
 from placebeat.schemas import BUSINESS_SCHEMA, REVIEW_SCHEMA, TABLE_SCHEMAS
 
 
@@ -30,9 +31,9 @@ def load_places(spark: SparkSession, path: str) -> DataFrame:
     return places(read_businesses(spark, path))
 
 
-def load_reviews(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def load_reviews(spark: SparkSession, path: str, limit: int | None = None, stage: Stage | None = None) -> DataFrame:
     """Cleaned reviews; with a limit, the oldest that many, picked before the join with places."""
-    return oldest_reviews(read_reviews(spark, path), limit)
+    return oldest_reviews(read_reviews(spark, path), limit, stage)
 
 
 def write_rejects(rejected: DataFrame, base_path: str, batch_id: int | None = None) -> None:

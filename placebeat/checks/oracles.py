@@ -206,6 +206,13 @@ FROM ({_BUSINESSES}) GROUP BY city""",
     "emerging_areas": _DAILY + _EMERGING + f" SELECT {_WINDOW_COLUMNS} FROM m",
     "city_activity_windows": _BASE + _windows(_DAY, _DAY // 2) + _CITY_WINDOWS + """
 SELECT city, state, window_start, window_end, event_count, round(avg_stars, 6) AS avg_stars FROM s""",
+    "city_activity_minutely": _BASE + f""", m AS (
+  SELECT city, state, make_timestamp((epoch_us(event_time) // 60000000 - k) * 60000000) AS window_start, count(*) AS n, sum(review_stars) AS stars
+  FROM e, range(1440) AS copies(k) GROUP BY ALL
+)
+SELECT city, state, CAST(CAST(window_start AS DATE) AS VARCHAR) AS day, count(*) AS windows, CAST(sum(n) AS BIGINT) AS events,
+       max(n) AS most_events, round(sum(stars), 6) AS stars
+FROM m GROUP BY ALL""",
     "area_pane_totals": _BASE + f"""
 SELECT area_type, area_id, city, state, lat AS latitude, lon AS longitude,
        make_timestamp(epoch_us(event_time) // {_DAY // 2} * {_DAY // 2}) AS pane_start,

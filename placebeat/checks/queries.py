@@ -271,6 +271,15 @@ def city_activity_windows(spark, folder):
     return _rounded(found, "avg_stars")
 
 
+def city_activity_minutely(spark, folder):
+    """Windows of 24 hours every minute, summed up by city and day: 1,440 windows hold each event."""
+    params = DAILY.with_(window_duration="24 hours", slide_duration="1 minute")
+    found = hotspots.city_activity_windows(_activity(spark, folder, params), params)
+    counts = {"windows": F.count("*"), "events": F.sum("event_count"), "most_events": F.max("event_count"), "stars": F.sum(F.col("avg_stars") * F.col("event_count"))}
+    daily = found.groupBy("city", "state", F.to_date("window_start").cast("string").alias("day")).agg(*(x.alias(name) for name, x in counts.items()))
+    return _rounded(daily, "stars")
+
+
 def area_pane_totals(spark, folder):
     width = hotspots.params_pane(DAILY)
     return area_panes(_activity(spark, folder, DAILY), width, DAILY.cell_size_km)
@@ -555,7 +564,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         latest_reviews, business_projection, dense_city_counts, cluster_counts, neighborhood_assignments, neighborhood_fit_checks,
         neighborhood_hotspots, neighborhood_windows, neighborhood_category_mix, neighborhood_cities, neighborhood_city_totals,
         neighborhood_window_totals, neighborhood_category_totals, window_hotspots,
-        window_hotspots_tumbling, window_hotspots_volume, emerging_areas, city_activity_windows, area_pane_totals,
+        window_hotspots_tumbling, window_hotspots_volume, emerging_areas, city_activity_windows, city_activity_minutely, area_pane_totals,
         category_mix, city_options, default_city, category_options, area_options, area_type_options, city_hotspots,
         map_midpoint, city_emerging, city_window_hotspots, window_date_bounds, area_series, areas_with_category,
         area_choice, area_top_categories, area_chosen_category, top_categories_by_area, activity_series_thinned, city_activity_series,

@@ -1,8 +1,8 @@
 """Durations, date parsing and event-time panes.
 
 Windows of length ``duration`` every ``slide`` are unions of *panes*: tumbling intervals of gcd(duration, slide).
-Counts and sums per pane are additive, so events are reduced to panes before the shuffle and each pane is copied to
-its ceil(duration / slide) windows after it, instead of copying every event before it.
+Counts and sums per pane are additive, so events are reduced to panes before the shuffle, and a window's totals are the
+difference of two running sums over panes.
 
 Results follow ``spark.sql.session.timeZone`` the way Spark's casts do; the jobs are meant to run under UTC.
 Zone-less timestamps (``timestamp_ntz``) are accepted everywhere and stay zone-less.
@@ -64,7 +64,9 @@ def interval(micros: int) -> Column:
 
 
 def pane_width(duration: str, slide: str) -> int:
-    """Microseconds of the widest tumbling interval that tiles every window."""
+    """Microseconds of the widest tumbling interval that tiles every window; windows must not leave gaps."""
+    if duration_micros(slide) > duration_micros(duration):
+        raise ValueError(f"a slide of {slide!r} is longer than the window of {duration!r}")
     return math.gcd(duration_micros(duration), duration_micros(slide))
 
 
@@ -73,19 +75,19 @@ def pane_start(ts: Column | str, width: int) -> Column:
     return F.window(ts, f"{width} microseconds").start
 
 
-def window_starts(pane: Column, duration: str, slide: str) -> Column:
-    """Array of the starts of all windows that cover the pane starting at ``pane``.
+def last_start(pane: Column, duration: str, slide: str) -> Column:
+    """Start of the last window that covers the pane starting at ``pane``."""
+    step = duration_micros(slide)
+    return pane if pane_width(duration, slide) == step else F.window(pane, f"{step} microseconds").start
 
-    Exploding an array keeps the rows where they are, while ``F.window`` with a slide makes Spark forget how the
-    rows are partitioned and shuffle once more.
-    """
+
+def start_before(pane: Column, last: Column, duration: str, slide: str) -> Column:
+    """Start of the last window that ends before the pane does, ``last`` being that of the last that covers it."""
     length, step = duration_micros(duration), duration_micros(slide)
-    last = pane if pane_width(duration, slide) == step else F.window(pane, f"{step} microseconds").start
-    copies = -(-length // step)
-    starts = F.sequence(last - interval((copies - 1) * step), last, interval(step))
-    if length % step == 0:
-        return starts
-    return F.filter(starts, lambda start: start + interval(length) > pane)
+    whole, rest = divmod(length, step)
+    if not rest:
+        return last - interval(length)
+    return F.when(pane < last + interval(rest), last - interval((whole + 1) * step)).otherwise(last - interval(whole * step))
 
 
 def parse_date(text: Column) -> Column:

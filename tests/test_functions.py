@@ -6,8 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from placebeat.functions import (
-    cluster_count, duration_micros, grid_cell, iso_timestamp, pane_start, pane_width, parse_categories, parse_date,
-    preview, strip, window_starts,
+    cluster_count, duration_micros, grid_cell, interval, iso_timestamp, last_start, pane_start, pane_width, parse_categories,
+    parse_date, preview, start_before, strip,
 )
 from tests.helpers import values
 
@@ -140,6 +140,13 @@ def test_panes_cover_the_windows_of_spark(spark, duration, slide, kind):
     frame = spark.createDataFrame([(t,) for t in times], f"t {kind}")
     width = pane_width(duration, slide)
     panes = frame.select("t", pane_start("t", width).alias("p"))
-    ours = panes.select("t", F.explode(window_starts(F.col("p"), duration, slide)).alias("s"))
+    placed = panes.withColumn("last", last_start(F.col("p"), duration, slide))
+    placed = placed.withColumn("first", start_before(F.col("p"), F.col("last"), duration, slide) + interval(duration_micros(slide)))
+    ours = placed.filter("first <= last").select("t", F.explode(F.sequence("first", "last", interval(duration_micros(slide)))).alias("s"))
     theirs = frame.select("t", F.window("t", duration, slide).start.alias("s"))
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, theirs.collect()))
+
+
+def test_windows_with_gaps_are_refused():
+    with pytest.raises(ValueError, match="longer"):
+        pane_width("20 minutes", "30 minutes")

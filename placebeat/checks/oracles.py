@@ -300,3 +300,7 @@ FROM mix WHERE {_IN_DENSE_CITY} GROUP BY ALL"""
 for _name in ("city_metrics", "grid_hotspots", "category_leaders", "latest_reviews", "window_hotspots"):
     ORACLES[f"static_job_{_name}"] = ORACLES[_name]
 ORACLES["file_stream_window_hotspots"] = ORACLES["window_hotspots"]
+ORACLES["static_job_review_counts"] = ORACLES["file_stream_review_counts"] = """
+SELECT 'kept' AS outcome, count(*) AS rows FROM events UNION ALL SELECT 'malformed', 1
+UNION ALL SELECT 'without_key', count(*) FROM events WHERE event_id % 97 = 0
+UNION ALL SELECT 'undated', count(*) FROM events WHERE event_id % 89 = 0"""

@@ -22,7 +22,7 @@ from placebeat.params import Params
 from placebeat.plans.stage import Stage
 from placebeat.plans.static_job import run_static
 from placebeat.sources import testtables as tables
-from placebeat.sources.files import read_table
+from placebeat.sources.files import read_counts, read_table
 from placebeat.streaming.jobs import batch_processor, start_batches, start_file_stream
 from placebeat.streaming.store import PartialStore
 from placebeat.streaming.watermark import watermarked_panes, watermarked_windows, write_panes
@@ -497,7 +497,8 @@ _json: dict[tuple[str, str], Params] = {}
 
 
 def _json_settings(spark, folder) -> Params:
-    """The test tables as JSON files, written once: businesses, and reviews in several files with a broken line."""
+    """The test tables as JSON files, written once: businesses, and reviews in several files with a broken line, some
+    without a business and some with a text for a date."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _json:
         path = Stage(spark).path
@@ -506,6 +507,10 @@ def _json_settings(spark, folder) -> Params:
         reviews = tables.raw_event_reviews(spark, folder).withColumn("date", dates)
         reviews.repartition(3, "review_id").write.json(f"{path}/reviews")
         spark.createDataFrame([("{broken",)], "line string").coalesce(1).write.mode("append").text(f"{path}/reviews")
+        keyless = reviews.filter("review_id % 97 = 0").select("review_id", "text")
+        undated = reviews.filter("review_id % 89 = 0").withColumn("date", F.concat(F.lit("soon after "), "date"))
+        for more in (keyless, undated):
+            more.coalesce(1).write.mode("append").json(f"{path}/reviews")
         _json[key] = DAILY.with_(
             business_path=f"{path}/businesses", review_path=f"{path}/reviews", stream_path=f"{path}/reviews", dense_city_threshold=0
         )
@@ -513,6 +518,7 @@ def _json_settings(spark, folder) -> Params:
 
 
 _static: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_static_path: dict[tuple[str, str], str] = {}
 
 
 def _static_tables(spark, folder) -> dict[str, DataFrame]:
@@ -521,7 +527,7 @@ def _static_tables(spark, folder) -> dict[str, DataFrame]:
     if key not in _static:
         params = _json_settings(spark, folder).with_(output_path=f"{Stage(spark).path}/static")
         with _in_utc(spark):
-            _static[key] = run_static(spark, params)
+            _static[key], _static_path[key] = run_static(spark, params), params.output_path
     return _static[key]
 
 
@@ -545,17 +551,37 @@ def static_job_window_hotspots(spark, folder):
     return _zoneless(_rounded(_static_tables(spark, folder)["window_hotspots"], *_SCORES), "window_start", "window_end")
 
 
+def static_job_review_counts(spark, folder):
+    """What became of the rows of the JSON files: kept, malformed, without a key, without a readable date."""
+    _static_tables(spark, folder)
+    return read_counts(spark, _static_path[spark.sparkContext.applicationId, folder])
+
+
+_file_streamed: dict[tuple[str, str], str] = {}
+
+
+def _file_stream(spark, folder) -> str:
+    """The file-stream job over the JSON files, a file at a time, its tables published; it runs once for all its queries."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _file_streamed:
+        stage = Stage(spark).path
+        params = _json_settings(spark, folder).with_(output_path=f"{stage}/tables", checkpoint_path=f"{stage}/checkpoint")
+        with _in_utc(spark):
+            _run_to_end(start_file_stream(spark, params, available_now=True, max_files_per_trigger=1))
+            PartialStore(spark, params.output_path).publish(params)
+        _file_streamed[key] = params.output_path
+    return _file_streamed[key]
+
+
 def file_stream_window_hotspots(spark, folder):
-    """The file-stream job over the JSON files, a file at a time, its tables published and read back."""
-    stage = Stage(spark).path
-    params = _json_settings(spark, folder).with_(output_path=f"{stage}/tables", checkpoint_path=f"{stage}/checkpoint")
-    with _in_utc(spark):
-        _run_to_end(start_file_stream(spark, params, available_now=True, max_files_per_trigger=1))
-        PartialStore(spark, params.output_path).publish(params)
-    found = read_table(spark, params.output_path, "window_hotspots")
+    found = read_table(spark, _file_stream(spark, folder), "window_hotspots")
     return _zoneless(_rounded(found, *_SCORES), "window_start", "window_end")
 
 
+def file_stream_review_counts(spark, folder):
+    return read_counts(spark, _file_stream(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -570,6 +596,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         area_choice, area_top_categories, area_chosen_category, top_categories_by_area, activity_series_thinned, city_activity_series,
         city_leaderboard, top_city_categories, recent_feed, streamed_city_metrics, streamed_window_hotspots,
         streamed_category_mix, watermarked_window_hotspots, static_job_city_metrics, static_job_grid_hotspots,
-        static_job_category_leaders, static_job_latest_reviews, static_job_window_hotspots, file_stream_window_hotspots,
+        static_job_category_leaders, static_job_latest_reviews, static_job_window_hotspots, static_job_review_counts,
+        file_stream_window_hotspots, file_stream_review_counts,
     )
 }

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Mapping
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placebeat.functions import parse_categories, parse_date
 from placebeat.operators.ranking import first_rows
 from placebeat.plans.stage import Stage
+from placebeat.schemas import REVIEW_COUNT_SCHEMA
 
 REVIEW_KEYS = ("review_id", "business_id", "date")
 BUSINESS_KEYS = ("business_id", "city", "state")
@@ -70,6 +74,34 @@ def rejected_reviews(reviews: DataFrame) -> DataFrame:
     return _with_event_time(reviews).filter(F.col("review_date").isNull()).drop("review_date")
 
 
+# What becomes of a raw row; every row has one of them.
+KEPT, MALFORMED, WITHOUT_KEY, UNDATED = OUTCOMES = ("kept", "malformed", "without_key", "undated")
+
+
+def with_outcome(reviews: DataFrame) -> DataFrame:
+    """The raw rows with ``review_date_`` (the parsed date) and ``outcome``.
+
+    A row without a key is malformed if its line could not be read as a whole, which the column ``malformed`` of the sources
+    tells by holding the line; a broken optional field alone loses no row.
+    """
+    keyless = reduce(Column.__or__, (F.col(key).isNull() for key in REVIEW_KEYS))
+    broken = F.col("malformed").isNotNull() if "malformed" in reviews.columns else F.lit(False)
+    dated = reviews.withColumn("review_date_", _event_time(reviews))
+    outcome = F.when(keyless & broken, MALFORMED).when(keyless, WITHOUT_KEY).when(F.col("review_date_").isNull(), UNDATED).otherwise(KEPT)
+    return dated.withColumn("outcome", outcome)
+
+
+def outcome_counts(found: Mapping[str, int], spark: SparkSession) -> DataFrame:
+    """One row per outcome with the number of rows, none left out."""
+    return spark.createDataFrame([(name, int(found.get(name) or 0)) for name in OUTCOMES], REVIEW_COUNT_SCHEMA)
+
+
+def counted_by_outcome(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The rows with their ``outcome`` counted while they pass by; the counts are there once an action on them has ended."""
+    seen = Observation(name)
+    return rows.observe(seen, *(F.count_if(F.col("outcome") == x).alias(x) for x in OUTCOMES)), seen
+
+
 def clean_businesses(businesses: DataFrame) -> DataFrame:
     """The eight used columns, rows without identifier, city or state dropped, numbers as doubles (null if broken)."""
     return (

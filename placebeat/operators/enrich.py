@@ -19,16 +19,9 @@ def enrich(cleaned: DataFrame, located: DataFrame) -> DataFrame:
     return cleaned.join(located, "business_id", "inner").select(*ENRICHED_SCHEMA.fieldNames())
 
 
-def place_activity(
-    cleaned: DataFrame, located: DataFrame, pane: int | None = None, recent_from: Column | None = None
-) -> DataFrame:
-    """Events reduced per business (and pane) before they meet the places.
-
-    After the reduction a business has one row, or one per pane, however many events it has, so a business holding a
-    third of all events cannot skew the join. Columns: those of the places, ``event_count``, ``stars_sum``,
-    ``max_event_time``; ``pane_start`` if ``pane`` (microseconds) is given; ``recent_count``, the events at or after
-    ``recent_from``, if that is given.
-    """
+def reduced_activity(cleaned: DataFrame, pane: int | None = None, recent_from: Column | None = None) -> DataFrame:
+    """Events reduced per business (and pane): ``event_count``, ``stars_sum``, ``max_event_time`` and, with ``recent_from``,
+    ``recent_count``."""
     # One projection for all inputs, so that a subquery behind recent_from is evaluated outside the aggregation.
     events = cleaned.select(
         "business_id",
@@ -38,10 +31,22 @@ def place_activity(
         *([(F.col("review_date") >= recent_from).alias("is_recent")] if recent_from is not None else []),
     )
     keys = ["business_id", *(["pane_start"] if pane else [])]
-    reduced = events.groupBy(*keys).agg(
+    return events.groupBy(*keys).agg(
         F.count("*").alias("event_count"),
         F.sum("review_stars").alias("stars_sum"),
         F.max("review_date").alias("max_event_time"),
         *([F.count_if("is_recent").alias("recent_count")] if recent_from is not None else []),
     )
-    return reduced.join(located, "business_id", "inner")
+
+
+def place_activity(
+    cleaned: DataFrame, located: DataFrame, pane: int | None = None, recent_from: Column | None = None
+) -> DataFrame:
+    """Events reduced per business (and pane) before they meet the places.
+
+    After the reduction a business has one row, or one per pane, however many events it has, so a business holding a
+    third of all events cannot skew the join. Columns: those of the places, ``event_count``, ``stars_sum``,
+    ``max_event_time``; ``pane_start`` if ``pane`` (microseconds) is given; ``recent_count``, the events at or after
+    ``recent_from``, if that is given.
+    """
+    return reduced_activity(cleaned, pane, recent_from).join(located, "business_id", "inner")

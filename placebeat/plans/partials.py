@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placebeat.operators import kpis
@@ -16,52 +16,82 @@ from placebeat.operators.areas import AREA_COLUMNS, GRID, NEIGHBORHOOD, area_pan
 from placebeat.operators.category_mix import (
     exploded,
     in_areas,
-    newest_time,
     recent_start,
     shares,
     with_categories,
 )
-from placebeat.operators.enrich import place_activity
+from placebeat.operators.enrich import enrich, reduced_activity
 from placebeat.operators.hotspots import city_activity_windows, emerging_areas, params_pane, scored_windows
 from placebeat.operators.measures import rated, total
 from placebeat.params import Params
+from placebeat.plans.stage import Stage
 from placebeat.schemas import PARTIAL_SCHEMAS
 
 _TAGGED_AREA = [*AREA_COLUMNS, "category"]
 
 
+def pane_activity(cleaned: DataFrame, params: Params) -> DataFrame:
+    """The one reduction over all events: a row per business and pane, from which everything but the newest events follows."""
+    return reduced_activity(cleaned, params_pane(params))
+
+
+def pane_newest(activity: DataFrame, located: DataFrame) -> DataFrame:
+    """Per pane: ``n``, the events that have a place, and ``latest``, the newest time of one with a category."""
+    placed = activity.join(located.select("business_id", F.size("categories").alias("tags")), "business_id")
+    return placed.groupBy("pane_start").agg(
+        F.sum("event_count").alias("n"), F.max(F.when(F.col("tags") > 0, F.col("max_event_time"))).alias("latest")
+    )
+
+
+def recent_bounds(panes: DataFrame, params: Params) -> tuple[Column, Column]:
+    """(since, feed_from) as scalar subqueries over :func:`pane_newest`.
+
+    The last window begins at ``since``; the newest events that fill the feed are in the panes from ``feed_from`` on, as each
+    of the newest panes has one event at least, so that no more panes than the feed has rows are looked at.
+    """
+    newest = panes.orderBy(F.desc("pane_start")).limit(params.latest_limit)
+    running = newest.withColumn("running", F.sum("n").over(Window.orderBy(F.desc("pane_start"))))
+    enough = F.max(F.when(F.col("running") >= params.latest_limit, F.col("pane_start")))
+    since = panes.agg(F.max("latest").alias("latest")).select(recent_start(F.col("latest"), params)).scalar()
+    return since, running.agg(F.coalesce(enough, F.min("pane_start"))).scalar()
+
+
+def recent_events(cleaned: DataFrame, panes: DataFrame, params: Params) -> DataFrame:
+    """The events of the last window and of the feed; only those that the feed may show keep their text."""
+    since, feed_from = recent_bounds(panes, params)
+    text = F.when(F.col("review_date") >= feed_from, F.col("review_text"))
+    return cleaned.filter(F.col("review_date") >= F.least(since, feed_from)).withColumn("review_text", text)
+
+
 def batch_partials(
     cleaned: DataFrame,
     located: DataFrame,
     params: Params,
     neighborhoods: DataFrame | None = None,
-    texts: DataFrame | None = None,
+    stage: Stage | None = None,
+    activity: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The partials of one batch of cleaned reviews.
 
-    ``texts`` are the same reviews with all columns, when ``cleaned`` is a copy holding only those the counts need.
+    The events are read twice: once to be reduced to panes of businesses, once for the few newest ones. With a ``stage`` both
+    results, and the counts per pane between them, are written and read back; ``activity`` is the first if it is there already.
 
     ``recent_categories`` keeps exact times of the events in the last window of the batch. The window ending at the
     newest event of all batches starts no earlier than that of any batch, so nothing it needs is lost.
     """
-    panes = area_panes(
-        place_activity(cleaned, located, params_pane(params)), params_pane(params), params.cell_size_km, neighborhoods
-    )
+    kept = (lambda name, frame: frame) if stage is None else stage.write
+    if activity is None:
+        activity = kept("activity", pane_activity(cleaned, params))
+    panes = kept("pane_newest", pane_newest(activity, located))
+    newest = kept("recent_events", recent_events(cleaned, panes, params))
     tagged = with_categories(located)
-    per_business = place_activity(cleaned, tagged)
     measures = ["event_count", "stars_sum", "max_event_time"]
-    categories = (
-        exploded(in_areas(per_business, params.cell_size_km, neighborhoods, measures), measures)
-        .groupBy(*_TAGGED_AREA)
-        .agg(
-            F.sum("event_count").alias("event_count"),
-            F.sum("stars_sum").alias("stars_sum"),
-            F.max("max_event_time").alias("max_event_time"),
-        )
-    )
-    since = newest_time(per_business).select(recent_start(F.col("latest"), params)).scalar()
+    sums = (F.sum("event_count").alias("event_count"), F.sum("stars_sum").alias("stars_sum"), F.max("max_event_time").alias("max_event_time"))
+    per_business = activity.groupBy("business_id").agg(*sums).join(tagged, "business_id")
+    categories = exploded(in_areas(per_business, params.cell_size_km, neighborhoods, measures), measures).groupBy(*_TAGGED_AREA).agg(*sums)
+    since, _ = recent_bounds(panes, params)
     recent = (
-        cleaned.select("business_id", F.col("review_date").alias("event_time"))
+        newest.select("business_id", F.col("review_date").alias("event_time"))
         .filter(F.col("event_time") >= since)
         .groupBy("business_id", "event_time")
         .agg(F.count("*").alias("event_count"))
@@ -74,10 +104,10 @@ def batch_partials(
         .agg(F.sum("event_count").alias("event_count"))
     )
     partials = {
-        "area_panes": panes,
+        "area_panes": area_panes(activity.join(located, "business_id"), params_pane(params), params.cell_size_km, neighborhoods),
         "area_categories": categories,
         "recent_categories": recent_categories,
-        "newest_events": kpis.newest_of(cleaned if texts is None else texts, located, params.latest_limit, narrow=cleaned),
+        "newest_events": kpis.newest(enrich(newest, located), params.latest_limit),
     }
     return {name: frame.select(*PARTIAL_SCHEMAS[name].fieldNames()) for name, frame in partials.items()}
 

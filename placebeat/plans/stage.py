@@ -40,10 +40,11 @@ class Stage:
         self.spark = spark
         self.path = f"{(folder or shared_folder(spark)).rstrip('/')}/stage-{uuid.uuid4().hex}"
 
-    def write(self, name: str, frame: DataFrame) -> DataFrame:
-        """Write the frame and return a frame that reads it."""
+    def write(self, name: str, frame: DataFrame, partition_by: str | None = None) -> DataFrame:
+        """Write the frame, in a folder for each value of ``partition_by`` if that is given, and return a frame that reads it."""
         target = f"{self.path}/{name}"
-        frame.write.mode("errorifexists").parquet(target)
+        writer = frame.write.mode("errorifexists")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(target)
         return self.spark.read.schema(frame.schema).parquet(target)
 
     def close(self) -> None:

@@ -3,47 +3,70 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from placebeat.operators.cleaning import rejected_reviews
-from placebeat.operators.enrich import place_activity
+from placebeat.operators.cleaning import KEPT, REVIEW_KEYS, UNDATED, clean_reviews, counted_by_outcome, oldest_reviews, outcome_counts, with_outcome
 from placebeat.operators.neighborhoods import distinct_businesses, fit_neighborhoods
 from placebeat.params import Params
-from placebeat.plans.partials import batch_partials, finish
+from placebeat.plans.partials import batch_partials, finish, pane_activity
 from placebeat.plans.stage import Stage
-from placebeat.schemas import TABLE_SCHEMAS
-from placebeat.sources.files import load_places, load_reviews, read_reviews, read_table, write_rejects, write_tables
+from placebeat.schemas import REVIEW_SCHEMA, TABLE_SCHEMAS
+from placebeat.sources.files import load_places, read_reviews, read_table, write_counts, write_rejects, write_tables
 
 
-def static_tables(cleaned: DataFrame, located: DataFrame, params: Params, stage: Stage) -> dict[str, DataFrame]:
+def static_tables(
+    cleaned: DataFrame, located: DataFrame, params: Params, stage: Stage, narrow: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """The nine tables of all events, finished from staged partials.
 
-    Reviews are staged once without their text, as narrow columns; every later pass reads those. Text is read only
-    for the rows of the feed. Raises when no event has a place.
+    One pass over the events reduces them to panes of businesses, a second reads the newest ones; the rest works on what those two
+    have left. ``narrow`` is a copy of the events without text to make the first pass over. Raises when no event has a place.
     """
     places = stage.write("places", located)
-    events = stage.write("events", cleaned.select("business_id", "review_stars", "review_date"))
+    activity = stage.write("activity", pane_activity(cleaned if narrow is None else narrow, params))
     neighborhoods = None
     if params.dense_city_threshold > 0:
-        active = distinct_businesses(place_activity(events, places))
+        active = distinct_businesses(activity.select("business_id").distinct().join(places, "business_id"))
         neighborhoods = stage.write("neighborhoods", fit_neighborhoods(active, params, stage))
-    partials = batch_partials(events, places, params, neighborhoods, texts=cleaned)
+    partials = batch_partials(cleaned, places, params, neighborhoods, stage, activity)
     staged = {name: stage.write(name, frame) for name, frame in partials.items()}
     if staged["area_panes"].isEmpty():
         raise RuntimeError("no event has a place: check the input paths")
     return finish(staged, params)
 
 
+def sorted_reviews(raw: DataFrame, stage: Stage, with_text: bool) -> tuple[DataFrame, dict[str, int]]:
+    """The raw rows parsed once and written by outcome, and how many there are of each.
+
+    Kept rows are written with the columns that the counts need, the others as they were read; ``with_text`` keeps all of them
+    whole. The numbers are counted while the rows are written.
+    """
+    sorted_rows, seen = counted_by_outcome(with_outcome(raw), "reviews")
+    whole = F.lit(True) if with_text else F.col("outcome") != KEPT
+    columns = [F.when(whole, F.col(c)).alias(c) if c not in ("business_id", "stars", *REVIEW_KEYS) else F.col(c) for c in REVIEW_SCHEMA.fieldNames()]
+    written = stage.write("sorted", sorted_rows.select(*columns, "outcome"), partition_by="outcome")
+    return written, seen.get
+
+
 def run_static(spark: SparkSession, params: Params) -> dict[str, DataFrame]:
     """Read, compute and replace all tables under ``params.output_path``; returns frames reading them.
 
-    Reviews whose date can't be read are written to ``rejected_reviews`` beside the tables.
+    Reviews whose date can't be read are written to ``rejected_reviews`` beside the tables, and to ``review_counts`` how many
+    rows were kept, malformed, without a key or without a readable date. The raw reviews are parsed twice, once with a limit: to
+    be sorted by outcome, and for the newest events with their text.
     """
     params.check_source()
-    cleaned = load_reviews(spark, params.review_path, params.limit)
     located = load_places(spark, params.business_path)
     with Stage(spark) as stage:
-        write_rejects(rejected_reviews(read_reviews(spark, params.review_path)), params.output_path)
+        raw = read_reviews(spark, params.review_path)
+        rows, counts = sorted_reviews(raw, stage, with_text=bool(params.limit))
+        write_counts(outcome_counts(counts, spark), params.output_path)
+        write_rejects(rows.filter(F.col("outcome") == UNDATED).select(*REVIEW_SCHEMA.fieldNames()), params.output_path)
+        kept = rows.filter(F.col("outcome") == KEPT)
         if params.limit:
-            cleaned = stage.write("oldest", cleaned)
-        write_tables(static_tables(cleaned, located, params, stage), params.output_path)
+            cleaned = stage.write("oldest", oldest_reviews(kept, params.limit, stage))
+            tables = static_tables(cleaned, located, params, stage)
+        else:
+            tables = static_tables(clean_reviews(raw), located, params, stage, narrow=clean_reviews(kept))
+        write_tables(tables, params.output_path)
     return {name: read_table(spark, params.output_path, name) for name in TABLE_SCHEMAS}

@@ -24,6 +24,10 @@ def _schema(columns: str) -> T.StructType:
 # Streams and batch share this schema, so malformed JSON becomes nulls instead of a failed job.
 REVIEW_SCHEMA = _schema("review_id string, business_id string, user_id string, stars double, date string, text string")
 
+# The line itself where it isn't a whole JSON object of that schema.
+RAW_REVIEW_SCHEMA = T.StructType([*REVIEW_SCHEMA.fields, T.StructField("malformed", T.StringType())])
+REVIEW_COUNT_SCHEMA = _schema("outcome string, rows bigint")
+
 # Numbers are read as text and converted with try_cast: quoted numbers survive, broken ones become null.
 BUSINESS_SCHEMA = _schema(
     "business_id string, name string, city string, state string, "

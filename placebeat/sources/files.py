@@ -6,11 +6,12 @@ from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from placebeat.operators.cleaning import clean_businesses, oldest_reviews, places
 from placebeat.operators.enrich import enrich
 from placebeat.plans.stage import Stage
-from placebeat.schemas import BUSINESS_SCHEMA, REVIEW_SCHEMA, TABLE_SCHEMAS
+from placebeat.schemas import BUSINESS_SCHEMA, RAW_REVIEW_SCHEMA, REVIEW_COUNT_SCHEMA, REVIEW_SCHEMA, TABLE_SCHEMAS
 
 
 def read_businesses(spark: SparkSession, path: str) -> DataFrame:
@@ -19,8 +20,8 @@ def read_businesses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Raw review objects, one JSON object per line."""
-    return spark.read.schema(REVIEW_SCHEMA).json(path)
+    """Raw review objects, one JSON object per line; ``malformed`` holds lines that aren't."""
+    return spark.read.schema(RAW_REVIEW_SCHEMA).option("columnNameOfCorruptRecord", "malformed").json(path)
 
 
 def load_businesses(spark: SparkSession, path: str) -> DataFrame:
@@ -52,6 +53,23 @@ def read_rejects(spark: SparkSession, base_path: str) -> DataFrame:
         return spark.createDataFrame([], REVIEW_SCHEMA)
 
 
+def write_counts(counts: DataFrame, base_path: str, batch_id: int | None = None) -> None:
+    """What became of the rows read, as table ``review_counts`` or as a batch of it."""
+    part = "" if batch_id is None else f"/batch_id={batch_id}"
+    counts.coalesce(1).write.mode("overwrite").parquet(f"{base_path.rstrip('/')}/review_counts{part}")
+
+
+def read_counts(spark: SparkSession, base_path: str) -> DataFrame:
+    """Rows read so far by outcome; empty when no job has written any."""
+    try:
+        found = spark.read.schema(REVIEW_COUNT_SCHEMA).parquet(f"{base_path.rstrip('/')}/review_counts")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], REVIEW_COUNT_SCHEMA)
+    return found.groupBy("outcome").agg(F.sum("rows").alias("rows"))
+
+
 def load_enriched(spark: SparkSession, review_path: str, business_path: str, limit: int | None = None) -> DataFrame:
     """The static source: joined events from two JSON files."""
     return enrich(load_reviews(spark, review_path, limit), load_places(spark, business_path))

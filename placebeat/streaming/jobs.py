@@ -7,9 +7,10 @@ from typing import Literal
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from placebeat.operators.cleaning import clean_reviews, rejected_reviews
+from placebeat.operators.cleaning import KEPT, UNDATED, clean_reviews, outcome_counts, with_outcome
 from placebeat.operators.enrich import enrich
 from placebeat.operators.neighborhoods import distinct_businesses, fit_neighborhoods, with_new_places
 from placebeat.params import Params
@@ -17,8 +18,8 @@ from placebeat.plans.partials import batch_partials
 from placebeat.plans.stage import Stage
 from placebeat.plans.static_job import run_static
 from placebeat.plans.tables import build_tables
-from placebeat.schemas import NEIGHBORHOOD_SCHEMA
-from placebeat.sources.files import load_places, write_batch, write_rejects
+from placebeat.schemas import NEIGHBORHOOD_SCHEMA, REVIEW_SCHEMA
+from placebeat.sources.files import load_places, write_batch, write_counts, write_rejects
 from placebeat.sources.streams import review_file_stream, review_kafka_stream
 from placebeat.streaming.store import PartialStore
 
@@ -57,26 +58,35 @@ def batch_processor(
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        write_rejects(rejected_reviews(batch), params.output_path, batch_id)
-        cleaned = clean_reviews(batch)
-        assigned = neighborhoods() if callable(neighborhoods) else neighborhoods
-        # The rows every table or partial of the batch starts from: joined in one mode, reduced first in the other.
-        kept = enrich(cleaned, places_of()) if mode == "append" else cleaned
-        kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+        # Parsed once: counted by outcome, rejected and used from the same kept rows.
+        found = with_outcome(batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            counts = {r["outcome"]: r["n"] for r in found.groupBy("outcome").agg(F.count("*").alias("n")).collect()}  # four at most
+            if not counts:
+                return
+            spark = batch.sparkSession
+            write_counts(outcome_counts(counts, spark), params.output_path, batch_id)
+            write_rejects(found.filter(F.col("outcome") == UNDATED).select(*REVIEW_SCHEMA.fieldNames()), params.output_path, batch_id)
+            if not counts.get(KEPT):
+                return
+            cleaned = clean_reviews(found.filter(F.col("outcome") == KEPT).select(*batch.columns))
+            assigned = neighborhoods() if callable(neighborhoods) else neighborhoods
             if mode == "append":
-                write_batch(build_tables(kept, params, assigned), params.output_path, batch_id)
+                joined = enrich(cleaned, places_of()).persist(StorageLevel.MEMORY_AND_DISK)
+                try:
+                    write_batch(build_tables(joined, params, assigned), params.output_path, batch_id)
+                finally:
+                    joined.unpersist()
             else:
-                partials = batch_partials(kept, places_of(), params, assigned)
-                store = PartialStore(batch.sparkSession, params.output_path)
-                store.write(partials, batch_id, params)
+                with Stage(spark) as stage:
+                    partials = batch_partials(cleaned, places_of(), params, assigned, stage)
+                    store = PartialStore(spark, params.output_path)
+                    store.write(partials, batch_id, params)
                 if compact_every and (batch_id + 1) % compact_every == 0:
                     store.compact(params)
                     store.drop_compacted()
         finally:
-            kept.unpersist()
+            found.unpersist()
 
     return process
 

@@ -2,14 +2,17 @@
 
 import json
 import random
+import re
 import time
 from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from placebeat.operators.category_mix import with_categories
+from placebeat.operators.cleaning import clean_reviews, with_outcome
 from placebeat.params import Params
 from placebeat.plans.partials import batch_partials
 from placebeat.plans.static_job import run_static
@@ -17,7 +20,7 @@ from placebeat.plans.stage import Stage, shared_folder
 from placebeat.plans.tables import build_tables
 from placebeat.schemas import PARTIAL_SCHEMAS, REVIEW_SCHEMA, TABLE_SCHEMAS
 from placebeat.sources.files import (
-    load_businesses, load_enriched, load_places, load_reviews, read_rejects, read_reviews, read_table, write_batch,
+    load_businesses, load_enriched, load_places, load_reviews, read_counts, read_rejects, read_reviews, read_table, write_batch,
 )
 from placebeat.sources.streams import parse_review_messages, review_file_stream
 from placebeat.operators.neighborhoods import distinct_businesses, with_new_places
@@ -247,7 +250,10 @@ def test_messages(spark):
     good = {"review_id": "1", "business_id": "b", "user_id": "u", "stars": 4.0, "date": "2020-01-01", "text": "hi"}
     bodies = [json.dumps(good), "{broken", json.dumps({**good, "date": None}), json.dumps({**good, "stars": "many"}), None]
     frame = spark.createDataFrame([(b and bytearray(b.encode()),) for b in bodies], "value binary")
-    assert rows(parse_review_messages(frame), "review_id", "stars", "text") == [("1", 4.0, "hi"), ("1", None, "hi")]
+    parsed = parse_review_messages(frame)
+    assert rows(clean_reviews(parsed), "review_id", "review_stars", "review_text") == [("1", 0.0, "hi"), ("1", 4.0, "hi")]
+    assert rows(with_outcome(parsed).groupBy("outcome").count()) == [("kept", 2), ("malformed", 2), ("without_key", 1)]
+    assert rows(parsed.filter("review_id is null"), "malformed") == [("",), ("{broken",)]
 
 
 def test_settings_are_checked_first(spark, base, tmp_path):
@@ -313,3 +319,56 @@ def test_partial_columns(spark, base):
     assert with_categories(located).count() < located.count()
     for name, frame in batch_partials(cleaned, located, params).items():
         assert [(f.name, f.dataType) for f in frame.schema] == [(f.name, f.dataType) for f in PARTIAL_SCHEMAS[name]]
+
+
+def lines_of(path):
+    return sum(1 for x in path.read_text().splitlines() if x.strip())
+
+
+@pytest.mark.parametrize("limit", [None, 100])
+def test_counts_add_up_to_the_lines_read(spark, base, reviews, tmp_path, limit):
+    run_static(spark, settings(base, tmp_path, dense_city_threshold=0, limit=limit))
+    counts = dict(rows(read_counts(spark, str(tmp_path)), "outcome", "rows"))
+    assert counts == {"kept": len(reviews), "malformed": 1, "without_key": 1, "undated": 1}
+    assert sum(counts.values()) == lines_of(base / "review.json")
+
+
+def test_stream_counts_add_up_too(spark, base, reviews, tmp_path):
+    incoming = tmp_path / "in"
+    incoming.mkdir()
+    lines = (base / "review.json").read_text().splitlines()
+    for k in range(3):
+        write_lines(incoming / f"{k}.json", lines[k::3])
+    write_lines(incoming / "3.json", ["{only", "[broken"])  # a batch without a kept row
+    params = settings(base, tmp_path / "out", dense_city_threshold=0, stream_path=str(incoming), checkpoint_path=str(tmp_path / "c"))
+    query = start_file_stream(spark, params, available_now=True, max_files_per_trigger=1)
+    query.awaitTermination()
+    assert query.exception() is None
+    counts = dict(rows(read_counts(spark, params.output_path), "outcome", "rows"))
+    assert counts == {"kept": len(reviews), "malformed": 3, "without_key": 1, "undated": 1}
+
+
+def test_counts_of_a_retried_batch_count_once(spark, base, tmp_path):
+    params = settings(base, tmp_path, dense_city_threshold=0)
+    process = batch_processor(lambda: load_places(spark, params.business_path), params)
+    for _ in range(2):
+        process(read_reviews(spark, params.review_path), 0)
+    assert sum(n for _, n in rows(read_counts(spark, str(tmp_path)), "outcome", "rows")) == lines_of(base / "review.json")
+    assert read_counts(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+@pytest.mark.parametrize("limit, parses", [(None, 2), (100, 1)])
+def test_the_static_job_parses_the_reviews_twice_at_most(spark, base, tmp_path, monkeypatch, limit, parses):
+    """Plans of all that is written: scans of the raw reviews, and of the copy without text."""
+    plans, real = [], DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **options):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return real(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    run_static(spark, settings(base, tmp_path, limit=limit))
+    raw = [len(re.findall(r"FileScan json [^\n]*stars:double", text)) for text in plans]
+    assert sum(raw) == parses
+    sorted_scans = [text for text in plans if re.search(r"FileScan parquet [^\n]*/sorted[,\]]", text) and "partial_count" in text and "pane" in text.lower()]
+    assert len(sorted_scans) <= 1 + (2 if limit else 0)  # the reduction to panes; with a limit, the counts per day and second too

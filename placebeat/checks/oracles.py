@@ -290,6 +290,10 @@ ORACLES["neighborhood_fit_checks"] = _BASE + f"""
 SELECT city, count(*) AS business_count, count(*) AS assigned, CAST(0 AS BIGINT) AS with_a_nearer_center,
        CAST(0 AS BIGINT) AS centers_off_their_mean, CAST(0 AS BIGINT) AS clusters_beyond_the_bound
 FROM ({_BUSINESSES}) GROUP BY city HAVING count(*) >= 6"""
+ORACLES["neighborhood_fit_quality"] = _BASE + f"""
+SELECT city, count(*) AS business_count, CAST(greatest(2, least(12, floor(sqrt(count(*))))) AS INTEGER) AS cluster_count,
+       round((var_pop(latitude) + var_pop(longitude)) * count(*), 9) AS total_squares, TRUE AS near_even_parts
+FROM ({_BUSINESSES}) GROUP BY city HAVING count(*) >= 6"""
 ORACLES["neighborhood_city_totals"] = _BASE + f"SELECT * FROM ({_CITY_TOTALS}) WHERE {_IN_DENSE_CITY}"
 ORACLES["neighborhood_cities"] = _BASE + f"SELECT DISTINCT city FROM e WHERE {_IN_DENSE_CITY}"
 ORACLES["neighborhood_window_totals"] = _BASE + _windows(_DAY, _DAY // 2) + f"""

@@ -17,7 +17,7 @@ from placebeat.operators import category_mix as mix
 from placebeat.operators import cleaning, hotspots, kpis, serving
 from placebeat.operators.areas import area_panes, grid_event_frame
 from placebeat.operators.enrich import enrich, place_activity
-from placebeat.operators.neighborhoods import dense_cities, distinct_businesses, fit_checks, fit_neighborhoods
+from placebeat.operators.neighborhoods import dense_cities, distinct_businesses, fit_checks, fit_neighborhoods, fit_quality
 from placebeat.params import Params
 from placebeat.plans.stage import Stage
 from placebeat.plans.static_job import run_static
@@ -199,6 +199,13 @@ def neighborhood_fit_checks(spark, folder):
     return fit_checks(distinct_businesses(_activity(spark, folder)), _neighborhoods(spark, folder), DAILY)
 
 
+def neighborhood_fit_quality(spark, folder):
+    """Each city's squares, and whether its neighborhoods leave at most 1.5 times the k-th part of them, as k even parts would."""
+    found = fit_quality(distinct_businesses(_activity(spark, folder)), _neighborhoods(spark, folder), DAILY)
+    near = F.col("left_squares") * F.col("cluster_count") <= 1.5 * F.col("total_squares")
+    return found.select("city", "business_count", "cluster_count", F.round("total_squares", 9).alias("total_squares"), near.alias("near_even_parts"))
+
+
 def neighborhood_hotspots(spark, folder):
     found = kpis.neighborhood_hotspots(_activity(spark, folder), _neighborhoods(spark, folder))
     return _rounded(found, "latitude", "longitude", "avg_stars")
@@ -587,7 +594,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         enriched_events, cleaned_reviews, parsed_dates, order_dates_kept, order_dates_rejected, oldest_reviews, oldest_reviews_by_day, event_categories, event_grid_cells,
         category_events, city_metrics, city_metrics_volume, grid_hotspots, grid_hotspots_volume, category_leaders,
-        latest_reviews, business_projection, dense_city_counts, cluster_counts, neighborhood_assignments, neighborhood_fit_checks,
+        latest_reviews, business_projection, dense_city_counts, cluster_counts, neighborhood_assignments, neighborhood_fit_checks, neighborhood_fit_quality,
         neighborhood_hotspots, neighborhood_windows, neighborhood_category_mix, neighborhood_cities, neighborhood_city_totals,
         neighborhood_window_totals, neighborhood_category_totals, window_hotspots,
         window_hotspots_tumbling, window_hotspots_volume, emerging_areas, city_activity_windows, city_activity_minutely, area_pane_totals,

@@ -26,7 +26,7 @@ UNITS_PER_DEGREE = 10_000_000  # about one centimetre
 SALTS = 16  # tasks that a city's points are spread over where the centers are too many to broadcast
 # The default stopping rule (degrees, rounds).
 TOLERANCE, MAX_ROUNDS = 1e-4, 20
-DRAWS, DRAW_ROUNDS = 2 * MAX_CLUSTERS, 5  # candidates for starting centers per round, and rounds
+DRAWS, DRAW_ROUNDS = 2 * MAX_CLUSTERS, 3  # candidates for starting centers per round, and rounds
 
 _CENTERS = "array<struct<cluster_id:int,lat:double,lon:double>>"
 
@@ -288,3 +288,15 @@ def fit_checks(businesses: DataFrame, assigned: DataFrame, params: Params) -> Da
     beyond = F.greatest(F.lit(0), F.coalesce("clusters", F.lit(0)) - F.col("cluster_count")).cast("bigint")
     counts = [F.coalesce(x, F.lit(0)).alias(x) for x in ("assigned", "with_a_nearer_center", "centers_off_their_mean")]
     return joined.select(*city, "business_count", *counts, beyond.alias("clusters_beyond_the_bound"))
+
+
+def fit_quality(businesses: DataFrame, assigned: DataFrame, params: Params) -> DataFrame:
+    """Per dense city: businesses, clusters allowed, ``total_squares`` (squared distances of the businesses to the city's mean) and
+    ``left_squares`` (to their neighborhoods' centers)."""
+    city = list(params.cluster_by)
+    dense = dense_cities(businesses, params.dense_city_threshold, city)
+    at = businesses.select("business_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    gap = F.expr(_squared("struct(lat AS lat, lon AS lon)", "struct(center_lat AS lat, center_lon AS lon)"))
+    squares = (F.var_pop("lat") + F.var_pop("lon")) * F.count("*")
+    found = assigned.join(at, "business_id").groupBy(*city).agg(squares.alias("total_squares"), F.sum(gap).alias("left_squares"))
+    return dense.join(found, city)

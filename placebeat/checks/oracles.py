@@ -285,6 +285,13 @@ for _name in ("city_metrics", "window_hotspots", "category_mix"):
     ORACLES[f"streamed_{_name}"] = ORACLES[_name]
 ORACLES["watermarked_window_hotspots"] = ORACLES["window_hotspots"]
 
+# Without the events that came too late, and only windows that had closed a day before the newest event.
+ORACLES["watermarked_closed_windows"] = (
+    _BASE.replace("FROM events", "FROM events WHERE NOT (event_id % 10 = 0 AND ts < '2024-01-11')")
+    + _scored(_DAY, _DAY // 2).replace("FROM w GROUP BY ALL", "FROM w WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL", 1)
+    + f" SELECT {_WINDOW_COLUMNS} FROM h"
+)
+
 _IN_DENSE_CITY = f"city IN (SELECT city FROM ({_BUSINESSES}) GROUP BY city HAVING count(*) >= 6)"
 ORACLES["neighborhood_fit_checks"] = _BASE + f"""
 SELECT city, count(*) AS business_count, count(*) AS assigned, CAST(0 AS BIGINT) AS with_a_nearer_center,
@@ -308,3 +315,8 @@ ORACLES["static_job_review_counts"] = ORACLES["file_stream_review_counts"] = """
 SELECT 'kept' AS outcome, count(*) AS rows FROM events UNION ALL SELECT 'malformed', 1
 UNION ALL SELECT 'without_key', count(*) FROM events WHERE event_id % 97 = 0
 UNION ALL SELECT 'undated', count(*) FROM events WHERE event_id % 89 = 0"""
+ORACLES["located_places"] = _BASE + """
+SELECT business_id, city, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM biz
+WHERE NOT (business_id::BIGINT % 7 = 0 OR business_id::BIGINT % 11 = 0 OR business_id::BIGINT % 13 = 0 OR business_id::BIGINT % 17 = 0)"""
+ORACLES["appended_city_metrics"] = _BASE + """
+SELECT city, state, count(*) AS review_count, round(avg(review_stars), 6) AS avg_stars FROM e GROUP BY city, state, review_id::BIGINT % 3"""

@@ -25,7 +25,9 @@ from placebeat.sources import testtables as tables
 from placebeat.sources.files import read_counts, read_table
 from placebeat.streaming.jobs import batch_processor, start_batches, start_file_stream
 from placebeat.streaming.store import PartialStore
-from placebeat.streaming.watermark import watermarked_panes, watermarked_windows, write_panes
+from placebeat.streaming.watermark import (
+    closed_window_totals, closed_windows, start_closed_windows, watermarked_panes, watermarked_windows, write_panes,
+)
 
 DECIMALS = 6
 CITY, CATEGORY = "NATION_7", "ECONOMY"
@@ -136,6 +138,15 @@ def oldest_reviews_by_day(spark, folder):
     return oldest.select("review_id", "business_id", "review_stars", "review_date")
 
 
+def located_places(spark, folder):
+    """Places whose coordinates are all there: some customers are given a null, some a NaN, some a broken number."""
+    raw, key = tables.raw_customer_businesses(spark, folder), F.col("business_id").cast("bigint")
+    latitude = F.when(key % 7 == 0, None).when(key % 11 == 0, "NaN").when(key % 13 == 0, "north").otherwise(F.col("latitude").cast("string"))
+    longitude = F.when(key % 17 == 0, "nan").otherwise(F.col("longitude").cast("string"))
+    found = cleaning.places(raw.withColumns({"latitude": latitude, "longitude": longitude}))
+    return _rounded(found.select("business_id", "city", "latitude", "longitude"), "latitude", "longitude")
+
+
 def event_categories(spark, folder):
     return kpis.event_categories(tables.enriched_events(spark, folder))
 
@@ -479,6 +490,18 @@ def streamed_category_mix(spark, folder):
     return _zoneless(_rounded(_streamed(spark, folder, RECENT)["category_mix"], *_SHARES), "window_end")
 
 
+def appended_city_metrics(spark, folder):
+    """A stream of three batches in append mode: every batch adds its own rows to the tables."""
+    params, stage = _stream_settings(spark, DAILY), Stage(spark)
+    events, located = tables.table(spark, folder, "events"), _places(spark, folder)
+    for k in range(3):
+        events.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{stage.path}/arriving")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{stage.path}/arriving")
+    reviews = tables.as_reviews(stream).withColumn("date", F.expr(_TO_INSTANT))
+    _run_to_end(start_batches(reviews, batch_processor(lambda: located, params, mode="append"), params, available_now=True))
+    return _rounded(read_table(spark, params.output_path, "city_metrics"), "avg_stars")
+
+
 def watermarked_window_hotspots(spark, folder):
     params = _stream_settings(spark, DAILY)
     joined = enrich(cleaning.clean_reviews(_event_stream(spark, folder)), _places(spark, folder))
@@ -486,6 +509,25 @@ def watermarked_window_hotspots(spark, folder):
     return _zoneless(_rounded(watermarked_windows(spark, params), *_SCORES), "window_start", "window_end")
 
 
+def watermarked_closed_windows(spark, folder):
+    """A stream of three batches, the last with events far behind the watermark: windows come out once they have closed.
+
+    Every tenth event before the 11th arrives when the watermark has passed the 18th, and is dropped; some of the last day come as
+    late but are in time.
+    """
+    params, stage = _stream_settings(spark, DAILY), Stage(spark)
+    events = tables.table(spark, folder, "events")
+    late, last = F.expr("event_id % 10 = 0 AND ts < '2024-01-11'"), F.expr("event_id % 10 = 1 AND ts >= '2024-01-29'")
+    first = F.expr("ts < '2024-01-20'")
+    for batch in (first & ~late, ~first & ~last, late | last):  # in this order: a file stream goes by time of writing
+        events.filter(batch).coalesce(1).write.mode("append").parquet(f"{stage.path}/arriving")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{stage.path}/arriving")
+    reviews = tables.as_reviews(stream).withColumn("date", F.expr(_TO_INSTANT))
+    joined = enrich(cleaning.clean_reviews(reviews), _places(spark, folder))
+    _run_to_end(start_closed_windows(closed_window_totals(joined, params, "1 day"), params, available_now=True))
+    return _zoneless(_rounded(closed_windows(spark, params), *_SCORES), "window_start", "window_end")
+
+
 # -- jobs over JSON files -------------------------------------------------------------------------------------------
 
 
@@ -592,7 +634,7 @@ def file_stream_review_counts(spark, folder):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
-        enriched_events, cleaned_reviews, parsed_dates, order_dates_kept, order_dates_rejected, oldest_reviews, oldest_reviews_by_day, event_categories, event_grid_cells,
+        enriched_events, cleaned_reviews, parsed_dates, order_dates_kept, order_dates_rejected, oldest_reviews, oldest_reviews_by_day, located_places, event_categories, event_grid_cells,
         category_events, city_metrics, city_metrics_volume, grid_hotspots, grid_hotspots_volume, category_leaders,
         latest_reviews, business_projection, dense_city_counts, cluster_counts, neighborhood_assignments, neighborhood_fit_checks, neighborhood_fit_quality,
         neighborhood_hotspots, neighborhood_windows, neighborhood_category_mix, neighborhood_cities, neighborhood_city_totals,
@@ -602,7 +644,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         map_midpoint, city_emerging, city_window_hotspots, window_date_bounds, area_series, areas_with_category,
         area_choice, area_top_categories, area_chosen_category, top_categories_by_area, activity_series_thinned, city_activity_series,
         city_leaderboard, top_city_categories, recent_feed, streamed_city_metrics, streamed_window_hotspots,
-        streamed_category_mix, watermarked_window_hotspots, static_job_city_metrics, static_job_grid_hotspots,
+        streamed_category_mix, appended_city_metrics, watermarked_window_hotspots, watermarked_closed_windows, static_job_city_metrics, static_job_grid_hotspots,
         static_job_category_leaders, static_job_latest_reviews, static_job_window_hotspots, static_job_review_counts,
         file_stream_window_hotspots, file_stream_review_counts,
     )

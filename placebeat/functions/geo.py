@@ -58,3 +58,18 @@ def cluster_count(points: Column) -> Column:
     return F.when(points <= 1, F.lit(1)).otherwise(
         F.greatest(F.lit(MIN_CLUSTERS), F.least(F.lit(MAX_CLUSTERS), root))
     )
+
+
+def cell_order(latitude: Column, longitude: Column) -> Column:
+    """A number that is near for near points: both coordinates as 16-bit numbers, their bits taken in turn (Morton order).
+
+    A missing coordinate counts as the lowest one.
+    """
+
+    def spread(value: Column, low: float, span: float) -> Column:
+        bits = F.floor((F.least(F.greatest(value, F.lit(low)), F.lit(low + span)) - low) / span * 65535).cast("bigint")
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            bits = (bits.bitwiseOR(F.shiftleft(bits, shift))).bitwiseAND(mask)
+        return bits
+
+    return spread(latitude, -90.0, 180.0).bitwiseOR(F.shiftleft(spread(longitude, -180.0, 360.0), 1))

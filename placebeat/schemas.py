@@ -96,6 +96,9 @@ PARTIAL_SCHEMAS: dict[str, T.StructType] = {
     ),
 }
 
+# Totals of closed windows, one row per area and window, as a watermarked stream appends them.
+CLOSED_SCHEMA = _schema(f"{_AREA}, window_start timestamp, window_end timestamp, event_count bigint, stars_sum double")
+
 
 def table_columns(name: str) -> list[str]:
     return TABLE_SCHEMAS[name].fieldNames()

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placebeat.llm import kernel
+from placebeat.plans.stage import Stage
 from placebeat.llm.support import narrow, ship, stage, table
 
 PIECE = 64
@@ -387,10 +388,14 @@ def decontamination(
     verbatim: float = 0.8,
     paraphrase: float = 0.6,
     seed: int = 11,
+    store: Stage | None = None,
 ) -> DataFrame:
-    """One row for each document and benchmark item it leaks: ids, best cosine, LCS share and answer share."""
+    """One row for each document and benchmark item it leaks: ids, best cosine, LCS share and answer share.
+
+    The result reads tables of the store; a caller that gives one may close it once the result is written.
+    """
     ship(frame.sparkSession)
-    store = stage(frame.sparkSession)
+    store = store or stage(frame.sparkSession)
     texts = narrow(frame, id=id_column, text=text_column).filter("id is not null").select(F.col("id").cast("long").alias("id"), "text")
     items = narrow(benchmark, id=item_column, text=item_text_column).filter("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]

@@ -13,7 +13,7 @@ Texts with equal sets are one class from here on. Classes that share a band of r
    component aren't needed: they can't change it. So no pair of different components that shares a band is left out.
 
 The joins that make pairs drop those whose set sizes rule the similarity out, and those whose sketches differ in more
-coordinates (four bits of each) than a pair at the threshold does within four standard deviations; a pair comes from the
+coordinates (two bits of each) than a pair at the threshold does within four standard deviations; a pair comes from the
 first bucket it shares. A bucket's first class is the one that meets most others in its buckets, which of a text and its
 copies is the text. With 72
 bands of 7, a pair at similarity 0.75 shares no band with probability 3e-5, at 0.8 with 3e-8; texts that share a passage
@@ -43,7 +43,7 @@ from placebeat.plans.stage import Stage
 U = np.uint64
 SHINGLE_WORDS = 5
 BANDS, ROWS = 72, 7
-LONGS, PLANES = 8, 4  # of 64 coordinates each; coordinates beyond them have no bit
+LONGS, PLANES = 8, 2  # of 64 coordinates each; coordinates beyond them have no bit
 DEVIATIONS = 4
 BITS = tuple(f"bits{k}" for k in range(LONGS * PLANES))
 
@@ -85,7 +85,7 @@ def sketches(row: np.ndarray, hashes: np.ndarray, rows: int, bins: int) -> np.nd
 
 
 def sketched(texts: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
-    """id, n_shingles, the set's two-part signature, a key for each band and four bits of each coordinate, in planes."""
+    """id, n_shingles, the set's two-part signature, a key for each band and two bits of each coordinate, in planes."""
     ship(texts.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,29 +143,14 @@ def alike(a: str, b: str, percent: int, most: int) -> Column:
     return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (different <= most)
 
 
-def of_members(texts: DataFrame, members: DataFrame, store: Stage) -> DataFrame:
-    """The texts whose ids are among the members.
-
-    While a bitmap of the members' hashed ids (16 bits for each) is as small as what Spark broadcasts, it sorts most other
-    texts out before the join that decides, so they aren't shuffled. Without it the join does the same alone.
-    """
-    spark = texts.sparkSession
-    bits = 1 << max(15, (16 * members.count()).bit_length())
-    broadcast = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
-    if bits // 8 <= 2 * broadcast:  # it compresses to less than half
-        place = F.pmod(F.xxhash64("id"), F.lit(bits))
-        marks = members.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("marks"))
-        marks = store.write("marks", marks)
-        hashed = texts.withColumn("place", place).join(marks, F.bitmap_bucket_number("place") == F.col("bucket"))
-        at = F.bitmap_bit_position("place")
-        byte = F.conv(F.hex(F.substring(F.col("marks"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        texts = hashed.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(place) % 8 as int))")) != 0).select("id", "text")
-    return texts.join(members.select("id"), "id", "left_semi")
+def merged_with(frame: DataFrame) -> DataFrame:
+    """The side of a join whose size follows the corpus: sorted and merged on small tables too, so that plans don't change with size."""
+    return frame.hint("merge")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    joined = texts.toDF("b", "text_b").join(pairs, "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    joined = texts.toDF("b", "text_b").join(merged_with(pairs), "b").join(merged_with(texts.toDF("a", "text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,18 +188,18 @@ def near_duplicate_links(
     every = store.write("sketches", sketched(texts, size, bands, per_band))
     sets = every.filter("n_shingles > 0").groupBy("n_shingles", "mark1", "mark2").agg(F.min("id").alias("class"))
     sets = store.write("sets", sets)  # a table, so that Spark can split a large group of equal sets in the join
-    classes = store.write("classes", every.select("id", "n_shingles", "mark1", "mark2").join(sets, ["n_shingles", "mark1", "mark2"], "left").select("id", "n_shingles", F.coalesce("class", "id").alias("class")))
+    classes = store.write("classes", every.select("id", "n_shingles", "mark1", "mark2").join(merged_with(sets), ["n_shingles", "mark1", "mark2"], "left").select("id", "n_shingles", F.coalesce("class", "id").alias("class")))
     heads = classes.filter("id = class and n_shingles > 0").select("id")
-    banded = every.select("id", "band_keys").join(heads, "id", "left_semi").select("id", F.explode("band_keys").alias("key"))
+    banded = every.select("id", "band_keys").join(merged_with(heads), "id", "left_semi").select("id", F.explode("band_keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = store.write("buckets", banded.join(shared, "key"))
+    buckets = store.write("buckets", banded.join(merged_with(shared), "key"))
     met = buckets.groupBy("id").agg(F.sum(F.col("n") - 1).alias("met"), F.array_sort(F.collect_list("key")).alias("keys"))  # at most a key for each band
-    members = store.write("members", every.select("id", "n_shingles", *BITS).join(met, "id"))
-    used = store.write("texts", of_members(texts, members, store))
+    members = store.write("members", every.select("id", "n_shingles", *BITS).join(merged_with(met), "id"))
+    used = store.write("texts", texts.join(merged_with(members.select("id")), "id", "left_semi"))
     ordered = buckets.select("key", "id").join(members.select("id", "met"), "id")
     centers = ordered.groupBy("key").agg(F.max(F.struct("met", F.xxhash64("id").alias("turn"), "id"))["id"].alias("center"))
     stars = buckets.select("key", "id").join(centers, "key").filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(members.alias("x"), F.col("a") == F.col("x.id")).join(members.alias("y"), (F.col("b") == F.col("y.id")) & alike("x", "y", percent, most))
+    stars = stars.join(merged_with(members.alias("x")), F.col("a") == F.col("x.id")).join(merged_with(members.alias("y")), (F.col("b") == F.col("y.id")) & alike("x", "y", percent, most))
     stars = store.write("stars", stars.select("a", "b"))
     links = store.write("links", verified(stars, used, size, percent))
     roots = components(links, store, "first")
@@ -239,9 +224,13 @@ def near_duplicates(
     percent: int = 75,
     bands: int = BANDS,
     per_band: int = ROWS,
+    store: Stage | None = None,
 ) -> DataFrame:
-    """id, n_shingles, component_id (smallest id of its component) and kept (whether it is that one) of each document."""
-    store = stage(frame.sparkSession)
+    """id, n_shingles, component_id (smallest id of its component) and kept (whether it is that one) of each document.
+
+    The result reads tables of the store; a caller that gives one may close it once the result is written.
+    """
+    store = store or stage(frame.sparkSession)
     texts = narrow(frame, id=id_column, text=text_column).filter("id is not null").select(F.col("id").cast("long").alias("id"), "text")
     classes, roots = near_duplicate_links(texts, store, size, percent, bands, per_band)
     placed = classes.join(roots.withColumnRenamed("node", "class"), "class", "left")

@@ -48,6 +48,12 @@ def fresh(frame: DataFrame, stem: str) -> str:
     return f"{stem}_{uuid.uuid4().hex[:8]}" if stem in frame.columns else stem
 
 
+def row_key(frame: DataFrame, id_column: str, text_column: str) -> Column:
+    """A 64-bit number of id and text, null or not: rows that share an id and differ in text differ in it."""
+    known = [F.col(f"`{x}`") for x in (id_column, text_column)]
+    return F.xxhash64(*(x.isNull() for x in known), *known)
+
+
 def word_count(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``; 0 for null."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")

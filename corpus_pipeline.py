@@ -15,7 +15,7 @@ from placebeat.llm.mixing import mix_sources
 from placebeat.llm.near_duplicates import near_duplicates
 from placebeat.llm.quality_rules import passing
 from placebeat.llm.secret_scans import redact_secrets
-from placebeat.llm.support import stage
+from placebeat.llm.support import fresh, row_key, stage
 
 ORACLE_SQL = None
 
@@ -26,17 +26,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, and one row of each id; rows without an id stay."""
-    copies = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("copy")).distinct()
-    left = docs.join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
-    named = left.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(left.filter("doc_id is null"))
+    """Keeps one document of each group of near copies: that of the smallest id, and one of rows equal in id and text.
+
+    Rows go by a key of id and text, so texts that share an id, or have none, are judged on their own. The groups are
+    reduced to the keys that stay; the operator's own tables are removed then.
+    """
+    key = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, row_key(docs, "doc_id", "text"))
+    with stage(spark) as tables:
+        groups = near_duplicates(keyed, id_column=key, store=tables).select(F.col(key).alias("k"), "component_id").distinct()
+        ids = keyed.select(F.col(key).alias("k"), F.col("doc_id").isNull().alias("nameless"), "doc_id").distinct()
+        kept = groups.join(ids, "k").groupBy("component_id").agg(F.min(F.struct("nameless", "doc_id", "k"))["k"].alias("stays")).select("stays")
+        kept = stage(spark).write("kept", kept)
+    return keyed.join(kept, F.col(key) == F.col("stays"), "left_semi").dropDuplicates([key]).drop(key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
-    leaks = decontamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leaks")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("leaks"), "left_anti")
+    """Drops the documents that hold a benchmark item; rows go by a key of id and text, as above."""
+    key = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, row_key(docs, "doc_id", "text"))
+    with stage(spark) as tables:
+        leaks = decontamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column=key, store=tables)
+        leaks = stage(spark).write("leaks", leaks.select(F.col(key).alias("leaks")).distinct())
+    return keyed.join(leaks, F.col(key) == F.col("leaks"), "left_anti").drop(key)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

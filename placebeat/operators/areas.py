@@ -65,13 +65,27 @@ def grid_totals(events: DataFrame, cell_size_km: float, keys: Sequence[str] = ()
     )
 
 
+def with_neighborhood(rows: DataFrame, neighborhoods: DataFrame) -> DataFrame:
+    """Rows of places joined to the neighborhood of their business, where city and state agree.
+
+    Only the business is a join key, so that both sides are read as they lie if they are kept by business.
+    """
+    city, state = (F.col(c) == F.col(f"{c}_of") for c in ("city", "state"))
+    named = neighborhoods.select(
+        F.col("business_id").alias("business_of"), F.col("city").alias("city_of"), F.col("state").alias("state_of"),
+        "neighborhood_id", "center_lat", "center_lon",
+    )
+    agree = F.coalesce(city & state, F.lit(False))
+    return rows.join(named, (F.col("business_id") == F.col("business_of")) & agree).drop("business_of", "city_of", "state_of")
+
+
 def neighborhood_totals(events: DataFrame, neighborhoods: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Count and sum per neighborhood and further keys; places without a neighborhood drop out.
 
     Events are reduced per business before the join with the assignments, so a busy business cannot skew it.
     """
     per_business = total(measured(events), ["business_id", "city", "state", *keys])
-    joined = per_business.join(neighborhoods, ["business_id", "city", "state"], "inner").select(
+    joined = with_neighborhood(per_business, neighborhoods).select(
         F.lit(NEIGHBORHOOD).alias("area_type"),
         F.col("neighborhood_id").alias("area_id"),
         "city",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placebeat.functions import duration_micros, grid_cell, interval
-from placebeat.operators.areas import AREA_COLUMNS, GRID, NEIGHBORHOOD
+from placebeat.operators.areas import AREA_COLUMNS, GRID, NEIGHBORHOOD, with_neighborhood
 from placebeat.operators.measures import latest_time, measured
 from placebeat.params import Params
 from placebeat.schemas import table_columns
@@ -48,7 +48,7 @@ def in_areas(
     )
     if neighborhoods is None:
         return grid
-    joined = tagged.drop("latitude", "longitude").join(neighborhoods, ["business_id", "city", "state"], "inner")
+    joined = with_neighborhood(tagged.drop("latitude", "longitude"), neighborhoods)
     return grid.unionByName(
         joined.select(
             "business_id",

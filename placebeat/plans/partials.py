@@ -74,16 +74,17 @@ def batch_partials(
     """The partials of one batch of cleaned reviews.
 
     The events are read twice: once to be reduced to panes of businesses, once for the few newest ones. With a ``stage`` both
-    results, and the counts per pane between them, are written and read back; ``activity`` is the first if it is there already.
+    results, in buckets of businesses, and the counts per pane between them are written and read back; ``activity`` is the first
+    if it is there already. With places in such buckets too, no join moves rows that have been written.
 
     ``recent_categories`` keeps exact times of the events in the last window of the batch. The window ending at the
     newest event of all batches starts no earlier than that of any batch, so nothing it needs is lost.
     """
-    kept = (lambda name, frame: frame) if stage is None else stage.write
+    in_buckets = (lambda name, frame: frame) if stage is None else (lambda name, frame: stage.write_bucketed(name, frame, "business_id"))
     if activity is None:
-        activity = kept("activity", pane_activity(cleaned, params))
-    panes = kept("pane_newest", pane_newest(activity, located))
-    newest = kept("recent_events", recent_events(cleaned, panes, params))
+        activity = in_buckets("activity", pane_activity(cleaned, params))
+    panes = pane_newest(activity, located) if stage is None else stage.write("pane_newest", pane_newest(activity, located))
+    newest = in_buckets("recent_events", recent_events(cleaned, panes, params))
     tagged = with_categories(located)
     measures = ["event_count", "stars_sum", "max_event_time"]
     sums = (F.sum("event_count").alias("event_count"), F.sum("stars_sum").alias("stars_sum"), F.max("max_event_time").alias("max_event_time"))

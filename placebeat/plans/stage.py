@@ -39,6 +39,7 @@ class Stage:
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark = spark
         self.path = f"{(folder or shared_folder(spark)).rstrip('/')}/stage-{uuid.uuid4().hex}"
+        self._tables: list[str] = []
 
     def write(self, name: str, frame: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Write the frame, in a folder for each value of ``partition_by`` if that is given, and return a frame that reads it."""
@@ -47,7 +48,22 @@ class Stage:
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(target)
         return self.spark.read.schema(frame.schema).parquet(target)
 
+    def write_bucketed(self, name: str, frame: DataFrame, by: str) -> DataFrame:
+        """Write the frame in as many buckets of ``by`` as a shuffle has partitions, a file each, and return a frame that reads it.
+
+        Joins and aggregations by that column then read their side as it lies, whatever its size; what Spark knows of the buckets
+        is kept in the session's catalog until the stage is closed.
+        """
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"{self.path.rpartition('/')[2].replace('-', '_')}_{name}"
+        writer = frame.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).mode("errorifexists")
+        writer.option("path", f"{self.path}/{name}").format("parquet").saveAsTable(table)
+        self._tables.append(table)
+        return self.spark.table(table)
+
     def close(self) -> None:
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

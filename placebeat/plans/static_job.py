@@ -20,14 +20,15 @@ def static_tables(
     """The nine tables of all events, finished from staged partials.
 
     One pass over the events reduces them to panes of businesses, a second reads the newest ones; the rest works on what those two
-    have left. ``narrow`` is a copy of the events without text to make the first pass over. Raises when no event has a place.
+    have left. Staged tables with a business are in buckets of it, so that only the first reduction moves rows by business.
+    ``narrow`` is a copy of the events without text to make the first pass over. Raises when no event has a place.
     """
-    places = stage.write("places", located)
-    activity = stage.write("activity", pane_activity(cleaned if narrow is None else narrow, params))
+    places = stage.write_bucketed("places", located, "business_id")
+    activity = stage.write_bucketed("activity", pane_activity(cleaned if narrow is None else narrow, params), "business_id")
     neighborhoods = None
     if params.dense_city_threshold > 0:
         active = distinct_businesses(activity.select("business_id").distinct().join(places, "business_id"))
-        neighborhoods = stage.write("neighborhoods", fit_neighborhoods(active, params, stage))
+        neighborhoods = stage.write_bucketed("neighborhoods", fit_neighborhoods(active, params, stage), "business_id")
     partials = batch_partials(cleaned, places, params, neighborhoods, stage, activity)
     staged = {name: stage.write(name, frame) for name, frame in partials.items()}
     if staged["area_panes"].isEmpty():

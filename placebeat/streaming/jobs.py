@@ -14,7 +14,7 @@ from placebeat.operators.cleaning import KEPT, UNDATED, clean_reviews, outcome_c
 from placebeat.operators.enrich import enrich
 from placebeat.operators.neighborhoods import distinct_businesses, fit_neighborhoods, with_new_places
 from placebeat.params import Params
-from placebeat.plans.partials import batch_partials
+from placebeat.plans.partials import batch_partials, pane_activity
 from placebeat.plans.stage import Stage
 from placebeat.plans.static_job import run_static
 from placebeat.plans.tables import build_tables
@@ -78,10 +78,12 @@ def batch_processor(
                 finally:
                     joined.unpersist()
             else:
-                with Stage(spark) as stage:
-                    partials = batch_partials(cleaned, places_of(), params, assigned, stage)
+                activity = pane_activity(cleaned, params).persist(StorageLevel.MEMORY_AND_DISK)
+                try:
                     store = PartialStore(spark, params.output_path)
-                    store.write(partials, batch_id, params)
+                    store.write(batch_partials(cleaned, places_of(), params, assigned, activity=activity), batch_id, params)
+                finally:
+                    activity.unpersist()
                 if compact_every and (batch_id + 1) % compact_every == 0:
                     store.compact(params)
                     store.drop_compacted()

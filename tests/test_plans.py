@@ -10,10 +10,12 @@ from placebeat.operators import serving
 from placebeat.operators.enrich import enrich, place_activity
 from placebeat.operators.hotspots import emerging_areas, window_hotspots
 from placebeat.params import Params
+from placebeat.plans.stage import Stage
+from placebeat.plans.static_job import static_tables
 from placebeat.plans.tables import build_tables
-from placebeat.schemas import PLACE_SCHEMA, TABLE_SCHEMAS
+from placebeat.schemas import PARTIAL_SCHEMAS, PLACE_SCHEMA, TABLE_SCHEMAS
 from placebeat.sources import testtables
-from tests.helpers import plan
+from tests.helpers import plan, rows
 
 
 def planned(frame):
@@ -141,3 +143,40 @@ def test_hot_business(spark):
                 spark.conf.unset(key)
             else:
                 spark.conf.set(key, value)
+
+
+def test_staged_tables_are_joined_as_they_lie(spark, large_dimension, monkeypatch):
+    """Without broadcasts, no join by business in the static job moves rows that a stage has written."""
+    events = spark.range(3000).selectExpr(
+        "string(id) AS review_id", "concat('b', id % 97) AS business_id", "'u' AS user_id", "double(1 + id % 5) AS review_stars",
+        "timestamp_seconds(1577836800 + id * 61) AS review_date", "'t' AS review_text",
+    )
+    places = spark.createDataFrame([(f"b{i}", "n", f"c{i % 3}", "s", 1.0 + i % 7, 2.0 + i % 5, 1.0, ["x", "y"]) for i in range(97)], PLACE_SCHEMA)
+    params = Params(window_duration="2 hours", slide_duration="1 hour", min_events_for_hotspot=1, dense_city_threshold=5)
+    plans, real = [], Stage.write
+
+    def write(self, name, frame, partition_by=None):
+        plans.append((name, planned(frame)))
+        return real(self, name, frame, partition_by)
+
+    monkeypatch.setattr(Stage, "write", write)
+    with Stage(spark) as stage:
+        tables = static_tables(events, places, params, stage)
+        joins = 0
+        for name, text in plans:
+            if name not in PARTIAL_SCHEMAS and name != "pane_newest":
+                continue
+            lines = text.split("\n")
+            for k, line in enumerate(lines):
+                if "SortMergeJoin [business_id" not in line:
+                    continue
+                joins += 1
+                depth = len(line) - len(line.lstrip(" :+-"))
+                below = [x for x in lines[k + 1 :]]
+                end = next((i for i, x in enumerate(below) if len(x) - len(x.lstrip(" :+-")) <= depth), len(below))
+                assert not any("Exchange hashpartitioning(business_id" in x for x in below[:end]), name  # subqueries below it have their own
+        assert joins >= 5
+        wanted = build_tables(enrich(events, places), params)
+        for name in ("city_metrics", "window_hotspots", "category_leaders", "latest_reviews"):
+            assert rows(tables[name].filter("area_type = 'grid'") if name == "window_hotspots" else tables[name]) == rows(wanted[name]), name
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("stage_")]

@@ -1,6 +1,7 @@
 """Static and streaming jobs over JSON files; every way of feeding the same events must give the same tables."""
 
 import json
+import os
 import random
 import re
 import time
@@ -150,6 +151,7 @@ def file_stream(spark, base, tmp_path, reviews, pieces, dense=5, **options):
     size = -(-len(reviews) // pieces)
     for i in range(pieces):
         write_lines(folder / f"{i:03}.json", ["{broken", *reviews[i * size:(i + 1) * size]])
+        os.utime(folder / f"{i:03}.json", (time.time() - 100 + i,) * 2)  # batches come in the order of these times
     params = settings(
         base, tmp_path / "out", source_type="file_stream", stream_path=str(folder),
         checkpoint_path=str(tmp_path / "checkpoint"), dense_city_threshold=dense,

@@ -81,6 +81,11 @@ def _neighborhoods(spark: SparkSession, folder: str) -> DataFrame:
     return _fitted[key]
 
 
+def forget_neighborhoods() -> None:
+    """The next query that needs neighborhoods fits them anew."""
+    _fitted.clear()
+
+
 # -- cleaning, join, projection -------------------------------------------------------------------------------------
 
 

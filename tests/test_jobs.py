@@ -272,6 +272,7 @@ def watermarked(spark, base, tmp_path, pieces, delay, dense=0):
     folder.mkdir()
     for i, piece in enumerate(pieces):
         write_lines(folder / f"{i:03}.json", piece)
+        os.utime(folder / f"{i:03}.json", (time.time() - 100 + i,) * 2)
     params = settings(
         base, tmp_path / "out", checkpoint_path=str(tmp_path / "checkpoint"), dense_city_threshold=dense,
         stream_path=str(folder),

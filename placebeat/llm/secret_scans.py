@@ -2,7 +2,9 @@
 
 Matches are found with one pass of regular expressions over whole texts; a match's place is the sum of the lengths of
 the gaps and matches before it. Tokens of 20 or more characters that hold digits, or both cases, are tested in the
-encoding that their characters suggest (hexadecimal, base 32, lower or upper alphanumeric, base 64):
+encoding that their characters suggest (hexadecimal, base 32, lower or upper alphanumeric, base 64). A run of token
+characters is tested as a whole and by its segments between slashes, underscores and hyphens; it gives one span, or one
+for each of its segments:
 
 * chi-squared uniformity over the encoding's alphabet,
 * runs above and below the middle of the alphabet,
@@ -37,6 +39,7 @@ PATTERNS = {
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}",
     "random": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}",
 }
+LEAST_TOKEN = 20  # characters of a token to be tested
 BASE = ("assign", "access", "hex")
 KINDS = tuple(PATTERNS)
 #: Alphabets of the encodings, in order of preference.
@@ -191,6 +194,30 @@ def scanned(frame: DataFrame, text_column: str, row: str, store: Stage, carry: b
     return store.write("scanned", found.drop(f"{row}_text"))
 
 
+def with_segments(runs: DataFrame, row: str) -> DataFrame:
+    """Runs of token characters and, as tokens of their own, their long enough segments between slashes, underscores and hyphens.
+
+    Adds run (the run's start), segment (number of the part between slashes, null for the run) and form: 0 for runs, 1 for parts
+    between slashes, 2 for parts between any of the marks. A secret in a path or behind a prefix shares its run with other words.
+    """
+    body = F.regexp_replace("token", "=+$", "")
+    marked = runs.filter(body.rlike("[/_-]")).select(row, "order", F.col("start").alias("run"), body.alias("body"))
+
+    def cut(frame: DataFrame, text: str, begin: str, by: list[str], marks: str, number: str) -> DataFrame:
+        """The parts of a text between marks of one character, with their places."""
+        parts = frame.select("*", F.posexplode(F.split(text, marks)).alias(number, "part"))
+        reach = F.sum(F.length("part") + 1).over(W.partitionBy(*by).orderBy(number))
+        return parts.withColumn("start", F.col(begin) + reach - F.length("part") - 1)
+
+    between = cut(marked, "body", "run", [row, "run"], "/", "segment").filter(F.length("part") >= LEAST_TOKEN)
+    finer = between.filter(F.col("part").rlike("[_-]")).withColumnsRenamed({"part": "whole", "start": "begin"})
+    finer = cut(finer, "whole", "begin", [row, "run", "segment"], "[_-]", "piece").filter(F.length("part") >= LEAST_TOKEN)
+    columns = [row, "order", "start", (F.col("start") + F.length("part")).cast("long").alias("end"), F.col("part").alias("token"), "run", "segment"]
+    whole = runs.select(row, "order", "start", F.col("end").cast("long").alias("end"), "token", F.col("start").alias("run"), F.lit(None).cast("int").alias("segment"), F.lit(0).alias("form"))
+    between = between.filter(F.instr("body", "/") > 0).select(*columns, F.lit(1).alias("form"))
+    return whole.unionByName(between).unionByName(finer.select(*columns, F.lit(2).alias("form")))
+
+
 def spans(found: DataFrame, row: str, alpha: float, false_share: float, store: Stage) -> DataFrame:
     """(row, kind, order, start, end) of all secrets of the scanned rows."""
     each = []
@@ -205,10 +232,14 @@ def spans(found: DataFrame, row: str, alpha: float, false_share: float, store: S
     hits = hits.filter((F.col("order") > 0) | (F.length(value) >= 6)).select(row, "order", "start", "end", "token")
     hits = store.write("hits", hits)
     base = hits.filter(F.col("order") < len(BASE)).drop("token")
-    free = hits.filter(F.col("order") == len(BASE)).alias("h")
+    free = with_segments(hits.filter(F.col("order") == len(BASE)), row).alias("h")
     taken = base.select(F.col(row).alias("of"), F.col("start").alias("from"), F.col("end").alias("to"))
     free = free.join(taken, (F.col(f"h.{row}") == F.col("of")) & (F.col("start") < F.col("to")) & (F.col("from") < F.col("end")), "left_anti")
-    more = discovered(battery(free), alpha, false_share, store).select(row, "order", "start", "end")
+    more = discovered(battery(free), alpha, false_share, store)
+    # one span a token: the run if it is random as a whole, else the largest of its segments that are
+    of_run, of_segment = F.min("form").over(W.partitionBy(row, "run")), F.min("form").over(W.partitionBy(row, "run", "segment"))
+    more = more.withColumns({"of_run": of_run, "of_segment": of_segment}).filter((F.col("form") == 0) | (F.col("of_run") > 0) & (F.col("form") == F.col("of_segment")))
+    more = more.select(row, "order", "start", "end")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("order") + 1)
     return store.write("spans", base.unionByName(more).withColumn("kind", kind))
 

@@ -255,8 +255,10 @@ def projection(texts: DataFrame, pieces: Pieces, weight: np.ndarray, dimensions:
     for row in parts.collect():  # the block's terms x dimensions
         part = np.frombuffer(row["part"], np.float64).reshape(-1, columns)
         total[row["block"] : row["block"] + len(part)] += part
-    own = piece_rows(pieces, weight)
-    total += own.T @ (own @ omega)
+    piece, term, value = piece_rows(pieces, weight)
+    seen = added_up(np.zeros((len(pieces.words), columns)), piece, omega, term, value)
+    order = np.argsort(term, kind="stable")
+    added_up(total, term[order], seen, piece[order], value[order])
     # eigenvectors of A'A from its product with omega (Nystroem)
     shift = 1e-9 * max(np.linalg.norm(total), 1e-9)
     moved = total + shift * omega
@@ -268,14 +270,26 @@ def projection(texts: DataFrame, pieces: Pieces, weight: np.ndarray, dimensions:
     return left[:, sizes > 1e-6 * sizes.max(initial=0)].astype(np.float32)
 
 
-def piece_rows(pieces: Pieces, weight: np.ndarray):
-    """TF-IDF rows of the pieces, of length 1."""
-    out = np.zeros((len(pieces.words), len(pieces.terms)), np.float32)
-    for k, words in enumerate(pieces.words):
-        own, times = np.unique(words, return_counts=True)
-        out[k, positions(own, pieces.terms)] = times
-    out *= weight.astype(np.float32)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+def piece_rows(pieces: Pieces, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """TF-IDF rows of the pieces, of length 1: (piece, term, value) of what isn't zero, by piece and term."""
+    found = [np.unique(words, return_counts=True) for words in pieces.words]
+    piece = np.repeat(np.arange(len(found)), [len(own) for own, _ in found])
+    term = positions(np.concatenate([own for own, _ in found]), pieces.terms)
+    order = np.lexsort((term, piece))
+    piece, term, value = piece[order], term[order], np.concatenate([times for _, times in found])[order] * weight[term[order]]
+    held = value != 0
+    piece, term, value = piece[held], term[held], value[held]
+    norm = np.sqrt(np.bincount(piece, weights=value * value, minlength=len(found)))
+    return piece, term, value / np.maximum(norm[piece], 1e-12)
+
+
+def added_up(out: np.ndarray, at: np.ndarray, source: np.ndarray, of: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """out[at] += value * source[of], a bounded number of entries at a time; ``at`` must ascend."""
+    for k in range(0, len(at), 50_000):
+        own = at[k : k + 50_000]
+        edge = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        out[own[edge]] += np.add.reduceat(value[k : k + 50_000, None] * source[of[k : k + 50_000]], edge, axis=0)
+    return out
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -321,10 +335,9 @@ def verify(pieces: Pieces, piece: int, masks, hashes, start: int, size: int, fir
 
 def leaks_of_block(texts: DataFrame, pieces: Pieces, weight, space, least_cosine, least_shared, verbatim, paraphrase) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share) of verified candidates, possibly several for a pair."""
-    rows = piece_rows(pieces, weight)
-    latent = unit(rows @ space)
-    piece, term = np.nonzero(rows)
-    shares = rows[piece, term] ** 2
+    piece, term, value = piece_rows(pieces, weight)
+    latent = unit(added_up(np.zeros((len(pieces.words), space.shape[1])), piece, space, term, value)).astype(np.float32)
+    shares = value**2
     sent = (pieces, weight, (space * weight[:, None]).astype(np.float32), latent, piece * len(pieces.terms) + term, shares)
     shared = texts.sparkSession.sparkContext.broadcast(sent)
 

@@ -1,6 +1,7 @@
 """Operators that compare texts: near duplicates, decontamination, repeated passages."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -151,7 +152,10 @@ def test_projection_is_the_leading_space(spark):
         at = decontamination.positions(hashes, pieces.terms)
         row = np.bincount(at[at >= 0], minlength=len(pieces.terms)).astype(float)
         rows.append(row / max(np.linalg.norm(row), 1e-12))
-    whole = np.vstack([*rows, decontamination.piece_rows(pieces, weight)])
+    piece, term, value = decontamination.piece_rows(pieces, weight)
+    own = np.zeros((len(pieces.words), len(pieces.terms)))
+    own[piece, term] = value
+    whole = np.vstack([*rows, own])
     _, _, right = np.linalg.svd(whole, full_matrices=False)
     assert np.linalg.norm(space.T @ space - np.eye(space.shape[1])) < 1e-3
     kept = np.linalg.norm(whole @ space) ** 2 / np.linalg.norm(whole) ** 2
@@ -212,3 +216,30 @@ def test_retained_suffixes_depend_on_the_passage_alone():
             kept.append({int(x) - before for x in at if before <= x <= before + 18})
     common = set.intersection(*kept)
     assert common
+
+
+def test_rows_of_pieces_are_sparse():
+    """The same products as a dense matrix; a block of very short items stays small on the driver."""
+    rng = random.Random(17)
+    pieces = decontamination.cut([(k, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randint(3, 40)))) for k in range(80)])
+    gen = np.random.default_rng(1)
+    weight = gen.random(len(pieces.terms)) * (gen.random(len(pieces.terms)) > 0.3)
+    piece, term, value = decontamination.piece_rows(pieces, weight)
+    dense = np.zeros((len(pieces.words), len(pieces.terms)))
+    for k, words in enumerate(pieces.words):
+        for x in words:
+            dense[k, np.searchsorted(pieces.terms, x)] += 1
+    dense *= weight
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+    sparse = np.zeros_like(dense)
+    sparse[piece, term] = value
+    assert np.allclose(sparse, dense) and (value != 0).all()
+    matrix = gen.random((len(pieces.terms), 7))
+    assert np.allclose(decontamination.added_up(np.zeros((len(pieces.words), 7)), piece, matrix, term, value), dense @ matrix)
+    short = decontamination.cut([(k, " ".join(f"x{rng.randrange(40_000)}" for _ in range(3))) for k in range(20_000)])
+    tracemalloc.start()
+    piece, term, value = decontamination.piece_rows(short, np.ones(len(short.terms)))
+    decontamination.added_up(np.zeros((len(short.words), 128)), piece, np.ones((len(short.terms), 128)), term, value)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and len(short.words) >= 20_000

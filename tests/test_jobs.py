@@ -363,13 +363,14 @@ def test_counts_of_a_retried_batch_count_once(spark, base, tmp_path):
 @pytest.mark.parametrize("limit, parses", [(None, 2), (100, 1)])
 def test_the_static_job_parses_the_reviews_twice_at_most(spark, base, tmp_path, monkeypatch, limit, parses):
     """Plans of all that is written: scans of the raw reviews, and of the copy without text."""
-    plans, real = [], DataFrameWriter.parquet
+    plans = []
+    for name in ("parquet", "saveAsTable"):
 
-    def parquet(self, path, *args, **options):
-        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
-        return real(self, path, *args, **options)
+        def write(self, target, *args, real=getattr(DataFrameWriter, name), **options):
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+            return real(self, target, *args, **options)
 
-    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+        monkeypatch.setattr(DataFrameWriter, name, write)
     run_static(spark, settings(base, tmp_path, limit=limit))
     raw = [len(re.findall(r"FileScan json [^\n]*stars:double", text)) for text in plans]
     assert sum(raw) == parses

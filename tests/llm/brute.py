@@ -141,16 +141,17 @@ def bigrams(text):
 
 
 def licenses(text, templates, least=0.8):
-    """Names of the licences that a line, a paragraph or the whole is alike to."""
+    """Names of the licences that a line, a paragraph, the whole or any window of a template's length is alike to."""
     text = text or ""
     plain = re.sub("[^a-z0-9\n]+", " ", fold(text))
+    words = plain.split()
+    units = [bigrams(x) for x in {*plain.split("\n"), *re.split("\n *\n", plain), plain}]
     found = set()
-    for unit in {*plain.split("\n"), *re.split("\n *\n", plain), plain}:
-        own = bigrams(unit)
-        for name, template in templates:
-            other = bigrams(template)
-            if own and 2 * len(own & other) >= least * (len(own) + len(other)) - 1e-12:
-                found.add(name)
+    for name, template in templates:
+        other, n = bigrams(template), len(re.findall("[a-z0-9]+", fold(template)))
+        windows = [set(zip(words[k : k + n], words[k + 1 : k + n], strict=False)) for k in range(len(words) - 1) if (words[k], words[k + 1]) in other]
+        if any(own and 2 * len(own & other) >= least * (len(own) + len(other)) - 1e-12 for own in units + windows):
+            found.add(name)
     return sorted(found)
 
 

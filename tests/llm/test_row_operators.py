@@ -315,9 +315,31 @@ def test_license_bounds_lose_nothing(spark):
             k = rng.randrange(len(words) + 1)
             words[k : k + rng.randint(0, 1)] = rng.choice([[], ["thon"], ["license"]])
         breaks = "".join(x + rng.choice([" ", " ", "  ", "\n" if rng.random() < 0.1 else " "]) for x in words)
-        texts.append(rng.choice(["", "Thon on the.\n\n", "Er.\n"]) + breaks + rng.choice(["", "\n", "\n \nOn the."]))
+        texts.append(rng.choice(["", "Thon on the.\n\n", "Er.\n", "Thon the er " * 9]) + breaks + rng.choice(["", "\n", "\n \nOn the.", " and er on" * 9]))
+    texts.append(" ".join(x for _, x in TEMPLATES))
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: r for r in license_scans.license_scans(frame).collect()}
     for k, text in enumerate(texts):
         assert found[k]["licenses"] == ",".join(brute.licenses(text, TEMPLATES)), text
     assert sum(r["n_licenses"] > 0 for r in found.values()) > 150
+
+
+def test_licenses_inside_longer_texts(spark):
+    """Notices of several paragraphs before code, and those that share a line with other words."""
+    text = {(name, len(x)): x for name, x in TEMPLATES}
+    longest = lambda name: text[max(k for k in text if k[0] == name)]
+    paragraphs = lambda x: x.replace("conditions: ", "conditions:\n\n").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS").replace("This program is dist", "\n\nThis program is dist")
+    code = "\n\nimport os\n\ndef walk(top):\n" + "".join(f"    step_{k} = top[{k}] + offset_{k % 7}\n" for k in range(400))
+    texts = {
+        1: ("MIT", "MIT License\n\nCopyright (c) 2024 Acme\n\n" + paragraphs(longest("MIT")) + code),
+        2: ("GPL-3.0", "walk.py - walks.\nCopyright (C) 2024 Acme\n\n" + paragraphs(longest("GPL-3.0")) + "\n\nYou should have received a copy of it along with this program." + code),
+        3: ("All rights reserved", "(c) 2024 Acme. All rights reserved."),
+        4: ("CC-BY-4.0", "Copyright 2024 X and its contributors. This work is licensed under a Creative Commons Attribution 4.0 International License. Please cite us."),
+        5: ("BSD-3-Clause", code + "/* " + longest("BSD-3-Clause").replace(". ", ".\n * ") + " */" + code),
+        6: (None, "All of the rights of the author were reserved by the publisher." + code),
+    }
+    frame = spark.createDataFrame([(k, x) for k, (_, x) in texts.items()], "doc_id long, text string")
+    for row in license_scans.license_scans(frame).collect():
+        name, body = texts[row["doc_id"]]
+        assert row["license"] == name, row
+        assert row["licenses"] == ",".join(brute.licenses(body, TEMPLATES))

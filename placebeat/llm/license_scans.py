@@ -7,8 +7,8 @@ its windows of as many words as the template has, across lines and paragraphs, t
 the comparisons few and lose none:
 
 * A unit at Dice d or more shares d / (2 - d) of a template's bigrams, so of any larger share of them it holds one: the
-  template's telling bigrams. Units without a word of any of these are dropped by one regular expression, and windows are
-  only made around telling bigrams.
+  template's telling bigrams. Texts without any of these and units without a word of any are dropped by a regular
+  expression each, and windows are only made around telling bigrams.
 * A template is compared only with units whose number of bigrams is between d / (2 - d) and (2 - d) / d of its own.
 
 Everything happens in the row: no join, no shuffle, whatever the number of equal texts. The templates are constants of
@@ -64,6 +64,15 @@ def any_word(words: list[str]) -> str:
     return r"\b(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(groups.items())) + r")\b"
 
 
+def any_bigram(grams: list[str]) -> str:
+    """A regular expression for any of the bigrams, also across lines, by first letter and word."""
+    groups = defaultdict(lambda: defaultdict(list))
+    for first, second in map(str.split, grams):
+        groups[first[0]][first[1:]].append(second)
+    by_word = lambda words: "|".join(f"{rest}[ \\n]+(?:{'|'.join(seconds)})" for rest, seconds in sorted(words.items()))
+    return r"\b(?:" + "|".join(f"{letter}(?:{by_word(words)})" for letter, words in sorted(groups.items())) + r")\b"
+
+
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[^a-z0-9\n]+", " ")
 
@@ -133,8 +142,9 @@ def license_scans(
     whole = F.col("plain")
     units = F.concat(F.split(whole, "\n"), F.split(whole, r"\n *\n"), F.array(whole))
     some = texts.select("id", normalised(F.col("text")).alias("plain"))
+    some = some.select("id", F.when(whole.rlike(words) & whole.rlike(any_bigram(telling)), whole).alias("plain"))
     none = F.array().cast("array<string>")
-    some = some.select("id", *(F.when(whole.rlike(words), x).otherwise(none).alias(name) for name, x in (("units", F.array_distinct(F.filter(units, lambda u: u.rlike(words)))), ("places", pairs(whole)))))
+    some = some.select("id", F.coalesce(F.array_distinct(F.filter(units, lambda u: u.rlike(words))), none).alias("units"), F.coalesce(pairs(whole), none).alias("places"))
     sets = F.filter(F.transform("units", bigrams), lambda g: (F.size(g) >= min(sizes) * share - 1e-9) & (F.size(g) <= max(sizes) / share + 1e-9))
     some = some.select("id", "places", sets.alias("sets"))
 

@@ -1,12 +1,15 @@
 """Layout-aware text of web pages.
 
 A page is cut into tags and text, built into a tree (with the tags that HTML lets authors leave out) and rendered: text of
-hidden elements is dropped, blocks begin on new lines and paragraphs are set apart by a blank one, list items carry their
-mark and indent, table cells are padded to columns, and preformatted text keeps its blanks. Everything else that is
-visible is emitted in order. One map over the pages, nothing is shuffled; memory follows the largest page.
+hidden elements is dropped (what says it is visible within an element of hidden visibility stays), blocks begin on new
+lines and paragraphs are set apart by a blank one, as are lines by two breaks, list items carry their mark or number and
+indent, table cells are padded to columns, over as many rows and columns as they span, and preformatted text keeps its
+blanks. Everything else that is visible is emitted in order: formulas, the text of drawings and text areas, the chosen
+option of a menu and all of a list box; values of other inputs are no text. One map over the pages, nothing is shuffled; memory follows the largest page.
 
 Null, empty and text-free pages give an empty text; broken markup is read as browsers do (an unclosed comment, tag or
-script runs to the end of the page); elements nested deeper than ``DEEPEST`` become siblings and keep their text.
+script runs to the end of the page); elements nested deeper than ``DEEPEST`` become siblings and keep their text, and
+those of them that are hidden, or of hidden visibility, are left out with all they hold.
 Repeated rows each get their row; an empty table gives no rows; columns other than those named are not read.
 """
 
@@ -15,7 +18,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +32,7 @@ DEEPEST = 150
 #: Groups of elements as the HTML standard names them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("script style head title template noscript noembed noframes iframe object audio video canvas svg math datalist select textarea meter progress map area param rp".split())
+HIDDEN = frozenset("script style head title template noscript noembed noframes iframe object audio video canvas datalist meter progress map area param rp annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir pre blockquote table figure hr fieldset xmp listing form".split())
 BLOCKS = SPACED | frozenset("html body div section article aside main nav header footer address center details summary dialog li dt dd figcaption caption legend thead tbody tfoot tr td th optgroup option hgroup search".split())
 ENDS_P = SPACED | frozenset("div section article aside main nav header footer address center details summary dialog figcaption hgroup search li dt dd".split())
@@ -44,6 +50,8 @@ CLOSES = {
     "option": ({"option"}, {"select", "datalist"}),
     "body": ({"head"}, {"html"}),
 }
+#: Parts of a drawing that aren't drawn where they stand.
+UNDRAWN = frozenset("defs symbol desc metadata clippath mask pattern marker".split())
 BARRIERS = frozenset("td th caption table template button object html".split())
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -51,13 +59,23 @@ QUOTE = re.compile(r"""=\s*(["'])""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW_ENDS = {name: re.compile(f"</{name}(?=[\\s/>])", re.I | re.A) for name in (*RAW, "title", "textarea")}
 BLANKS = re.compile(r"[ \t\n\r\f]+")
+NUMBER = re.compile(r"[ \t\n\r\f]*(-?[0-9]{1,9})")
+VISIBILITY = re.compile(r"(?:^|;)visibility:(hidden|collapse|visible)")
 
 
 class Node:
-    __slots__ = ("children", "hidden", "name", "start")
+    __slots__ = ("attributes", "children", "hidden", "name", "shown")
 
-    def __init__(self, name: str, hidden: bool = False, start: int = 1) -> None:
-        self.name, self.hidden, self.start, self.children = name, hidden, start, []
+    def __init__(self, name: str, found: dict[str, str] | None = None) -> None:
+        self.name, self.attributes, self.children = name, found or {}, []
+        style = BLANKS.sub("", self.attributes.get("style", "")).lower()
+        self.hidden = name in HIDDEN or "hidden" in self.attributes or "display:none" in style or name == "dialog" and "open" not in self.attributes
+        said = VISIBILITY.findall(style)
+        self.shown = said[-1] == "visible" if said else None  # None: as the element around
+
+    def number(self, name: str, otherwise: int) -> int:
+        found = NUMBER.match(self.attributes.get(name, ""))
+        return int(found[1]) if found else otherwise
 
 
 def tag_end(page: str, at: int) -> int:
@@ -81,21 +99,19 @@ def attributes(text: str) -> dict[str, str]:
     return found
 
 
-def invisible(name: str, found: dict[str, str]) -> bool:
-    style = BLANKS.sub("", found.get("style", "")).lower()
-    return "hidden" in found or "display:none" in style or "visibility:hidden" in style or name == "dialog" and "open" not in found
-
-
 def build(page: str) -> Node:
     """The tree of a page."""
     root = Node("html")
     open_: list[Node] = [root]
+    beyond: Counter[str] = Counter()  # open elements that the full tree doesn't hold
+    left_out: list[str] = []  # open elements from a hidden one on, where the tree is full
     at, n = 0, len(page)
 
     def close(names, barriers) -> None:
         for k in range(len(open_) - 1, 0, -1):
             if open_[k].name in names:
                 del open_[k:]
+                beyond.clear()
                 return
             if open_[k].name in barriers:
                 return
@@ -106,9 +122,10 @@ def build(page: str) -> Node:
                 return
             if open_[k].name in names:
                 del open_[k:]
+                beyond.clear()
 
     def add_text(text: str) -> None:
-        if text:
+        if text and not left_out:
             if open_[-1].name == "head" and text.strip(" \t\n\r\f"):
                 open_.pop()
             open_[-1].children.append(html.unescape(text) if "&" in text else text)
@@ -142,6 +159,21 @@ def build(page: str) -> Node:
         if not behind:
             break
         name, at = named[0].lower(), behind
+        if left_out:
+            if closing and name in left_out:
+                while left_out.pop() != name:
+                    pass
+                continue
+            if closing:
+                if not beyond[name] and not any(x.name == name for x in open_):
+                    continue
+                left_out.clear()
+            elif len(left_out) == 1 and (left_out[0] == "p" and name in ENDS_P or left_out[0] in CLOSES.get(name, ((), ()))[0]):
+                left_out.clear()
+        if closing and beyond[name]:
+            beyond[name] -= 1
+            open_[-1].children.append(Node(name))  # ends its line
+            continue
         if closing:
             if name == "br":
                 open_[-1].children.append(Node("br"))
@@ -154,6 +186,15 @@ def build(page: str) -> Node:
         found = attributes(text) if text and text != "/" else {}
         if name in ("html",):
             continue
+        if left_out:
+            if name in RAW_ENDS:
+                ended = RAW_ENDS[name].search(page, at)
+                if not ended:
+                    break
+                at = tag_end(page, ended.end()) or n
+            elif name not in VOID and not text.endswith("/"):
+                left_out.append(name)
+            continue
         if name in ENDS_P:
             close({"p"}, BARRIERS)
         if len(name) == 2 and name[0] == "h" and name[1] in "123456" and open_[-1].name in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -162,19 +203,25 @@ def build(page: str) -> Node:
             close_all(*rule)
         if open_[-1].name == "head" and name not in ("base", "link", "meta", "title", "style", "script", "template", "noscript"):
             open_.pop()
-        start = found.get("start", "1")
-        node = Node(name, name in HIDDEN or invisible(name, found), int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1)
+        node = Node(name, found)
         open_[-1].children.append(node)
         if name in RAW or name in ("title", "textarea"):
             ended = RAW_ENDS[name].search(page, at)
             ends = ended.start() if ended else -1
             inner = page[at:] if ends < 0 else page[at:ends]
+            if name == "textarea":
+                inner = re.sub(r"^\r?\n", "", inner)
             node.children.append(inner if name in RAW else html.unescape(inner))
             if ends < 0:
                 break
             at = tag_end(page, ends + 2 + len(name)) or n
-        elif name not in VOID and not (text.endswith("/") and any(x.name in ("svg", "math") for x in open_)) and len(open_) < DEEPEST:
-            open_.append(node)
+        elif name not in VOID and not (text.endswith("/") and any(x.name in ("svg", "math") for x in open_)):
+            if len(open_) < DEEPEST:
+                open_.append(node)
+            elif node.hidden or node.shown is False:
+                left_out.append(name)
+            else:
+                beyond[name] = 1 if name in CLOSES or name == "p" else beyond[name] + 1
     return root
 
 
@@ -230,10 +277,60 @@ def items_depth(page: Page) -> int:
     return len(page.indents)
 
 
-def render(node: Node, page: Page, preformatted: bool = False) -> None:
-    number = node.start
+def options(menu: Node) -> Iterator[Node]:
+    for child in menu.children:
+        if not isinstance(child, str) and not child.hidden:
+            if child.name == "option":
+                yield child
+            else:
+                yield from options(child)
+
+
+def drawn(drawing: Node, shown: bool) -> Iterator[tuple[Node, bool]]:
+    """Texts of a drawing, and whether they are visible."""
+    for child in drawing.children:
+        if not isinstance(child, str) and not child.hidden and child.name not in UNDRAWN:
+            visible = shown if child.shown is None else child.shown
+            if child.name in ("text", "foreignobject"):
+                yield child, visible
+            else:
+                yield from drawn(child, visible)
+
+
+def render_apart(child: Node, page: Page, shown: bool) -> bool:
+    """Renders an element that is a box of its own in a line; False for other elements."""
+    if child.name == "select":
+        if "multiple" in child.attributes or child.number("size", 1) > 1:
+            return False
+        every = list(options(child))
+        parts = [x for x in every if "selected" in x.attributes][-1:] or [x for x in every if "disabled" not in x.attributes][:1]
+        inner = [(x, shown if x.shown is None else x.shown) for x in parts]
+    elif child.name == "svg":
+        inner = list(drawn(child, shown))
+    elif child.name == "textarea":
+        inner = [(child, shown)]
+    else:
+        return False
+    for part, visible in inner:
+        if page.line and not page.line.endswith(" "):
+            page.blank = True
+        if child.name == "textarea" and visible and "".join(part.children):
+            page.line += " " if page.blank and page.line else ""
+            page.blank = False
+            render(part, page, True, visible)
+        else:
+            render(part, page, False, visible)
+        page.blank = True
+    return True
+
+
+def render(node: Node, page: Page, preformatted: bool = False, shown: bool = True) -> None:
+    backwards = node.name == "ol" and "reversed" in node.attributes
+    number = node.number("start", sum(not isinstance(x, str) and x.name == "li" and not x.hidden for x in node.children) if backwards else 1)
     for child in node.children:
         if isinstance(child, str):
+            if not shown:
+                continue
             if preformatted:
                 first, *others = child.expandtabs(8).replace("\r\n", "\n").replace("\r", "\n").split("\n")
                 page.line += first
@@ -247,9 +344,12 @@ def render(node: Node, page: Page, preformatted: bool = False) -> None:
         name = child.name
         if child.hidden:
             continue
+        visible = shown if child.shown is None else child.shown
         if name == "br":
             if page.line:
                 page.end_line()
+            elif visible:
+                page.gap = True
             continue
         if name == "hr":
             page.end_line()
@@ -258,11 +358,13 @@ def render(node: Node, page: Page, preformatted: bool = False) -> None:
         if name == "table":
             page.end_line()
             page.gap = True
-            page.whole(table_lines(child))
+            page.whole(table_lines(child, visible))
             page.gap = True
             continue
+        if render_apart(child, page, visible):
+            continue
         if name not in BLOCKS:
-            render(child, page, preformatted)
+            render(child, page, preformatted, visible)
             continue
         page.end_line()
         depth = items_depth(page)
@@ -270,71 +372,118 @@ def render(node: Node, page: Page, preformatted: bool = False) -> None:
         page.gap = page.gap or name in SPACED and not nested and not page.mark
         if name == "li":
             ordered = node.name == "ol"
-            page.mark = f"{number}. " if ordered else "- "
-            number += ordered
+            number = child.number("value", number) if ordered else number
+            page.mark = "" if not visible else f"{number}. " if ordered else "- "
+            number += ordered * (-1 if backwards else 1)
         elif name in ("dd", "blockquote"):
             page.indents.append("    ")
-        render(child, page, preformatted or name in ("pre", "xmp", "listing"))
+        render(child, page, preformatted or name in ("pre", "xmp", "listing"), visible)
         page.end_line()
         del page.indents[depth:]
         if name == "li":
             page.mark = ""
         page.gap = page.gap or name in SPACED and not nested
-    return
-
-
-def rows_of(table_: Node) -> Iterator[Node]:
-    for child in table_.children:
-        if isinstance(child, str) or child.hidden:
-            continue
-        if child.name == "tr":
-            yield child
-        elif child.name in ("thead", "tbody", "tfoot"):
-            yield from rows_of(child)
 
 
-def table_lines(table_: Node) -> list[str]:
+Cell = tuple[int, int, list[str]]
+
+
+def placed(groups: list[list[list[tuple[int, int, list[str]]]]]) -> list[list[Cell]]:
+    """Rows of (first column, column behind the last, lines) from groups of rows of (rows, columns, lines).
+
+    A cell takes the next columns that no cell from above reaches; none reaches beyond its group of rows.
+    """
+    out = []
+    for rows in groups:
+        above: list[list[int]] = []  # first column, column behind, rows still to come; ascending
+        for k, row in enumerate(rows):
+            cells, now, at, j = [], [], 0, 0
+            for down, across, lines in row:
+                while j < len(above) and above[j][0] <= at:
+                    at = max(at, above[j][1])
+                    j += 1
+                behind = min(at + across, above[j][0]) if j < len(above) else at + across
+                cells.append((at, behind, lines))
+                now.append([at, behind, (down or len(rows) - k) - 1])
+                at = behind
+            out.append(cells)
+            above = sorted(x for x in [*([a, b, n - 1] for a, b, n in above), *now] if x[2] > 0)
+    return out
+
+
+def aligned(rows: list[list[Cell]]) -> list[str]:
+    """Lines of a grid; only columns in which a cell begins count."""
+    begins = sorted({a for row in rows for a, _, _ in row})
+    if len(begins) == 1:  # a table for layout
+        return [text for row in rows for _, _, lines in row for text in lines]
+    of = {a: k for k, a in enumerate(begins)}
+    sizes = [0] * len(begins)
+    wide = []
+    for row in rows:
+        for a, b, lines in row:
+            first, behind, size = of[a], bisect_left(begins, b), max(map(width, lines), default=0)
+            if behind - first == 1:
+                sizes[first] = max(sizes[first], size)
+            elif size:
+                wide.append((behind - first, first, size))
+    for n, first, size in sorted(wide):
+        lacking = size - sum(sizes[first : first + n]) - 2 * (n - 1)
+        for k in range(n if lacking > 0 else 0):
+            sizes[first + k] += lacking * (k + 1) // n - lacking * k // n
+    starts = [2 * k + x for k, x in enumerate(accumulate([0, *sizes]))]
+    out = []
+    for row in rows:
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            line, at = "", 0
+            for a, _, lines in row:
+                if k < len(lines) and lines[k].strip():
+                    line += " " * (starts[of[a]] - at) + lines[k]
+                    at = max(at, starts[of[a]]) + width(lines[k])
+            out.append(line.rstrip())
+    return out
+
+
+def table_lines(table_: Node, shown: bool = True) -> list[str]:
     """Rows of a table with its cells padded to columns; what is in no cell comes first."""
     outside = Page()
     loose = Node("div")
-    grid: list[list[list[str]]] = []
-    stack = [(table_, iter(table_.children))]
+    groups: list[list[list[tuple[int, int, list[str]]]]] = [[]]
+    stack = [(table_, iter(table_.children), shown)]
     while stack:
-        parent, children = stack[-1]
+        parent, children, seen = stack[-1]
         child = next(children, None)
         if child is None:
             stack.pop()
-        elif isinstance(child, str):
-            loose.children.append(child)
-        elif child.hidden or child.name in ("col", "colgroup"):
+            if parent.name in ("thead", "tbody", "tfoot"):
+                groups.append([])
             continue
-        elif child.name in ("thead", "tbody", "tfoot"):
-            stack.append((child, iter(child.children)))
-        elif child.name == "tr" or child.name in ("td", "th"):
-            if child.name == "tr":
-                grid.append([])
-                stack.append((child, iter(child.children)))
-            else:
-                if not grid:
-                    grid.append([])
-                cell = Page()
-                render(child, cell)
-                cell.end_line()
-                grid[-1].append(cell.lines)
+        if isinstance(child, str):
+            if seen:
+                loose.children.append(child)
+            continue
+        if child.hidden or child.name in ("col", "colgroup"):
+            continue
+        visible = seen if child.shown is None else child.shown
+        if child.name in ("thead", "tbody", "tfoot"):
+            groups.append([])
+            stack.append((child, iter(child.children), visible))
+        elif child.name == "tr":
+            groups[-1].append([])
+            stack.append((child, iter(child.children), visible))
+        elif child.name in ("td", "th"):
+            if not groups[-1]:
+                groups[-1].append([])
+            cell = Page()
+            render(child, cell, shown=visible)
+            cell.end_line()
+            across = min(max(child.number("colspan", 1), 1), 1000)
+            groups[-1][-1].append((max(child.number("rowspan", 1), 0), across, cell.lines))
         else:
+            child.shown = visible
             loose.children.append(child)
     render(loose, outside)
     outside.end_line()
-    columns = max(map(len, grid), default=0)
-    if columns == 1:  # a table for layout
-        return outside.lines + [text for row in grid for cell in row for text in cell]
-    widths = [max((width(text) for row in grid if k < len(row) for text in row[k]), default=0) for k in range(columns)]
-    lines = list(outside.lines)
-    for row in grid:
-        for k in range(max(map(len, row), default=0)):
-            texts = [cell[k] if k < len(cell) else "" for cell in row]
-            lines.append("  ".join(text + " " * (size - width(text)) for text, size in zip(texts, widths, strict=False)).rstrip())
-    return lines
+    return outside.lines + aligned(placed(groups))
 
 
 def page_text(source: str | None) -> str:

@@ -23,6 +23,7 @@ _CONFIG_KEYS = {
     "checkpoint_path": ("source", "checkpoint_path"),
     "trigger_seconds": ("source", "trigger_seconds"),
     "output_path": ("output", "base_path"),
+    "neighborhoods_path": ("output", "neighborhoods_path"),
     "cell_size_km": ("geo", "cell_size_km"),
     "dense_city_threshold": ("geo", "dense_city_threshold"),
     "window_duration": ("analytics", "window_duration"),
@@ -50,6 +51,7 @@ class Params:
     checkpoint_path: str | None = None
     trigger_seconds: int = 5
     output_path: str = "./data/output"
+    neighborhoods_path: str | None = None  # output path of a static job whose neighborhoods a stream takes over
     cell_size_km: float = 2.0
     dense_city_threshold: int = 0
     cluster_by: tuple[str, ...] = ("city",)

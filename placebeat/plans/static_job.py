@@ -11,17 +11,18 @@ from placebeat.params import Params
 from placebeat.plans.partials import batch_partials, finish, pane_activity
 from placebeat.plans.stage import Stage
 from placebeat.schemas import REVIEW_SCHEMA, TABLE_SCHEMAS
-from placebeat.sources.files import load_places, read_reviews, read_table, write_counts, write_rejects, write_tables
+from placebeat.sources.files import load_places, read_reviews, read_table, write_counts, write_fitted, write_rejects, write_tables
 
 
 def static_tables(
-    cleaned: DataFrame, located: DataFrame, params: Params, stage: Stage, narrow: DataFrame | None = None
+    cleaned: DataFrame, located: DataFrame, params: Params, stage: Stage, narrow: DataFrame | None = None, fitted_path: str | None = None
 ) -> dict[str, DataFrame]:
     """The nine tables of all events, finished from staged partials.
 
     One pass over the events reduces them to panes of businesses, a second reads the newest ones; the rest works on what those two
     have left. Staged tables with a business are in buckets of it, so that only the first reduction moves rows by business.
-    ``narrow`` is a copy of the events without text to make the first pass over. Raises when no event has a place.
+    ``narrow`` is a copy of the events without text to make the first pass over. The neighborhoods are also
+    kept under ``fitted_path``, if given. Raises when no event has a place.
     """
     places = stage.write_bucketed("places", located, "business_id")
     activity = stage.write_bucketed("activity", pane_activity(cleaned if narrow is None else narrow, params), "business_id")
@@ -29,6 +30,8 @@ def static_tables(
     if params.dense_city_threshold > 0:
         active = distinct_businesses(activity.select("business_id").distinct().join(places, "business_id"))
         neighborhoods = stage.write_bucketed("neighborhoods", fit_neighborhoods(active, params, stage), "business_id")
+        if fitted_path:
+            write_fitted(neighborhoods, fitted_path)
     partials = batch_partials(cleaned, places, params, neighborhoods, stage, activity)
     staged = {name: stage.write(name, frame) for name, frame in partials.items()}
     if staged["area_panes"].isEmpty():
@@ -53,7 +56,8 @@ def run_static(spark: SparkSession, params: Params) -> dict[str, DataFrame]:
     """Read, compute and replace all tables under ``params.output_path``; returns frames reading them.
 
     Reviews whose date can't be read are written to ``rejected_reviews`` beside the tables, and to ``review_counts`` how many
-    rows were kept, malformed, without a key or without a readable date. The raw reviews are parsed twice, once with a limit: to
+    rows were kept, malformed, without a key or without a readable date; the neighborhoods go to ``fitted_neighborhoods``, for
+    streams to take over. The raw reviews are parsed twice, once with a limit: to
     be sorted by outcome, and for the newest events with their text.
     """
     params.check_source()
@@ -66,8 +70,8 @@ def run_static(spark: SparkSession, params: Params) -> dict[str, DataFrame]:
         kept = rows.filter(F.col("outcome") == KEPT)
         if params.limit:
             cleaned = stage.write("oldest", oldest_reviews(kept, params.limit, stage))
-            tables = static_tables(cleaned, located, params, stage)
+            tables = static_tables(cleaned, located, params, stage, fitted_path=params.output_path)
         else:
-            tables = static_tables(clean_reviews(raw), located, params, stage, narrow=clean_reviews(kept))
+            tables = static_tables(clean_reviews(raw), located, params, stage, narrow=clean_reviews(kept), fitted_path=params.output_path)
         write_tables(tables, params.output_path)
     return {name: read_table(spark, params.output_path, name) for name in TABLE_SCHEMAS}

@@ -12,7 +12,7 @@ from placebeat.functions.geo import cell_order
 from placebeat.operators.cleaning import clean_businesses, oldest_reviews, places
 from placebeat.operators.enrich import enrich
 from placebeat.plans.stage import Stage
-from placebeat.schemas import BUSINESS_SCHEMA, RAW_REVIEW_SCHEMA, REVIEW_COUNT_SCHEMA, REVIEW_SCHEMA, TABLE_SCHEMAS
+from placebeat.schemas import BUSINESS_SCHEMA, NEIGHBORHOOD_SCHEMA, RAW_REVIEW_SCHEMA, REVIEW_COUNT_SCHEMA, REVIEW_SCHEMA, TABLE_SCHEMAS
 
 
 def read_businesses(spark: SparkSession, path: str) -> DataFrame:
@@ -88,6 +88,16 @@ def read_table(spark: SparkSession, base_path: str, name: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def write_fitted(neighborhoods: DataFrame, base_path: str) -> None:
+    """Keep the neighborhoods that a job has fitted, beside its tables."""
+    neighborhoods.write.mode("overwrite").parquet(f"{base_path.rstrip('/')}/fitted_neighborhoods")
+
+
+def read_fitted(spark: SparkSession, base_path: str) -> DataFrame:
+    """The neighborhoods of the static job that wrote to ``base_path``; fails when it has fitted none."""
+    return spark.read.schema(NEIGHBORHOOD_SCHEMA).parquet(f"{base_path.rstrip('/')}/fitted_neighborhoods")
+
+
 def laid_out(frame: DataFrame) -> DataFrame:
     """Rows in ranges of city, place and time, each range a file sorted in that order.
 

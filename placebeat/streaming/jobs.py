@@ -19,7 +19,7 @@ from placebeat.plans.stage import Stage
 from placebeat.plans.static_job import run_static
 from placebeat.plans.tables import build_tables
 from placebeat.schemas import NEIGHBORHOOD_SCHEMA, REVIEW_SCHEMA
-from placebeat.sources.files import load_places, write_batch, write_counts, write_rejects
+from placebeat.sources.files import load_places, read_fitted, write_batch, write_counts, write_rejects
 from placebeat.sources.streams import review_file_stream, review_kafka_stream
 from placebeat.streaming.store import PartialStore
 
@@ -28,8 +28,10 @@ COMPACT_EVERY = 100  # batches
 
 
 def neighborhood_dimension(spark: SparkSession, params: Params, located: DataFrame) -> DataFrame | None:
-    """The neighborhoods under the output path, fitted over the place dimension if they aren't there yet.
+    """The neighborhoods under the output path; if they aren't there yet, those of the static job at
+    ``params.neighborhoods_path``, or without one a fit over the place dimension.
 
+    The static job counts and fits places with events, so a stream that follows it has the same dense cities and areas.
     A restart goes on with those that older partials were made with; a new fit needs a new output path.
     """
     if params.dense_city_threshold <= 0:
@@ -38,7 +40,11 @@ def neighborhood_dimension(spark: SparkSession, params: Params, located: DataFra
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         with Stage(spark) as stage:
-            fit_neighborhoods(distinct_businesses(located), params, stage).write.mode("overwrite").parquet(path)
+            if params.neighborhoods_path:
+                fitted = read_fitted(spark, params.neighborhoods_path)
+            else:
+                fitted = fit_neighborhoods(distinct_businesses(located), params, stage)
+            fitted.write.mode("overwrite").parquet(path)
     return spark.read.schema(NEIGHBORHOOD_SCHEMA).parquet(path)
 
 

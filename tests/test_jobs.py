@@ -11,6 +11,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from placebeat.operators.category_mix import with_categories
 from placebeat.operators.cleaning import clean_reviews, with_outcome
@@ -208,6 +209,27 @@ def test_half_a_batch_is_not_seen(spark, base, tmp_path, reviews):
     assert all_tables(store, params) == before
 
 
+def test_a_stream_takes_over_the_neighborhoods_of_a_static_job(spark, base, tmp_path):
+    """Places without events make no city dense, in batch and in a stream that follows it."""
+    idle = [{"business_id": f"idle{k}", "name": "n", "city": "South" if k < 8 else "East", "state": "S", "latitude": 36.0 + k / 90, "longitude": -115.0, "stars": 4.0} for k in range(12)]
+    (tmp_path / "business.json").write_text((base / "business.json").read_text())
+    with (tmp_path / "business.json").open("a") as out:
+        out.writelines(json.dumps(x) + "\n" for x in idle)
+    params = settings(base, tmp_path / "static", business_path=str(tmp_path / "business.json"))
+    wanted = {name: rows(frame) for name, frame in run_static(spark, params).items()}
+    located = load_places(spark, params.business_path)
+    alone = neighborhood_dimension(spark, params.with_(output_path=str(tmp_path / "alone")), located)
+    assert {r[0] for r in rows(alone, "city")} == {"East", "South", "West"}
+
+    params = params.with_(output_path=str(tmp_path / "stream"), neighborhoods_path=str(tmp_path / "static"))
+    assigned = neighborhood_dimension(spark, params, located)
+    assert {r[0] for r in rows(assigned, "city")} == {"East", "West"}
+    batch_processor(lambda: located, params, assigned)(read_reviews(spark, params.review_path), 0)
+    assert all_tables(PartialStore(spark, params.output_path), params) == wanted
+    with pytest.raises(AnalysisException):
+        neighborhood_dimension(spark, params.with_(output_path=str(tmp_path / "other"), neighborhoods_path=str(tmp_path / "none")), located)
+
+
 def test_a_restart_keeps_the_neighborhoods(spark, base, tmp_path):
     params = settings(base, tmp_path / "out", dense_city_threshold=5)
     located = load_places(spark, params.business_path)
@@ -294,7 +316,7 @@ def watermarked(spark, base, tmp_path, pieces, delay, dense=0):
 def test_watermark_with_ordered_input_is_exact(spark, base, tmp_path, reviews, static):
     params, late = watermarked(spark, base, tmp_path, [reviews[:200], reviews[200:]], "1 hour", dense=4)
     found = rows(watermarked_windows(spark, params))
-    # These neighborhoods are fitted over all places, those of the static job over places with events.
+    # These neighborhoods are fitted over all places: the stream follows no static job.
     assert {r[0] for r in found} == {"grid", "neighborhood"}
     assert [r for r in found if r[0] == "grid"] == [r for r in static["window_hotspots"] if r[0] == "grid"]
     assert late == 0

@@ -35,6 +35,15 @@ def pane_activity(cleaned: DataFrame, params: Params) -> DataFrame:
     return reduced_activity(cleaned, params_pane(params))
 
 
+def merged_in(dimension: DataFrame | None) -> DataFrame | None:
+    """A dimension that grows with the places, to be sorted and merged in every join.
+
+    Spark takes a written table for as large as its files; a few compressed columns of a million places are under its threshold
+    for broadcasting and hundreds of megabytes once the driver has gathered them, in each join of each batch.
+    """
+    return None if dimension is None else dimension.hint("merge")
+
+
 def pane_newest(activity: DataFrame, located: DataFrame) -> DataFrame:
     """Per pane: ``n``, the events that have a place, and ``latest``, the newest time of one with a category."""
     placed = activity.join(located.select("business_id", F.size("categories").alias("tags")), "business_id")
@@ -63,6 +72,18 @@ def recent_events(cleaned: DataFrame, panes: DataFrame, params: Params) -> DataF
     return cleaned.filter(F.col("review_date") >= F.least(since, feed_from)).withColumn("review_text", text)
 
 
+def staged_partials(
+    cleaned: DataFrame, located: DataFrame, params: Params, neighborhoods: DataFrame | None, stage: Stage
+) -> dict[str, DataFrame]:
+    """:func:`batch_partials` of a micro-batch, its reduction and the counts per pane written once in ``stage``.
+
+    They are written in as many files as their size asks for: a kept plan has as many partitions as a shuffle, however small.
+    """
+    activity = stage.write("activity", pane_activity(cleaned, params))
+    panes = stage.write("pane_newest", pane_newest(activity, merged_in(located)))
+    return batch_partials(cleaned, located, params, neighborhoods, activity=activity, panes=panes)
+
+
 def batch_partials(
     cleaned: DataFrame,
     located: DataFrame,
@@ -70,20 +91,24 @@ def batch_partials(
     neighborhoods: DataFrame | None = None,
     stage: Stage | None = None,
     activity: DataFrame | None = None,
+    panes: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The partials of one batch of cleaned reviews.
 
     The events are read twice: once to be reduced to panes of businesses, once for the few newest ones. With a ``stage`` both
-    results, in buckets of businesses, and the counts per pane between them are written and read back; ``activity`` is the first
-    if it is there already. With places in such buckets too, no join moves rows that have been written.
+    results, in buckets of businesses, and the counts per pane between them are written and read back; ``activity`` and ``panes``
+    (:func:`pane_newest`) are the first and these counts if they are there already. With places in such buckets too, no join moves
+    rows that have been written. Places and neighborhoods are sorted and merged, see :func:`merged_in`.
 
     ``recent_categories`` keeps exact times of the events in the last window of the batch. The window ending at the
     newest event of all batches starts no earlier than that of any batch, so nothing it needs is lost.
     """
     in_buckets = (lambda name, frame: frame) if stage is None else (lambda name, frame: stage.write_bucketed(name, frame, "business_id"))
+    located, neighborhoods = merged_in(located), merged_in(neighborhoods)
     if activity is None:
         activity = in_buckets("activity", pane_activity(cleaned, params))
-    panes = pane_newest(activity, located) if stage is None else stage.write("pane_newest", pane_newest(activity, located))
+    if panes is None:
+        panes = pane_newest(activity, located) if stage is None else stage.write("pane_newest", pane_newest(activity, located))
     newest = in_buckets("recent_events", recent_events(cleaned, panes, params))
     tagged = with_categories(located)
     measures = ["event_count", "stars_sum", "max_event_time"]

@@ -62,7 +62,8 @@ def as_reviews(events: DataFrame) -> DataFrame:
 
 def raw_customer_businesses(spark: SparkSession, folder: str) -> DataFrame:
     customers = _with_city(spark, folder, table(spark, folder, "customer"), "c_nationkey")
-    return customers.join(table(spark, folder, "part"), F.expr("c_custkey = p_partkey"), "left").selectExpr(
+    # As many parts as customers: Spark would broadcast two compressed columns of them, many times their size on the driver.
+    return customers.join(table(spark, folder, "part").hint("merge"), F.expr("c_custkey = p_partkey"), "left").selectExpr(
         "string(c_custkey) AS business_id",
         "c_name AS name",
         "n_name AS city",

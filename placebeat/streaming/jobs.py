@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from placebeat.operators.cleaning import KEPT, UNDATED, clean_reviews, outcome_counts, with_outcome
-from placebeat.operators.enrich import enrich
 from placebeat.operators.neighborhoods import distinct_businesses, fit_neighborhoods, with_new_places
 from placebeat.params import Params
-from placebeat.plans.partials import batch_partials, pane_activity
+from placebeat.plans.partials import finish, staged_partials
 from placebeat.plans.stage import Stage
 from placebeat.plans.static_job import run_static
-from placebeat.plans.tables import build_tables
 from placebeat.schemas import NEIGHBORHOOD_SCHEMA, REVIEW_SCHEMA
 from placebeat.sources.files import load_places, read_fitted, write_batch, write_counts, write_rejects
 from placebeat.sources.streams import review_file_stream, review_kafka_stream
@@ -58,7 +56,8 @@ def batch_processor(
     """The function run on every micro-batch.
 
     ``merged`` writes additive partials, from which :class:`PartialStore` gives tables over the whole stream;
-    ``append`` computes the nine tables of the batch alone and adds them as a batch directory.
+    ``append`` finishes the nine tables of the batch alone from its partials and adds them as a batch directory. What a batch
+    writes in between lies in a folder under the output path, removed when the batch ends.
     ``places_of``, and ``neighborhoods`` if it is a function, are called once per batch, so they decide whether places are
     read anew. Every ``compact_every`` batches (0: never) the finished partials are compacted.
     """
@@ -77,19 +76,15 @@ def batch_processor(
                 return
             cleaned = clean_reviews(found.filter(F.col("outcome") == KEPT).select(*batch.columns))
             assigned = neighborhoods() if callable(neighborhoods) else neighborhoods
-            if mode == "append":
-                joined = enrich(cleaned, places_of()).persist(StorageLevel.MEMORY_AND_DISK)
-                try:
-                    write_batch(build_tables(joined, params, assigned), params.output_path, batch_id)
-                finally:
-                    joined.unpersist()
-            else:
-                activity = pane_activity(cleaned, params).persist(StorageLevel.MEMORY_AND_DISK)
-                try:
+            with Stage(spark, params.output_path) as stage:
+                partials = staged_partials(cleaned, places_of(), params, assigned, stage)
+                if mode == "append":
+                    staged = {name: stage.write(name, frame) for name, frame in partials.items()}
+                    write_batch(finish(staged, params), params.output_path, batch_id)
+                else:
                     store = PartialStore(spark, params.output_path)
-                    store.write(batch_partials(cleaned, places_of(), params, assigned, activity=activity), batch_id, params)
-                finally:
-                    activity.unpersist()
+                    store.write(partials, batch_id, params)
+            if mode == "merged":
                 if compact_every and (batch_id + 1) % compact_every == 0:
                     store.compact(params)
                     store.drop_compacted()

@@ -472,7 +472,7 @@ def _events_in_pieces(spark, folder) -> str:
 def _streamed(spark, folder, params):
     """The nine tables read back from the partials a stream has written in several batches, compacted on the way."""
     params = _stream_settings(spark, params)
-    located = _places(spark, folder)
+    located = Stage(spark).write("places", _places(spark, folder))
     process = batch_processor(lambda: located, params, compact_every=2)
     schema = tables.table(spark, folder, "events").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(_events_in_pieces(spark, folder))

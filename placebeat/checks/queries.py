@@ -498,12 +498,13 @@ def streamed_category_mix(spark, folder):
 def appended_city_metrics(spark, folder):
     """A stream of three batches in append mode: every batch adds its own rows to the tables."""
     params, stage = _stream_settings(spark, DAILY), Stage(spark)
-    events, located = tables.table(spark, folder, "events"), _places(spark, folder)
-    for k in range(3):
-        events.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{stage.path}/arriving")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{stage.path}/arriving")
-    reviews = tables.as_reviews(stream).withColumn("date", F.expr(_TO_INSTANT))
-    _run_to_end(start_batches(reviews, batch_processor(lambda: located, params, mode="append"), params, available_now=True))
+    events, located = tables.table(spark, folder, "events"), stage.write("places", _places(spark, folder))
+    process = batch_processor(lambda: located, params, mode="append")
+    for k in range(3):  # a batch is all that has arrived since the stream last ran, in however many files
+        events.filter(F.col("event_id") % 3 == k).write.mode("append").parquet(f"{stage.path}/arriving")
+        stream = spark.readStream.schema(events.schema).parquet(f"{stage.path}/arriving")
+        reviews = tables.as_reviews(stream).withColumn("date", F.expr(_TO_INSTANT))
+        _run_to_end(start_batches(reviews, process, params, available_now=True))
     return _rounded(read_table(spark, params.output_path, "city_metrics"), "avg_stars")
 
 

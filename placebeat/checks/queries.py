@@ -551,6 +551,11 @@ def _in_utc(spark):
 _json: dict[tuple[str, str], Params] = {}
 
 
+def _review_files(spark) -> int:
+    """Files of dated reviews: at least three, and as many as there are cores to write them."""
+    return max(3, spark.sparkContext.defaultParallelism)
+
+
 def _json_settings(spark, folder) -> Params:
     """The test tables as JSON files, written once: businesses, and reviews in several files with a broken line, some
     without a business and some with a text for a date."""
@@ -560,12 +565,12 @@ def _json_settings(spark, folder) -> Params:
         tables.raw_customer_businesses(spark, folder).write.json(f"{path}/businesses")
         dates = F.date_format("date", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         reviews = tables.raw_event_reviews(spark, folder).withColumn("date", dates)
-        reviews.repartition(3, "review_id").write.json(f"{path}/reviews")
-        spark.createDataFrame([("{broken",)], "line string").coalesce(1).write.mode("append").text(f"{path}/reviews")
+        reviews.repartition(_review_files(spark), "review_id").write.json(f"{path}/reviews")
+        spark.sql("SELECT '{broken' AS line").coalesce(1).write.mode("append").text(f"{path}/reviews")
         keyless = reviews.filter("review_id % 97 = 0").select("review_id", "text")
         undated = reviews.filter("review_id % 89 = 0").withColumn("date", F.concat(F.lit("soon after "), "date"))
         for more in (keyless, undated):
-            more.coalesce(1).write.mode("append").json(f"{path}/reviews")
+            more.repartition(1).write.mode("append").json(f"{path}/reviews")  # read by all tasks, unlike with coalesce
         _json[key] = DAILY.with_(
             business_path=f"{path}/businesses", review_path=f"{path}/reviews", stream_path=f"{path}/reviews", dense_city_threshold=0
         )
@@ -616,13 +621,15 @@ _file_streamed: dict[tuple[str, str], str] = {}
 
 
 def _file_stream(spark, folder) -> str:
-    """The file-stream job over the JSON files, a file at a time, its tables published; it runs once for all its queries."""
+    """The file-stream job over the JSON files, a third of the dated reviews at a time, its tables published; it runs once for all
+    its queries."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _file_streamed:
         stage = Stage(spark).path
         params = _json_settings(spark, folder).with_(output_path=f"{stage}/tables", checkpoint_path=f"{stage}/checkpoint")
         with _in_utc(spark):
-            _run_to_end(start_file_stream(spark, params, available_now=True, max_files_per_trigger=1))
+            third = -(-_review_files(spark) // 3)
+            _run_to_end(start_file_stream(spark, params, available_now=True, max_files_per_trigger=third))
             PartialStore(spark, params.output_path).publish(params)
         _file_streamed[key] = params.output_path
     return _file_streamed[key]

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _own: list[str] = []
+ROWS_PER_BUCKET = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,6 +41,7 @@ class Stage:
         self.spark = spark
         self.path = f"{(folder or shared_folder(spark)).rstrip('/')}/stage-{uuid.uuid4().hex}"
         self._tables: list[str] = []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(self, name: str, frame: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Write the frame, in a folder for each value of ``partition_by`` if that is given, and return a frame that reads it."""
@@ -48,15 +50,25 @@ class Stage:
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(target)
         return self.spark.read.schema(frame.schema).parquet(target)
 
+    def size_buckets(self, rows: int) -> None:
+        """Buckets for tables of up to so many rows: one per ``ROWS_PER_BUCKET`` and one per core, at most the shuffle's partitions.
+
+        A bucket is a task wherever it is read, and every aggregation after it writes a piece for each partition of its shuffle:
+        with 200 of both that is 40,000 pieces each time, however few the rows. Call this before the first bucketed table.
+        """
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = min(most, max(self.spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_BUCKET)))
+
     def write_bucketed(self, name: str, frame: DataFrame, by: str) -> DataFrame:
-        """Write the frame in as many buckets of ``by`` as a shuffle has partitions, a file each, and return a frame that reads it.
+        """Write the frame in the stage's number of buckets of ``by``, a file each, and return a frame that reads it.
+
+        That number is the shuffle's number of partitions, or what :func:`size_buckets` has found, and the same for all tables.
 
         Joins and aggregations by that column then read their side as it lies, whatever its size; what Spark knows of the buckets
         is kept in the session's catalog until the stage is closed.
         """
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"{self.path.rpartition('/')[2].replace('-', '_')}_{name}"
-        writer = frame.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).mode("errorifexists")
+        writer = frame.repartition(self.buckets, by).write.bucketBy(self.buckets, by).sortBy(by).mode("errorifexists")
         writer.option("path", f"{self.path}/{name}").format("parquet").saveAsTable(table)
         self._tables.append(table)
         return self.spark.table(table)

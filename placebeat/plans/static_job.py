@@ -11,7 +11,7 @@ from placebeat.params import Params
 from placebeat.plans.partials import batch_partials, finish, pane_activity
 from placebeat.plans.stage import Stage
 from placebeat.schemas import REVIEW_SCHEMA, TABLE_SCHEMAS
-from placebeat.sources.files import load_places, read_reviews, read_table, write_counts, write_fitted, write_rejects, write_tables
+from placebeat.sources.files import load_places, read_businesses, read_reviews, read_table, write_counts, write_fitted, write_rejects, write_tables
 
 
 def static_tables(
@@ -42,16 +42,23 @@ def static_tables(
 def sorted_reviews(raw: DataFrame, stage: Stage, with_text: bool) -> tuple[DataFrame, dict[str, int]]:
     """The raw rows parsed once and written by outcome, and how many there are of each.
 
-    Kept rows are written with the columns that the counts need, the others as they were read; ``with_text`` keeps all of them
-    whole. The numbers are counted while the rows are written.
+    Kept rows are written with the columns that the counts need and their parsed date as ``review_date_``, the others as they were
+    read; ``with_text`` keeps the other texts of all of them. The numbers are counted while the rows are written.
     """
     sorted_rows, seen = counted_by_outcome(with_outcome(raw), "reviews")
-    whole = F.lit(True) if with_text else F.col("outcome") != KEPT
-    columns = [F.when(whole, F.col(c)).alias(c) if c not in ("business_id", "stars", *REVIEW_KEYS) else F.col(c) for c in REVIEW_SCHEMA.fieldNames()]
-    written = stage.write("sorted", sorted_rows.select(*columns, "outcome"), partition_by="outcome")
+    other = F.col("outcome") != KEPT
+    whole = {"business_id", "stars", *REVIEW_KEYS, *(REVIEW_SCHEMA.fieldNames() if with_text else ())} - {"date"}
+    columns = [F.col(c) if c in whole else F.when(other, F.col(c)).alias(c) for c in REVIEW_SCHEMA.fieldNames()]
+    written = stage.write("sorted", sorted_rows.select(*columns, "review_date_", "outcome"), partition_by="outcome")
     return written, seen.get
 
 
+def kept_reviews(rows: DataFrame) -> DataFrame:
+    """The kept rows of :func:`sorted_reviews`, as raw reviews whose date is parsed."""
+    dated = [F.col("review_date_" if c == "date" else c).alias(c) for c in REVIEW_SCHEMA.fieldNames()]
+    return rows.filter(F.col("outcome") == KEPT).select(*dated)
+
+
 def run_static(spark: SparkSession, params: Params) -> dict[str, DataFrame]:
     """Read, compute and replace all tables under ``params.output_path``; returns frames reading them.
 
@@ -67,7 +74,10 @@ def run_static(spark: SparkSession, params: Params) -> dict[str, DataFrame]:
         rows, counts = sorted_reviews(raw, stage, with_text=bool(params.limit))
         write_counts(outcome_counts(counts, spark), params.output_path)
         write_rejects(rows.filter(F.col("outcome") == UNDATED).select(*REVIEW_SCHEMA.fieldNames()), params.output_path)
-        kept = rows.filter(F.col("outcome") == KEPT)
+        kept = kept_reviews(rows)
+        # Counting the businesses' lines parses none of them.
+        events = min(counts[KEPT], params.limit or counts[KEPT])
+        stage.size_buckets(max(events, read_businesses(spark, params.business_path).count()))
         if params.limit:
             cleaned = stage.write("oldest", oldest_reviews(kept, params.limit, stage))
             tables = static_tables(cleaned, located, params, stage, fitted_path=params.output_path)

@@ -1,0 +1,110 @@
+"""The static job takes as many tasks as its rows and cores ask for, and parses a date once."""
+
+import json
+import re
+from datetime import datetime
+
+import pytest
+from pyspark.sql import DataFrameWriter
+
+from placebeat.checks import queries
+from placebeat.params import Params
+from placebeat.plans import stage as stages
+from placebeat.plans.stage import Stage
+from placebeat.plans.static_job import kept_reviews, run_static, sorted_reviews
+from placebeat.sources.files import read_counts, read_rejects, read_reviews
+from tests.helpers import rows
+
+DATES = ["0001-01-01 00:00:00", "1500-02-03 04:05:06.000007", "1899-12-31 23:59:59", "2020-01-01 10:00:00", "20200102", "", "soon"]
+
+
+@pytest.fixture()
+def many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    yield 64
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.fixture()
+def inputs(tmp_path):
+    reviews = [{"review_id": f"r{i}", "business_id": f"b{i % 5}", "user_id": "u", "stars": 1.0 + i % 5, "date": DATES[i % 7], "text": f"t{i}"} for i in range(70)]
+    places = [{"business_id": f"b{i}", "name": "n", "city": "c", "state": "s", "latitude": 36.0 + i, "longitude": -115.0, "categories": "x, y"} for i in range(5)]
+    for name, items in (("reviews", reviews), ("places", places)):
+        (tmp_path / f"{name}.json").write_text("".join(json.dumps(item) + "\n" for item in items))
+    return Params(
+        business_path=f"{tmp_path}/places.json", review_path=f"{tmp_path}/reviews.json", output_path=f"{tmp_path}/out",
+        window_duration="1 day", slide_duration="12 hours", min_events_for_hotspot=1,
+    )
+
+
+def test_buckets_follow_the_rows(spark, many_partitions):
+    cores = spark.sparkContext.defaultParallelism
+    stage = Stage(spark)
+    assert stage.buckets == many_partitions
+    for found, wanted in ((0, cores), (1, cores), (20 * stages.ROWS_PER_BUCKET + 1, 21), (10**12, many_partitions)):
+        stage.size_buckets(found)
+        assert stage.buckets == wanted
+
+
+@pytest.mark.parametrize("limit", [None, 30])
+def test_small_tables_take_few_buckets(spark, many_partitions, inputs, monkeypatch, limit):
+    buckets, texts = [], {}
+    sized, saved = DataFrameWriter.bucketBy, DataFrameWriter.saveAsTable
+
+    def bucket_by(self, n, *columns):
+        buckets.append(n)
+        return sized(self, n, *columns)
+
+    def save(self, name, *args, **options):
+        texts[name.split("_")[-1]] = self._df._jdf.queryExecution().executedPlan().toString()
+        return saved(self, name, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "bucketBy", bucket_by)
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", save)
+    tables = run_static(spark, inputs.with_(limit=limit))
+    assert len(buckets) == 3 and set(buckets) == {spark.sparkContext.defaultParallelism}
+    assert "RLIKE" not in texts["activity"]  # dates come parsed from the rows sorted by outcome
+    assert rows(tables["city_metrics"], "city", "review_count") == [("c", limit or 60)]
+    assert rows(read_counts(spark, inputs.output_path)) == [("kept", 60), ("malformed", 0), ("undated", 10), ("without_key", 0)]
+    assert {row[0] for row in rows(read_rejects(spark, inputs.output_path), "date")} == {"soon"}
+
+
+def test_buckets_follow_the_places_too(spark, many_partitions, inputs, monkeypatch):
+    monkeypatch.setattr(stages, "ROWS_PER_BUCKET", 1)
+    found, real = [], Stage.size_buckets
+    monkeypatch.setattr(Stage, "size_buckets", lambda self, n: (real(self, n), found.append((n, self.buckets))))
+    run_static(spark, inputs.with_(limit=2))
+    assert found == [(5, spark.sparkContext.defaultParallelism)]
+    run_static(spark, inputs)
+    assert found[1:] == [(60, 60)]
+
+
+@pytest.mark.parametrize("with_text", [False, True])
+def test_kept_dates_are_those_of_the_text(spark, inputs, with_text):
+    with Stage(spark) as stage:
+        written, _ = sorted_reviews(read_reviews(spark, inputs.review_path), stage, with_text)
+        found = kept_reviews(written).selectExpr("int(substr(review_id, 2)) % 7 AS i", "string(date) AS date", "text", "user_id").distinct().collect()
+    wanted = {0: DATES[0], 1: DATES[1], 2: DATES[2], 3: DATES[3], 4: "2020-01-02 00:00:00", 5: "1970-01-01 00:00:00"}
+    assert {row.i: row.date for row in found} == wanted
+    assert {row.user_id for row in found} == ({"u"} if with_text else {None})
+    assert all(re.fullmatch(r"t\d+", row.text) for row in found) if with_text else {row.text for row in found} == {None}
+
+
+def test_json_files_are_written_by_all_cores(spark, tmp_path):
+    made = {
+        "events": "SELECT id AS event_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, int(id)) AS ts, id % 3 AS user_id, 'view' AS event_type, 1D AS value, 'p' AS props FROM range(1000)",
+        "customer": "SELECT id AS c_custkey, 'n' AS c_name, 2 AS c_nationkey, 0D AS c_acctbal, 'm' AS c_mktsegment FROM range(3)",
+        "part": "SELECT id AS p_partkey, 'red tin' AS p_name, 'b' AS p_brand, 'STEEL' AS p_type, 1 AS p_size, 1D AS p_retailprice FROM range(3)",
+        "nation": "SELECT 2 AS n_nationkey, 'N' AS n_name, 3 AS n_regionkey",
+        "region": "SELECT 3 AS r_regionkey, 'R' AS r_name",
+    }
+    for name, query in made.items():
+        spark.sql(query).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = read_reviews(spark, queries._json_settings(spark, str(tmp_path)).review_path)
+    dated = found.filter("date LIKE '2024%'").selectExpr("input_file_name() AS file").distinct().count()
+    assert dated == max(3, spark.sparkContext.defaultParallelism)
+    assert found.count() == 1000 + 1 + 11 + 12  # all events, a broken line, those without a business and those with a text for a date
+    assert rows(queries.static_job_review_counts(spark, str(tmp_path))) == [("kept", 1000), ("malformed", 1), ("undated", 12), ("without_key", 11)]
+    assert rows(queries.file_stream_review_counts(spark, str(tmp_path))) == [("kept", 1000), ("malformed", 1), ("undated", 12), ("without_key", 11)]
+    assert datetime.fromisoformat(found.agg({"date": "min"}).first()[0]) == datetime(2024, 1, 1)
